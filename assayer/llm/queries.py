@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import bpe, decontaminate, knn, pii, secrets, url_filter
+from assayer.llm import bpe, decontaminate, knn, pii, secrets, suffix_dedup, url_filter
 from assayer.llm._common import documents
 
 
@@ -21,6 +21,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.decontaminate(documents(spark, sf_dir), benchmark))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_substrings(documents(spark, sf_dir), digest_only=True)
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     encoded = bpe.encode(documents(spark, sf_dir), path, public_tokenizers.PATTERN)
@@ -45,6 +49,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
         "op2_decontamination": op2_decontamination,
+        "op5_suffix_dedup": op5_suffix_dedup,
         "op6_bpe": op6_bpe,
         "op7_pii": op7_pii,
         "op9_top_k": op9_top_k,
