@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from assayer.llm._common import map_rows, sha
 
 #: Pieces whose ids a worker remembers; beyond it the memory starts afresh.
-CACHE = 1_000_000
+CACHE = 300_000
 
 
 class Vocabulary:
@@ -254,8 +254,8 @@ def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids
     def run(batches):  # noqa: ANN001, ANN202
         table = vocabulary(path).bytes_of
         for batch in batches:
-            ids = [np.frombuffer(x or b"", "<u4").tolist() for x in batch.column(1).to_pylist()]
-            made = pa.array([b"".join(map(table.__getitem__, x)) for x in ids], pa.binary())
+            rows = (np.frombuffer(x.as_py() or b"", "<u4").tolist() for x in batch.column(1))
+            made = pa.array([b"".join(map(table.__getitem__, ids)) for ids in rows], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), made], names=[id_col, ids_col, "bytes"])
 
     return source.mapInArrow(run, f"`{id_col}` {kind}, `{ids_col}` binary, bytes binary")

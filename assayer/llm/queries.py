@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import bpe, decontaminate, knn, pii, secrets, suffix_dedup, url_filter
+from assayer.llm import bpe, decontaminate, knn, language_id, near_dedup, pii, secrets, suffix_dedup, url_filter
 from assayer.llm._common import documents
 
 
@@ -21,6 +21,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.decontaminate(documents(spark, sf_dir), benchmark))
 
 
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(spark, sf_dir))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup_substrings(documents(spark, sf_dir), digest_only=True)
 
@@ -35,6 +39,20 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.scan_pii(documents(spark, sf_dir)))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    models = language_id.fit(docs, "lang", "text")
+    judged = language_id.identify_documents(docs, models)
+    return judged.select("doc_id", "language", "confidence", language_id.accepted().alias("accepted"))
+
+
+def pages_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same fusion with all four kinds of evidence, on pages."""
+    models = language_id.fit(documents(spark, sf_dir), "lang", "text")
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return language_id.identify_pages(pages, models).select("page_id", "language", "confidence")
+
+
 def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     embeddings = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return knn.top_k(embeddings, 5, F.col("vec_id") % 50 == 0)
@@ -49,11 +67,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
         "op2_decontamination": op2_decontamination,
+        "op4_minhash_near_dedup": op4_minhash_near_dedup,
         "op5_suffix_dedup": op5_suffix_dedup,
         "op6_bpe": op6_bpe,
         "op7_pii": op7_pii,
+        "op8_language_id": op8_language_id,
         "op9_top_k": op9_top_k,
         "op10_url_filter": op10_url_filter,
+        "pages_language_id": pages_language_id,
     }
 
 
