@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -74,3 +75,20 @@ def total_bytes(df: DataFrame, text: str) -> int:
     """Bytes of a text column, by one aggregation."""
     row: Any = df.select(F.sum(F.octet_length(F.col(f"`{text}`"))).alias("n")).first()
     return int(row["n"] or 0)
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder of ``spark.checkpoint.dir``; a folder of its own only where that is unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="checkpoint-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a reliable checkpoint in the shared folder."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(checkpoint_folder(df.sparkSession))
+    return df.checkpoint()

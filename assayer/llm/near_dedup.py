@@ -25,9 +25,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assayer.llm._common import stored
+
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 40
@@ -162,16 +164,6 @@ def sketched(df: DataFrame, id_col: str, text_col: str, size: int, bands: int, r
     return source.mapInArrow(run, f"id {kind}, same binary, keys array<bigint>")
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint in the folder that the cluster shares."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        import tempfile
-
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
-
-
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float, size: int, weighted: bool) -> DataFrame:
     """Pairs (a, b) whose exact similarity reaches the threshold."""
     both = (

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import bpe, decontaminate, knn, language_id, near_dedup, pii, secrets, suffix_dedup, url_filter
+from assayer.llm import bpe, decontaminate, html_extract, knn, language_id, near_dedup, pii, secrets, suffix_dedup, url_filter
 from assayer.llm._common import documents
 
 
@@ -21,6 +21,12 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.decontaminate(documents(spark, sf_dir), benchmark))
 
 
+def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    texts = html_extract.extract(pages, html_extract.fit(spark))
+    return texts.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir))
 
@@ -67,6 +73,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
         "op2_decontamination": op2_decontamination,
+        "op3_html_extract": op3_html_extract,
         "op4_minhash_near_dedup": op4_minhash_near_dedup,
         "op5_suffix_dedup": op5_suffix_dedup,
         "op6_bpe": op6_bpe,

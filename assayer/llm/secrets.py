@@ -17,6 +17,7 @@ import string
 from collections import deque
 from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -260,7 +261,7 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return map_rows(df, [id_col], text_col, setup, SPANS_SQL)
 
 
-def redact_secrets(text: str, spans: list[tuple[str, int, int, float | None]], mark: str = "<secret>") -> str:
+def masked(text: str, spans: list[tuple[str, int, int, float | None]], mark: str) -> str:
     """Replace the union of the spans, overlapping ones once."""
     out, at = [], 0
     for _, s, e, _ in spans:
@@ -270,6 +271,23 @@ def redact_secrets(text: str, spans: list[tuple[str, int, int, float | None]], m
     return "".join([*out, text[at:]])
 
 
+def redact(
+    df: DataFrame, text_col: str = "text", threshold: float = 0.5, mark: str = "<secret>"
+) -> DataFrame:
+    """All rows and columns, with every secret of ``text_col`` replaced; a null text becomes empty."""
+    models = df.sparkSession.sparkContext.broadcast(automata())
+
+    def setup():  # noqa: ANN202
+        def work(texts: list[str]) -> dict[str, pa.Array]:
+            return {text_col: pa.array([masked(t, find_secrets(t, threshold, models.value), mark) for t in texts])}
+
+        return work
+
+    return map_rows(df, [c for c in df.columns if c != text_col], text_col, setup, f"`{text_col}` string").select(
+        *[F.col(f"`{c}`") for c in df.columns]
+    )
+
+
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     spans = F.col("spans")
     base = F.filter(spans, lambda s: s["kind"].isin(*KINDS))

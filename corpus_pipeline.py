@@ -1,8 +1,77 @@
-"""The corpus pipeline: stages over ``documents``, each written and read again."""
+"""The corpus pipeline over ``documents``.
 
-STAGES = []
-ORACLE_SQL = None
+Five stages, each a function of (spark, docs, sf_dir) whose result is written as
+Parquet and read again as the next one's input. All but the last return the
+columns of ``documents``; the last returns the token ids of what is left.
+"""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):  # noqa: ANN001, ANN201
-    raise NotImplementedError
+import uuid
+from collections.abc import Callable
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from assayer.llm import bpe, decontaminate, language_id, near_dedup, secrets
+from assayer.llm._common import checkpoint_folder, documents
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents in one of the languages; ``lang`` becomes the identified one."""
+    models = language_id.fit(docs, "lang", "text")
+    judged = language_id.identify_documents(docs, models).where(language_id.accepted())
+    return judged.withColumn("lang", F.col("language")).select(*COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document of least id of each near-duplicate class, and rows without an id."""
+    classes = near_dedup.near_duplicates(docs)
+    rest = classes.where("doc_id != class_id").select("doc_id").distinct()
+    left = docs.join(rest, "doc_id", "left_anti")
+    return left.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id IS NULL")).select(*COLUMNS)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents without any benchmark window."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    hit = decontaminate.decontaminate(docs, benchmark).where("n_hit > 0").select("doc_id").distinct()
+    return docs.join(hit, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace every secret by a mark; ``n_chars`` follows the text."""
+    return secrets.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each kept text, and the digests of ids and decoded bytes."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe.digest(bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", identify_language),
+    ("near_dedup", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("secret_scan", redact_secrets),
+    ("bpe", tokenize),
+]
+
+ORACLE_SQL = None  # the stages are classifiers, sketches and automata; tests compare with brute force
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in turn, each written to the folder that the cluster shares and read again."""
+    docs = documents(spark, sf_dir)
+    place = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for number, (name, stage) in enumerate(STAGES):
+        out = stage(spark, docs, sf_dir)
+        if number + 1 == len(STAGES):
+            return out
+        out.write.parquet(f"{place}/{number}-{name}")
+        docs = spark.read.parquet(f"{place}/{number}-{name}")
+    return docs
