@@ -59,10 +59,10 @@ def audit(df: DataFrame, order: str, target: str | None = None, config: core.Con
             document["target"] = vars(targets.detect(df, target, config=config))
         except core.AssayError as refused:
             document["target"] = {"refused": str(refused)}
-    for row in document["profile"]:
+    for row in (*document["profile"], *document["findings"]):
         for k, v in row.items():
             if isinstance(v, float) and math.isinf(v):
-                row[k] = None
+                row[k] = "infinite"
     document["digest"] = hashlib.sha256(canonical_json(document).encode()).hexdigest()
     profile.unpersist()
     findings.unpersist()
