@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from assayer import core
 from assayer.operators import evaluate, prepare, target
+from assayer.operators.neighbours import Knn
 
 
 @dataclass(frozen=True)
@@ -61,6 +62,7 @@ for _m in (
     Model("extra_trees_classifier", "classification", lambda n: C.RandomForestClassifier(numTrees=100, bootstrap=False, maxBins=8, seed=42)),
     Model("gradient_boosting_classifier", "classification", lambda n: C.GBTClassifier(maxIter=100, maxDepth=3, stepSize=0.1, seed=42), (), True),
     Model("hist_gradient_boosting_classifier", "classification", lambda n: C.GBTClassifier(maxIter=100, maxBins=255, stepSize=0.1, seed=42), (), True),
+    Model("knn_classifier", "classification", lambda n: Knn("classification"), ("knn",)),
     Model("dummy_classifier", "classification", lambda n: Baseline("classification"), ("dummy_class",)),
     Model("linear_regression", "regression", lambda n: R.LinearRegression(solver="normal"), ("linear",)),
     Model("ridge_regression", "regression", lambda n: R.LinearRegression(solver="normal", regParam=1 / n, standardization=False), ("ridge",)),
@@ -69,6 +71,7 @@ for _m in (
     Model("extra_trees_regressor", "regression", lambda n: R.RandomForestRegressor(numTrees=100, bootstrap=False, maxBins=8, seed=42)),
     Model("gradient_boosting_regressor", "regression", lambda n: R.GBTRegressor(maxIter=100, maxDepth=3, stepSize=0.1, seed=42)),
     Model("hist_gradient_boosting_regressor", "regression", lambda n: R.GBTRegressor(maxIter=100, maxBins=255, stepSize=0.1, seed=42)),
+    Model("knn_regressor", "regression", lambda n: Knn("regression"), ("knn_mean",)),
     Model("dummy_regressor", "regression", lambda n: Baseline("regression"), ("dummy_mean",)),
     Model("kmeans_clustering", "clustering", lambda n: K.KMeans(k=8, seed=42), ("kmeans",)),
     Model("bisecting_kmeans_clustering", "clustering", lambda n: K.BisectingKMeans(k=8, seed=42)),

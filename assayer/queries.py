@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from assayer import core
 from assayer.functions import stats
-from assayer.operators import charts, datetimes, evaluate, frequency, prepare, profile, quality, target
+from assayer.operators import charts, datetimes, evaluate, frequency, neighbours, prepare, profile, quality, target
 from assayer.plans import audit, models
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -500,6 +500,35 @@ def clustering(s: SparkSession, d: str) -> DataFrame:
     return models.cluster(t, "c_custkey", k=4)
 
 
+def neighbour_mean(s: SparkSession, d: str) -> DataFrame:
+    """Mean quantity of the three nearest even suppliers of each odd one, by balance and nation."""
+    t = table(s, d, "supplier").select("s_suppkey", F.array(F.col("s_acctbal") / 1000, F.col("s_nationkey").cast("double")).alias("v"))
+    near = neighbours.nearest_labels(
+        t.where("s_suppkey % 2 = 0").select("v", F.col("s_suppkey").alias("label")), t.where("s_suppkey % 2 = 1").select(F.col("s_suppkey").alias("q"), "v"), 3
+    )
+    return rounded(near.groupBy("q").agg(F.avg("label").alias("mean_label")))
+
+
+add(
+    "m3_nearest_neighbours",
+    neighbour_mean,
+    """WITH t AS (SELECT s_suppkey AS k, s_acctbal / 1000 AS x, s_nationkey::DOUBLE AS y FROM supplier),
+       r AS (SELECT a.k AS q, b.k AS label, row_number() OVER (PARTITION BY a.k ORDER BY sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)), b.k) AS n
+             FROM t a JOIN t b ON a.k % 2 = 1 AND b.k % 2 = 0)
+       SELECT q, round(avg(label), 6) AS mean_label FROM r WHERE n <= 3 GROUP BY q""",
+)
+add(
+    "m21_dbscan",
+    lambda s, d: neighbours.dbscan(
+        table(s, d, "supplier").select("s_suppkey", (F.col("s_acctbal") / 1000).alias("x"), F.col("s_nationkey").cast("double").alias("y")), "s_suppkey", ["x", "y"], 1.1, 4
+    ),
+    """WITH RECURSIVE t AS (SELECT s_suppkey AS k, s_acctbal / 1000 AS x, s_nationkey::DOUBLE AS y FROM supplier),
+       p AS (SELECT a.k AS a, b.k AS b FROM t a JOIN t b ON pow(a.x - b.x, 2) + pow(a.y - b.y, 2) <= 1.1 * 1.1),
+       c AS (SELECT a AS k FROM p GROUP BY a HAVING count(*) >= 4),
+       r(k, m) AS (SELECT k, k FROM c UNION SELECT p.b, r.m FROM r JOIN p ON p.a = r.k JOIN c ON c.k = p.b),
+       l AS (SELECT k, min(m) AS m FROM r GROUP BY k)
+       SELECT t.k AS s_suppkey, coalesce((SELECT m FROM l WHERE l.k = t.k), (SELECT min(l.m) FROM p JOIN l ON l.k = p.b WHERE p.a = t.k), -1) AS cluster FROM t""",
+)
 add("e8_model_comparison", model_comparison)
 add("e20_clustering", clustering)
 

@@ -6,10 +6,11 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from assayer import core, sources, streaming
+from assayer import cli, core, sources, streaming
 from assayer.functions import stats
 from assayer.operators import datetimes, evaluate, frequency, prepare, profile, quality, target
 from assayer.plans import audit, models
+from assayer.plans.session import Session, SessionOrderError
 
 
 def numbers(spark, values):
@@ -233,3 +234,29 @@ def test_streamed_profile(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert spark.table("profiled").count() == 3
+
+
+# ---- neighbours, session and command line ----
+
+
+def test_session_order_and_final_evaluation(spark):
+    draw = random.Random(11)
+    rows = [(i, x := draw.gauss(0, 1), draw.gauss(0, 1), int(x > 0)) for i in range(300)]
+    df = spark.createDataFrame(rows, "k long, x double, z double, y long")
+    session = Session(spark).load(df, "k", "y")
+    with pytest.raises(SessionOrderError):
+        session.select("knn")
+    board = session.compare_models(["knn_classifier", "dummy_classifier"])
+    assert board.where("rank = 1").first()["model"] == "knn_classifier"
+    session.select("knn_classifier")
+    fresh = spark.createDataFrame([(1000 + i, x := draw.gauss(0, 1), 0.0, int(x > 0)) for i in range(60)], df.schema)
+    assert session.evaluate_final(fresh)["accuracy"] > 0.8
+    with pytest.raises(SessionOrderError):
+        session.evaluate_final(fresh)
+
+
+def test_command_line(spark, tmp_path, capsys):
+    planted(spark).write.parquet(str(tmp_path / "t.parquet"))
+    assert cli.main(["audit", str(tmp_path / "t.parquet"), "--key", "k", "--target", "Churn", "--out", str(tmp_path / "out")], spark) == 3
+    assert "BLOCKED" in capsys.readouterr().out
+    assert cli.main(["audit", str(tmp_path / "t.xlsx"), "--key", "k"], spark) == 1
