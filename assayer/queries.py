@@ -532,6 +532,79 @@ add(
 add("e8_model_comparison", model_comparison)
 add("e20_clustering", clustering)
 
+# ---- further checks, predicates, preparation and charts ----
+
+
+def finding(code: str) -> Query:
+    return lambda s, d: rounded(
+        quality.from_profile(profile.profile(odd(s, d), "c_custkey"), "y").where(F.col("code") == code).select("column", "severity", "value")
+    )
+
+
+def odd(s: SparkSession, d: str) -> DataFrame:
+    """customer with a near-constant, an infinite and a numeric-text column."""
+    return table(s, d, "customer").select(
+        "c_custkey", "c_name", F.when(F.col("c_custkey") % 100 == 1, "rare").otherwise("usual").alias("mostly"),
+        F.when(F.col("c_custkey") % 50 == 2, float("inf")).otherwise(F.col("c_acctbal")).alias("endless"),
+        F.when(F.col("c_custkey") % 10 == 3, "unknown").otherwise(F.col("c_nationkey").cast("string")).alias("coded"), (F.col("c_acctbal") > 0).alias("y"),
+    )
+
+
+add("q2_duplicate_rows", lambda s, d: quality.duplicates(table(s, d, "lineitem").select("l_suppkey", "l_quantity")).select("code", "value"),
+    "SELECT 'duplicate_rows' AS code, (sum(n) - count(*))::DOUBLE AS value FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_suppkey, l_quantity)")
+add("q4_near_constant", finding("near_constant_column"),
+    """SELECT 'mostly' AS "column", 'WARNING' AS severity, round(avg((c_custkey % 100 <> 1)::INT), 6) AS value FROM customer""")
+add("q5_high_cardinality", finding("high_cardinality"),
+    """SELECT 'c_name' AS "column", 'WARNING' AS severity, count(DISTINCT c_name)::DOUBLE AS value FROM customer""")
+add("q6_id_like", finding("possible_id_like"))
+add("q8_infinite_values", finding("infinite_values"),
+    """SELECT 'endless' AS "column", 'ERROR' AS severity, count(*)::DOUBLE AS value FROM customer WHERE c_custkey % 50 = 2""")
+add("q7_numeric_text", lambda s, d: rounded(quality.numeric_text(odd(s, d), ["coded", "mostly"], "c_custkey")),
+    """SELECT 'coded' AS "column", round(avg((c_custkey % 10 <> 3)::INT), 6) AS share, false AS leading_zeros, true AS numeric_text
+       FROM (SELECT c_custkey FROM customer ORDER BY c_custkey LIMIT 1000) UNION ALL SELECT 'mostly', 0, false, false""")
+add("q20_verdict", lambda s, d: s.createDataFrame([(quality.verdict(quality.from_profile(profile.profile(odd(s, d), "c_custkey"))),)], "verdict string"),
+    "SELECT 'BLOCKED' AS verdict")
+add("p2_pairwise_complete", lambda s, d: dirty(s, d).where("gappy IS NOT NULL AND wild IS NOT NULL").agg(F.count("*").alias("pairs")),
+    f"SELECT count(*) AS pairs FROM {DIRTY} WHERE gappy IS NOT NULL AND wild IS NOT NULL")
+add("p9_finite_values", lambda s, d: odd(s, d).agg(F.count(core.finite(F.col("endless"))).alias("finite"), F.count("endless").alias("present")),
+    "SELECT count(*) FILTER (WHERE c_custkey % 50 <> 2) AS finite, count(*) AS present FROM customer")
+add("a3_missing_by_column", lambda s, d: profile.basic(dirty(s, d)).select("column", "missing"),
+    f"""SELECT unnest(['o_orderkey', 'gappy', 'wild', 'constant', 'status', 'target']) AS "column",
+        unnest([0, count(*) - count(gappy), 0, 0, 0, 0])::BIGINT AS missing FROM {DIRTY}""")
+add("f7_totals", lambda s, d: frequency.frequency_table(table(s, d, "part"), "p_brand").agg(F.sum("count").alias("total"), F.count("*").alias("n_distinct")),
+    "SELECT count(p_brand) AS total, count(DISTINCT p_brand) AS n_distinct FROM part")
+add("t3_spacings", lambda s, d: datetimes.spacings(table(s, d, "orders"), "o_orderdate").select("at", "delta"),
+    """SELECT epoch_us(t) AS at, epoch_us(t) - lag(epoch_us(t)) OVER (ORDER BY t) AS delta FROM (SELECT DISTINCT o_orderdate AS t FROM orders)""")
+add("r17_impute_most_frequent", lambda s, d: prepare.fit(
+        t := table(s, d, "customer").select("c_custkey", F.when(F.col("c_custkey") % 3 != 0, F.col("c_mktsegment")).alias("w")), [prepare.Step("w", "categorical", impute="most_frequent")]
+    ).transform(t, ["c_custkey"]),
+    """WITH t AS (SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment END AS w FROM customer)
+       SELECT c_custkey, coalesce(w, (SELECT w FROM t WHERE w IS NOT NULL GROUP BY w ORDER BY count(*) DESC, w LIMIT 1)) AS w FROM t""")
+add("r21_mapping", lambda s, d: prepare.fit(
+        t := table(s, d, "orders").select("o_orderkey", "o_orderstatus"), [prepare.Step("o_orderstatus", "mapped", mapping={"F": 1.5, "O": 2.5}, default=0.0)]
+    ).transform(t, ["o_orderkey"]),
+    "SELECT o_orderkey, (CASE o_orderstatus WHEN 'F' THEN 1.5 WHEN 'O' THEN 2.5 ELSE 0 END)::DOUBLE AS o_orderstatus FROM orders")
+add("r22_numeric_text_parse", lambda s, d: prepare.fit(t := odd(s, d).select("c_custkey", "coded"), [prepare.Step("coded", "numeric_text", impute="mean")])
+    .transform(t, ["c_custkey"]).agg(F.round(F.avg("coded"), 6).alias("mean"), F.count("*").alias("rows")),
+    "SELECT round(avg(c_nationkey) FILTER (WHERE c_custkey % 10 <> 3), 6) AS mean, count(*) AS rows FROM customer")
+add("e1_split", lambda s, d: evaluate.split_digest(evaluate.split_rows(table(s, d, "orders"), "o_orderkey", stratify="o_orderstatus"), "o_orderkey"))
+add("e5_split_is_complete", lambda s, d: evaluate.split_rows(table(s, d, "orders"), "o_orderkey").groupBy("o_orderkey").agg(F.count_distinct("split").alias("sides")).groupBy("sides").count(),
+    "SELECT 1::BIGINT AS sides, count(DISTINCT o_orderkey) AS count FROM orders")
+add("e9_ranking", lambda s, d: evaluate.leaderboard(
+        table(s, d, "nation").select(F.col("n_name").alias("model"), F.nullif(F.col("n_regionkey"), F.lit(2)).alias("score")), "score"
+    ),
+    """SELECT n_name AS model, nullif(n_regionkey, 2) AS score, CASE WHEN n_regionkey <> 2 THEN
+       row_number() OVER (ORDER BY nullif(n_regionkey, 2) DESC NULLS LAST, n_name) END::INT AS rank FROM nation""")
+add("c4_target_associations", lambda s, d: rounded(charts.target_associations(table(s, d, "lineitem"), "l_extendedprice", ["l_quantity", "l_tax"])),
+    """SELECT 'l_quantity' AS "column", round(abs(corr(l_quantity, l_extendedprice)), 6) AS r FROM lineitem
+       UNION ALL SELECT 'l_tax', round(abs(corr(l_tax, l_extendedprice)), 6) FROM lineitem""")
+add("c9_bars", lambda s, d: charts.bars(table(s, d, "part"), "p_brand", 8),
+    """WITH r AS (SELECT p_brand AS label, count(*) AS count, row_number() OVER (ORDER BY count(*) DESC, p_brand) AS k FROM part GROUP BY 1)
+       SELECT label, count FROM r WHERE k <= 8 UNION ALL SELECT 'Other', sum(count)::BIGINT FROM r WHERE k > 8 HAVING count(*) > 0""")
+add("c15_grouped_bars", lambda s, d: frequency.grouped_tally(table(s, d, "orders"), "o_orderpriority", "o_orderstatus"),
+    "SELECT o_orderpriority, o_orderstatus, count(*) AS count FROM orders GROUP BY 1, 2")
+add("c16_sample", lambda s, d: charts.sample(table(s, d, "orders"), "o_orderkey", 50))
+
 
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
