@@ -9,10 +9,12 @@ documents agree in a coordinate with the probability of their weighted Jaccard
 similarity, at a cost of some darts a coordinate, not of elements times coordinates.
 
 Bands of the signatures join candidates. Documents with equal shingle sets are one
-representative first. Each band bucket then links its members to its least member;
-exactly verified links are joined to components. Buckets that still hold several
-components are joined pair by pair across components, verified and joined again,
-so a bucket of one large group never gives all its pairs.
+representative first. Each member is then compared with the least of its buckets,
+and exactly verified links join classes. Of a bucket that still holds several
+classes one member of the largest is compared with the members of the others.
+What is left in different classes is compared
+pair by pair, so no link is lost, and a bucket of one large group, which is one
+class by then, never gives all its pairs.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm._common import stored
+from assayer.operators.graph import components, stored
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -37,7 +39,7 @@ ROWS = 6  # at similarity 0.8 a pair is missed with probability (1 - 0.8**6)**40
 WORD = re.compile(r"\w+")
 U64 = np.uint64
 FLOOR = 4  # the first rank cell is [0, 1/16)
-ROUNDS = 80
+TURNS = 1  # cheap rounds before all remaining pairs of mixed buckets are compared
 
 
 @lru_cache(maxsize=100_000)
@@ -193,28 +195,17 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float, size: int, we
     return both.mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """Least id of each linked id's component: ``id``, ``class``.
-
-    Each round every id takes the least class among its neighbours and itself, then
-    the class of that class; rounds grow with the logarithm of the longest chain.
-    """
-    edges = stored(links.select("a", "b").union(links.select("b", "a")).distinct())
-    state = stored(edges.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("class")))
-    for _ in range(ROUNDS):
-        near = (
-            edges.join(state.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("class").alias("near"))
-        )
-        hop = state.join(near, "id").select("id", "class", F.least("class", "near").alias("next"))
-        up = state.select(F.col("id").alias("next"), F.col("class").alias("up"))
-        after = stored(
-            hop.join(up, "next", "left").select("id", F.least("next", F.coalesce("up", "next")).alias("class"), (F.col("class") != F.least("next", F.coalesce("up", "next"))).alias("moved"))
-        )
-        moved = after.where("moved").limit(1).count()
-        state = after.select("id", "class")
-        if not moved:
-            return state
-    raise RuntimeError("components did not settle")
+def merged(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """``classes`` (rep, class) after joining the classes of each link's ends."""
+    ends = links
+    for side in ("a", "b"):
+        ends = ends.join(classes.select(F.col("rep").alias(side), F.col("class").alias(f"c{side}")), side)
+    ends = stored(ends.where("ca != cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
+    if not ends.limit(1).count():
+        return classes
+    small = components(ends)
+    up = small.select(F.col("id").alias("class"), F.col("class").alias("up"))
+    return stored(classes.join(up, "class", "left").select("rep", F.coalesce("up", "class").alias("class")))
 
 
 def near_duplicates(
@@ -238,38 +229,51 @@ def near_duplicates(
     sketches = stored(sketched(df, id_col, text_col, size, bands, rows, weighted))
     # Equal sets, and rows of one id, are one representative before anything is joined.
     heads = sketches.groupBy("same").agg(F.min("id").alias("rep"), F.first("keys").alias("keys"))
-    member = sketches.select("id", "same").join(heads.select("same", "rep"), "same").select("id", "rep").distinct()
+    member = stored(sketches.select("id", "same").join(heads.select("same", "rep"), "same").select("id", "rep").distinct())
     keys = heads.select("rep", F.posexplode("keys").alias("band", "key")).select("rep", F.xxhash64("band", "key").alias("bucket"))
     # Only buckets of two or more can link.
     shared = keys.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("least")).where("n > 1")
     full = stored(keys.join(shared.select("bucket", "least"), "bucket"))
-    reps = full.select(F.col("rep").alias("id")).distinct()
-    texts = (
-        df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-        .join(reps, "id", "left_semi")
-        .join(sketches.select("id", "same").join(heads.select("same", F.col("rep").alias("id")), ["same", "id"]).select("id").distinct(), "id", "left_semi")
-        .dropDuplicates(["id"])
-    )
-    stars = full.where("rep != least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
-    links = stored(verified(stars, texts, threshold, size, weighted))
-    same_id = member.where("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    first = components(links)
-    # Members of a bucket in different components, less the pairs that were tried.
-    placed = full.join(first.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "rep", "least", F.coalesce("class", "rep").alias("class"))
-    mixed = placed.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low != high").select("bucket")
-    open_ = stored(placed.join(mixed, "bucket"))
-    x, y = (open_.select("bucket", "least", F.col("rep").alias(r), F.col("class").alias(c)) for r, c in (("a", "ca"), ("b", "cb")))
-    rest = (
-        x.join(y.drop("least"), "bucket")
-        .where("a < b AND ca != cb AND a != least AND b != least")
-        .select("a", "b")
-        .distinct()
+    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(
+        full.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"
     )
-    more = verified(rest, texts, threshold, size, weighted)
-    every = stored(links.union(more).union(same_id))
-    classes = components(every)
+    own = member.groupBy("id").agg(F.min("rep").alias("low"))
+    classes = stored(member.select("rep").distinct().select("rep", F.col("rep").alias("class")))
+    if member.groupBy("id").count().where("count > 1").limit(1).count():
+        texts = texts.dropDuplicates(["id"])  # ids that repeat with other texts: any of them stands for the id
+        same_id = member.join(own, "id").where("rep != low").select(F.col("low").alias("a"), F.col("rep").alias("b"))
+        classes = merged(classes, same_id)
+
+    # One pair a member first, with the least of all its buckets' least.
+    pairs = full.groupBy(F.col("rep").alias("b")).agg(F.min("least").alias("a")).where("a != b").select("a", "b")
+    tried = stored(pairs)
+    classes = merged(classes, stored(verified(tried, texts, threshold, size, weighted)))
+    for turn in range(TURNS):
+        pairs = stored(across(full, classes, turn).join(tried, ["a", "b"], "left_anti"))
+        if not pairs.limit(1).count():
+            break
+        classes = merged(classes, stored(verified(pairs, texts, threshold, size, weighted)))
+        tried = tried.union(pairs)
+    # Whatever still lies in one bucket and in different classes is compared without exception.
+    placed = full.join(classes, "rep")
+    mixed = placed.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low != high")
+    open_ = stored(placed.join(mixed.select("bucket"), "bucket"))
+    x, y = (open_.select("bucket", F.col("rep").alias(r), F.col("class").alias(c)) for r, c in (("a", "ca"), ("b", "cb")))
+    rest = x.join(y, "bucket").where("a < b AND ca != cb").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+    classes = merged(classes, stored(verified(rest, texts, threshold, size, weighted)))
     return (
         df.select(F.col(id_col).alias("id"))
-        .join(classes, "id", "left")
+        .join(own.join(classes, F.col("low") == F.col("rep")).select("id", "class"), "id", "left")
         .select(F.col("id").alias(id_col), F.coalesce("class", "id").alias("class_id"))
     )
+
+
+def across(full: DataFrame, classes: DataFrame, turn: int) -> DataFrame:
+    """Pairs of a mixed bucket: one member of its largest class, another each turn, with all that are in other classes."""
+    placed = full.select("bucket", "rep").join(classes, "rep")
+    sizes = placed.groupBy("bucket", "class").agg(
+        F.count("*").alias("n"), F.min_by("rep", F.xxhash64("rep", F.lit(turn))).alias("lead")
+    )
+    top = sizes.groupBy("bucket").agg(F.max(F.struct("n", "class", "lead")).alias("top"), F.count("*").alias("k")).where("k > 1")
+    other = placed.join(top.select("bucket", "top"), "bucket").where(F.col("class") != F.col("top.class"))
+    return other.select(F.least("rep", "top.lead").alias("a"), F.greatest("rep", "top.lead").alias("b")).distinct()

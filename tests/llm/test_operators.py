@@ -26,6 +26,7 @@ from assayer.llm import (
     suffix_dedup,
     url_filter,
 )
+from assayer.operators import graph
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, spans string, n_words int, ids string, class_id string, text_log string"
@@ -307,7 +308,7 @@ def test_near_duplicate_classes_against_all_pairs(spark):
 
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(900, 901)], "a long, b long")
-    got = {r["id"]: r["class"] for r in near_dedup.components(links).collect()}
+    got = {r["id"]: r["class"] for r in graph.components(links).collect()}
     assert {got[i] for i in range(201)} == {0}
     assert got[901] == 900
 
