@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+ROWS_AT_ONCE = 1_000  # texts and results that a Python worker holds at once
+
 
 def map_rows(
     df: DataFrame,
@@ -29,12 +31,13 @@ def map_rows(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = setup()
-        for batch in batches:
-            texts = [t or "" for t in batch.column(len(keep)).to_pylist()]
-            made = work(texts)
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(i) for i in range(len(keep))], *made.values()], names=[*keep, *made]
-            )
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch = whole.slice(at, ROWS_AT_ONCE)
+                made = work([t or "" for t in batch.column(len(keep)).to_pylist()])
+                yield pa.RecordBatch.from_arrays(
+                    [*[batch.column(i) for i in range(len(keep))], *made.values()], names=[*keep, *made]
+                )
 
     return source.mapInArrow(run, f"{kept}, {schema}" if kept else schema)
 
@@ -84,11 +87,3 @@ def checkpoint_folder(spark: SparkSession) -> str:
         folder = tempfile.mkdtemp(prefix="checkpoint-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint in the shared folder."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(checkpoint_folder(df.sparkSession))
-    return df.checkpoint()

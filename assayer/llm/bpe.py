@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from assayer.llm._common import map_rows, sha
 
 #: Pieces whose ids a worker remembers; beyond it the memory starts afresh.
-CACHE = 300_000
+CACHE = 200_000
 
 
 class Vocabulary:
