@@ -25,7 +25,7 @@ def components(links: DataFrame) -> DataFrame:
     the class of that class; rounds grow with the logarithm of the longest chain.
     """
     edges = stored(links.select("a", "b").union(links.select("b", "a")).distinct())
-    state = stored(edges.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("class")))
+    state = edges.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("class"))
     for _ in range(ROUNDS):
         near = edges.join(state.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("class").alias("near"))
         hop = state.join(near, "id").select("id", "class", F.least("class", "near").alias("next"))
