@@ -4,14 +4,14 @@ A byte goes when a string of ``length`` bytes that covers it also starts in a
 document with a smaller id. The work is that of a suffix array cut off at
 ``length``, built bucket by bucket:
 
-1. Every start of a string is given to its anchor, the 16-byte gram of least hash
+1. Every start of a string is given to its anchor, the 24-byte gram of least hash
    inside the string. Equal strings have the same anchor at the same place, so a
    bucket of anchors holds all copies of its strings. One pass finds the anchors
    that occur in two documents; no other suffix can repeat.
 2. The suffixes of those anchors, as snippets of text with equal snippets merged,
    are dealt to buckets by anchor. An anchor found in very many blocks is hot; its
    suffixes are dealt one by one by their own bytes instead.
-3. A bucket is sorted one leading-byte range at a time. Ties of the first eight
+3. A bucket is sorted one leading-byte range at a time. Ties of the first sixteen
    bytes are resolved by the precomputed ranks of a difference-cover sample: two
    suffixes are compared at the shift that puts both in the sample. Neighbours in
    the order that agree in all ``length`` bytes form a class, and its smallest
@@ -33,12 +33,14 @@ from pyspark.sql import functions as F
 from assayer.llm._common import total_bytes
 
 LENGTH = 50
-GRAM = 16
-BLOCK_BYTES = 2 << 20  # text of a block, and of the share that a bucket answers for
+GRAM = 24  # long enough that ordinary phrases do not make an anchor repeat
+BLOCK_BYTES = 16 << 20  # text of a block: copies inside one are sent on once
+BUCKET_BYTES = 2 << 20  # text of the share that a bucket answers for
+LEAST_BLOCKS = 64
 PIECE = 1 << 20  # bytes whose anchors are found at once; under 2**24
 HOT_BLOCKS = 200  # blocks from which on an anchor is hot
 SORT_AT_ONCE = 1 << 18  # suffixes of a leading-byte range
-COVERS = {3: (0, 1), 7: (0, 1, 3)}  # difference covers; shifts stay within the eight bytes sorted first
+COVERS = {3: (0, 1), 7: (0, 1, 3)}  # difference covers; shifts stay within the bytes sorted first
 
 U64 = np.uint64
 NO_ID = 2**63 - 1  # stands for a null id
@@ -66,7 +68,8 @@ def find_anchors(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.nd
         return none
     w = words(data)
     h = w[: len(data) - GRAM + 1] * U64(0x9E3779B97F4A7C15)
-    h ^= mix(w[8 : len(data) - GRAM + 9] * U64(0xC2B2AE3D27D4EB4F))
+    for i in range(8, GRAM - 7, 8):
+        h = mix(h) ^ (w[i : len(data) - GRAM + 1 + i] * U64(0xC2B2AE3D27D4EB4F))
     h = mix(h)
     low = U64((1 << 24) - 1)
     key = (h & ~low) | np.arange(len(h), dtype=U64)
@@ -89,6 +92,20 @@ def find_anchors(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.nd
     return starts[cut], count, place, h[place]
 
 
+def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Compress each text for the one shuffle of all texts; ``n`` is its length."""
+    for batch in batches:
+        raw = [x.as_py() or b"" for x in batch.column(4)]
+        text = pa.array([pa.compress(x, codec="zstd", asbytes=True) if x else b"" for x in raw], pa.binary())
+        n = pa.array([len(x) for x in raw], pa.int32())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], text, n], names=[*batch.schema.names[:4], "text", "n"])
+
+
+def texts_of(table: pa.Table) -> Iterator[bytes]:
+    for text, n in zip(table.column("text"), table.column("n"), strict=True):
+        yield pa.decompress(text.as_py(), n.as_py(), codec="zstd", asbytes=True) if n.as_py() else b""
+
+
 def pieces(table: pa.Table, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Texts of a block in bounded parts: bytes, ends, and of each its row and offset."""
     held: list[bytes] = []
@@ -104,8 +121,7 @@ def pieces(table: pa.Table, length: int) -> Iterator[tuple[np.ndarray, np.ndarra
             np.array(offs),
         )
 
-    for row, text in enumerate(table.column("text")):
-        raw = text.as_py() or b""
+    for row, raw in enumerate(texts_of(table)):
         for at in range(0, max(1, len(raw) - length + 1), PIECE):
             held.append(raw[at : at + PIECE + length - 1])
             rows.append(row)
@@ -207,15 +223,16 @@ def member(x: np.ndarray, among: np.ndarray) -> np.ndarray:
 
 def block_snippets(table: pa.Table, back: pa.Table, buckets: int, length: int) -> pa.Table:
     """Snippets of a block's repeated anchors: distinct texts and all their places, by bucket."""
-    names = ("bucket", "blk", "sizes", "texts", "of", "row", "pos", "doc")
-    kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 6)
+    names = ("bucket", "blk", "snippets", "n", "size", "packed")
+    kinds = (*[pa.int32()] * 4, pa.int64(), pa.binary())
     empty = pa.table({n: pa.array([], k) for n, k in zip(names, kinds, strict=True)})
     if not table.num_rows or not back.num_rows:
         return empty
     table = in_order(table)
     docs = table.column("doc").to_numpy()
     kept, hot = joined(back, "kept"), joined(back, "hot")
-    made: dict[int, tuple[dict[bytes, int], list, list, list, list]] = {}
+    texts: list[bytes] = []
+    buckets_of, in_rows, places = [], [], []
     for data, ends, rows, offs in pieces(table, length):
         first, count, _, h = find_anchors(data, ends, length)
         bucket, rest = bucket_of(h, buckets)
@@ -224,38 +241,33 @@ def block_snippets(table: pa.Table, back: pa.Table, buckets: int, length: int) -
         # A hot anchor's starts become snippets of their own, dealt by their bytes.
         single = np.repeat(first[burning], count[burning])
         single += np.arange(len(single)) - np.repeat(np.cumsum(count[burning]) - count[burning], count[burning])
-        first = np.concatenate((first[warm], single))
-        count = np.concatenate((count[warm], np.ones(len(single), np.int64)))
-        bucket = bucket[warm].astype(np.int64).tolist()
         text = data.tobytes()
+        alone = [text[a : a + length] for a in single.tolist()]
+        dealt = [int.from_bytes(hashlib.blake2b(x, digest_size=6).digest(), "little") % buckets for x in alone]
+        stop = (first + count + length - 1)[warm]
+        texts += [text[a:b] for a, b in zip(first[warm].tolist(), stop.tolist(), strict=True)] + alone
+        buckets_of += [bucket[warm].astype(np.int64), np.array(dealt, np.int64)]
+        first = np.concatenate((first[warm], single))
         which = np.searchsorted(ends, first, side="right")
-        begin = np.concatenate(([0], ends[:-1]))
-        row = rows[which]
-        pos = first - begin[which] + offs[which]
-        stop = (first + count + length - 1).tolist()
-        for i, (a, b, r, p) in enumerate(zip(first.tolist(), stop, row.tolist(), pos.tolist(), strict=True)):
-            snippet = text[a:b]
-            at = (
-                bucket[i]
-                if i < len(bucket)
-                else int.from_bytes(hashlib.blake2b(snippet, digest_size=6).digest(), "little") % buckets
-            )
-            known, of, in_row, place, doc = made.setdefault(at, ({}, [], [], [], []))
-            of.append(known.setdefault(snippet, len(known)))
-            in_row.append(r)
-            place.append(p)
-            doc.append(docs[r])
-    if not made:
+        in_rows.append(rows[which])
+        places.append(first - np.concatenate(([0], ends[:-1]))[which] + offs[which])
+    if not texts:
         return empty
+    bucket, row, pos = map(np.concatenate, (buckets_of, in_rows, places))
+    order = np.argsort(bucket, kind="stable")
+    bucket, row, pos, doc = bucket[order], row[order], pos[order], docs[row[order]]
+    texts = [texts[i] for i in order.tolist()]
+    cut = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))).tolist()
     blk = table.column("blk")[0].as_py()
     cols: dict[str, list] = {n: [] for n in names}
-    for at, (known, of, row, pos, doc) in made.items():
-        cols["bucket"].append(at)
-        cols["blk"].append(blk)
-        cols["sizes"].append(np.array([len(s) for s in known], "<u4").tobytes())
-        cols["texts"].append(b"".join(known))
-        for n, values, kind in (("of", of, "<u4"), ("row", row, "<u4"), ("pos", pos, "<i8"), ("doc", doc, "<i8")):
-            cols[n].append(np.array(values, kind).tobytes())
+    for a, b in zip(cut, [*cut[1:], len(bucket)], strict=True):
+        known: dict[bytes, int] = {}
+        of = np.array([known.setdefault(x, len(known)) for x in texts[a:b]], "<u4")
+        sizes = np.array([len(x) for x in known], "<u4").tobytes()
+        parts = [sizes, of.tobytes(), row[a:b].astype("<u4").tobytes(), pos[a:b].astype("<u4").tobytes(), doc[a:b].astype("<i8").tobytes()]
+        raw = b"".join([*parts, *known])
+        for n, value in zip(names, (int(bucket[a]), blk, len(known), b - a, len(raw), pa.compress(raw, codec="zstd", asbytes=True)), strict=True):
+            cols[n].append(value)
     return pa.table({n: pa.array(cols[n], k) for n, k in zip(names, kinds, strict=True)})
 
 
@@ -267,24 +279,21 @@ def shifts(v: int) -> np.ndarray:
     )
 
 
-def cover_ranks(text: np.ndarray, v: int, length: int) -> np.ndarray:
-    """Rank of each sample position by its first ``length`` bytes; 0 elsewhere.
+def cover_ranks(text: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sample positions ``at``, sorted, and their ranks by their first ``length`` bytes.
 
     ``text`` ends in at least length + v + 8 bytes of padding.
     """
-    n = len(text) - length - 8
-    at = np.concatenate([np.arange(r, n, v) for r in COVERS[v]])
+    at = np.unique(at)
     w = words(text, ">")
-    keys = [w[at + i].astype(U64) for i in range(0, length - 7, 8)]
-    if length % 8:
-        keys.append(w[at + length - 8].astype(U64))
+    keys = [w[at + i].astype(U64) for i in [*range(0, length - 7, 8), *[length - 8] * (length % 8 > 0)]]
     order = np.lexsort(keys[::-1])
     new = np.zeros(len(at), bool)
     for k in keys:
         new[1:] |= k[order[1:]] != k[order[:-1]]
-    ranks = np.zeros(n, np.int64)
-    ranks[at[order]] = np.cumsum(new) + 1
-    return ranks
+    ranks = np.empty(len(at), np.int64)
+    ranks[order] = np.cumsum(new) + 1
+    return at, ranks
 
 
 def same_strings(text: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
@@ -295,18 +304,40 @@ def same_strings(text: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) ->
     return equal
 
 
-def sort_bucket(text: np.ndarray, starts: np.ndarray, ranks: np.ndarray, v: int) -> np.ndarray:
-    """``starts`` in suffix order: eight bytes first, ties by the ranks of the cover sample."""
-    key = words(text, ">")[starts].astype(U64)
+def tied_groups(starts: np.ndarray, group: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.bincount(group)[group] > 1)
+
+
+def prefix_order(text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``starts`` by their first 16 bytes, and the number of each one's group of equals."""
+    w = words(text, ">")
+    key = w[starts].astype(U64)
     order = np.argsort(key, kind="stable")
     starts, key = starts[order], key[order]
-    new = np.concatenate(([True], key[1:] != key[:-1]))
-    group = np.cumsum(new) - 1
-    tied = np.flatnonzero(np.bincount(group)[group] > 1)
+    group = np.cumsum(np.concatenate(([False], key[1:] != key[:-1])))
+    tied = tied_groups(starts, group)
+    if not len(tied):
+        return starts, group
+    after = w[starts[tied] + 8].astype(U64)
+    order = np.lexsort((after, group[tied]))
+    starts[tied] = starts[tied][order]
+    split = np.zeros(len(starts), bool)
+    split[tied[1:]] = after[order][1:] != after[order][:-1]
+    return starts, np.cumsum(np.concatenate(([False], group[1:] != group[:-1])) | split)
+
+
+def sort_bucket(text: np.ndarray, starts: np.ndarray, v: int, length: int) -> np.ndarray:
+    """``starts`` in suffix order: 16 bytes first, longer ties by the ranks of the cover sample."""
+    starts, group = prefix_order(text, starts)
+    tied = tied_groups(starts, group)
     if not len(tied):
         return starts
     at, g = starts[tied], group[tied]
-    residue, shift, width = at % v, shifts(v), int(ranks.max()) + 2
+    residue, shift = at % v, shifts(v)
+    sample = np.concatenate([(at + d)[np.isin((at + d) % v, COVERS[v])] for d in range(shift.max() + 1)])
+    sample, ranks = cover_ranks(text, sample, length)
+    rank_at = lambda x: ranks[np.searchsorted(sample, x)]
+    width = len(sample) + 2
     below = np.zeros(len(at), np.int64)  # suffixes of its group that come before each
     for b in range(v):
         other = np.flatnonzero(residue == b)
@@ -317,16 +348,15 @@ def sort_bucket(text: np.ndarray, starts: np.ndarray, ranks: np.ndarray, v: int)
             if not len(mine):
                 continue
             d = shift[a, b]
-            theirs = np.sort(g[other] * width + ranks[at[other] + d])
+            theirs = np.sort(g[other] * width + rank_at(at[other] + d))
             base = g[mine] * width
-            below[mine] += np.searchsorted(theirs, base + ranks[at[mine] + d]) - np.searchsorted(theirs, base)
+            below[mine] += np.searchsorted(theirs, base + rank_at(at[mine] + d)) - np.searchsorted(theirs, base)
     starts[tied] = at[np.lexsort((below, g))]
     return starts
 
 
 def sorted_classes(text: np.ndarray, starts: np.ndarray, v: int, length: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """One leading-byte range after the other: its starts in suffix order and their classes."""
-    ranks = cover_ranks(text, v, length)
     lead = text[starts]
     by_lead = starts[np.argsort(lead, kind="stable")]
     counts = np.bincount(lead, minlength=256)
@@ -334,7 +364,7 @@ def sorted_classes(text: np.ndarray, starts: np.ndarray, v: int, length: int) ->
     for n in [*counts.tolist(), None]:
         if n is None or (end > begin and end + n - begin > SORT_AT_ONCE):
             if end > begin:
-                part = sort_bucket(text, by_lead[begin:end], ranks, v)
+                part = sort_bucket(text, by_lead[begin:end], v, length)
                 new = np.concatenate(([True], ~same_strings(text, part[1:], part[:-1], length)))
                 yield part, np.cumsum(new) - 1
             begin = end
@@ -345,17 +375,19 @@ def bucket_repeats(table: pa.Table, v: int, length: int) -> pa.Table:
     """Of one bucket: the runs of starts, by block and row, whose string a smaller document has."""
     known: dict[bytes, int] = {}
     of, row, pos, doc, blk = [], [], [], [], []
-    for r in table.select(["blk", "sizes", "texts", "of", "row", "pos", "doc"]).to_pylist():
-        ends = np.cumsum(np.frombuffer(r["sizes"], "<u4").astype(np.int64)).tolist()
-        texts, at, ids = r["texts"], 0, []
-        for end in ends:
-            ids.append(known.setdefault(texts[at:end], len(known)))
-            at = end
-        of.append(np.array(ids)[np.frombuffer(r["of"], "<u4")])
-        row.append(np.frombuffer(r["row"], "<u4"))
-        pos.append(np.frombuffer(r["pos"], "<i8"))
-        doc.append(np.frombuffer(r["doc"], "<i8"))
-        blk.append(np.full(len(row[-1]), r["blk"], np.int32))
+    for r in table.to_pylist():
+        raw, at, n = pa.decompress(r["packed"], r["size"], codec="zstd", asbytes=True), 4 * r["snippets"], r["n"]
+        sizes = np.frombuffer(raw[:at], "<u4").tolist()
+        own, in_row, place = (np.frombuffer(raw, "<u4", n, at + i * 4 * n) for i in range(3))
+        doc.append(np.frombuffer(raw, "<i8", n, at + 12 * n))
+        at, ids = at + 20 * n, []
+        for size in sizes:
+            ids.append(known.setdefault(raw[at : at + size], len(known)))
+            at += size
+        of.append(np.array(ids)[own])
+        row.append(in_row)
+        pos.append(place.astype(np.int64))
+        blk.append(np.full(n, r["blk"], np.int32))
     of, row, pos, doc, blk = map(np.concatenate, (of, row, pos, doc, blk))
     size = np.array([len(s) for s in known])
     n_starts = size - length + 1
@@ -413,8 +445,7 @@ def cut_out(table: pa.Table, runs: pa.Table, length: int) -> pa.Table:
     row, start, end = row[order], start[order], (start + n + length - 1)[order]
     first = np.searchsorted(row, np.arange(table.num_rows + 1))
     removed, kept = [], []
-    for i, text in enumerate(table.column("text")):
-        raw = text.as_py() or b""
+    for i, raw in enumerate(texts_of(table)):
         spans: list[list[int]] = []
         for a, b in zip(start[first[i] : first[i + 1]].tolist(), end[first[i] : first[i + 1]].tolist(), strict=True):
             if spans and a <= spans[-1][1]:
@@ -435,7 +466,7 @@ def cut_out(table: pa.Table, runs: pa.Table, length: int) -> pa.Table:
 def dedup_substrings(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, v: int = 3, digest_only: bool = False
 ) -> DataFrame:
-    """Remove repeated strings of ``length`` bytes (at least 24) from every whole text.
+    """Remove repeated strings of ``length`` bytes (at least 32) from every whole text.
 
     Returns ``id_col``, ``removed`` (maximal byte spans) and ``kept`` (the bytes
     left); with ``digest_only`` the columns n_bytes, n_removed, n_spans and
@@ -445,7 +476,7 @@ def dedup_substrings(
     each other; an empty table gives no rows; other columns are not read.
     """
     size = total_bytes(df, text_col)
-    parts = max(16, size // BLOCK_BYTES)
+    parts, buckets = max(LEAST_BLOCKS, size // BLOCK_BYTES), max(LEAST_BLOCKS, size // BUCKET_BYTES)
     kind = df.schema[id_col].dataType.simpleString()
     rid = F.xxhash64(F.col(id_col), F.col(text_col))
     docs = df.select(
@@ -455,15 +486,15 @@ def dedup_substrings(
         rid.alias("rid"),
         F.pmod(rid, F.lit(parts)).cast("int").alias("blk"),
         F.col(text_col).cast("binary").alias("text"),
-    )
+    ).mapInArrow(squeeze, f"id {kind}, doc long, rid long, blk int, text binary, n int")
     blocks = docs.groupBy("blk")
     anchors = blocks.applyInArrow(
-        lambda t: block_anchors(t, parts, length), "bucket int, blk int, hashes binary, shared binary"
+        lambda t: block_anchors(t, buckets, length), "bucket int, blk int, hashes binary, shared binary"
     )
     back = anchors.groupBy("bucket").applyInArrow(repeated_anchors, "blk int, bucket int, kept binary, hot binary")
     snippets = blocks.cogroup(back.groupBy("blk")).applyInArrow(
-        lambda t, b: block_snippets(t, b, parts, length),
-        "bucket int, blk int, sizes binary, texts binary, of binary, row binary, pos binary, doc binary",
+        lambda t, b: block_snippets(t, b, buckets, length),
+        "bucket int, blk int, snippets int, n int, size long, packed binary",
     )
     runs = snippets.groupBy("bucket").applyInArrow(
         lambda t: bucket_repeats(t, v, length), "blk int, row binary, start binary, n binary"
