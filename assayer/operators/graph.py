@@ -7,8 +7,6 @@ import tempfile
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ROUNDS = 80
-
 
 def stored(df: DataFrame) -> DataFrame:
     """Cut the lineage by a reliable checkpoint in the folder that the cluster names; a local one only where it names none."""
@@ -18,21 +16,44 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def fresh(df: DataFrame) -> DataFrame:
+    """``stored`` without the size estimate, which each join multiplies: in a loop its digits double every turn."""
+    done, spark = stored(df), df.sparkSession
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(done._jdf.queryExecution().toRdd(), done._jdf.schema(), False), spark)
+
+
 def components(links: DataFrame) -> DataFrame:
     """Least id of each linked id's component: ``id``, ``class``, from links (a, b).
 
-    Each round every id takes the least class among its neighbours and itself, then
-    the class of that class; rounds grow with the logarithm of the longest chain.
+    Each round every class that still has links picks the least class among its
+    neighbours. Picks form trees, as a pick's lesser end never grows along them;
+    the lesser of the two that pick each other is the root and least id of its tree.
+    Trees become one class each by pointer doubling, and links move to the roots.
+    No class with links is alone in its tree, so each round at least halves them:
+    rounds, and doublings in a round, grow with the logarithm of the number of ids,
+    whatever the order of ids along a chain.
     """
-    edges = stored(links.select("a", "b").union(links.select("b", "a")).distinct())
-    state = edges.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("class"))
-    for _ in range(ROUNDS):
-        near = edges.join(state.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("class").alias("near"))
-        hop = state.join(near, "id").select("id", "class", F.least("class", "near").alias("next"))
-        up = state.select(F.col("id").alias("next"), F.col("class").alias("up"))
-        after = F.least("next", F.coalesce("up", "next"))
-        moved = stored(hop.join(up, "next", "left").select("id", after.alias("class"), (F.col("class") != after).alias("moved")))
-        state = moved.select("id", "class")
-        if not moved.where("moved").limit(1).count():
-            return state
-    raise RuntimeError("components did not settle")
+    links = fresh(links.where("a IS NOT NULL AND b IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    state = links.select(F.col("a").alias("id")).union(links.select("b")).distinct().select("id", F.col("id").alias("class"))
+    edges = links.where("a != b")
+    while edges.limit(1).count():
+        root = roots(edges)
+        state = fresh(state.join(root.withColumnRenamed("id", "class"), "class", "left").select("id", F.coalesce("root", "class").alias("class")))
+        for side in ("a", "b"):
+            edges = edges.join(root.withColumnRenamed("id", side), side).drop(side).withColumnRenamed("root", side)
+        edges = fresh(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    return state
+
+
+def roots(edges: DataFrame) -> DataFrame:
+    """Root of the tree of picks of each end of ``edges`` (a, b): ``id``, ``root``."""
+    pick = fresh(edges.union(edges.select("b", "a")).groupBy(F.col("a").alias("id")).agg(F.min("b").alias("root")))
+    other = pick.select(F.col("id").alias("root"), F.col("root").alias("back"))
+    up = pick.join(other, "root").select("id", F.when((F.col("back") == F.col("id")) & (F.col("id") < F.col("root")), F.col("id")).otherwise(F.col("root")).alias("root"))
+    up = fresh(up)
+    while True:
+        over = up.select(F.col("id").alias("root"), F.col("root").alias("over"))
+        jumped = fresh(up.join(over, "root").select("id", F.col("over").alias("root"), (F.col("root") != F.col("over")).alias("moved")))
+        up = jumped.select("id", "root")
+        if not jumped.where("moved").limit(1).count():
+            return up

@@ -313,6 +313,15 @@ def test_components_of_a_long_chain(spark):
     assert got[901] == 900
 
 
+@pytest.mark.parametrize("order", ["descending", "shuffled"])
+def test_components_of_chains_in_any_order_of_ids(spark, order):
+    n = 1_000
+    ids = [0, *range(n, 0, -1)] if order == "descending" else random.Random(5).sample(range(n + 1), n + 1)
+    links = list(zip(ids, ids[1:], strict=False)) + [(9_001, 9_000), (9_002, 9_002)]
+    got = {r["id"]: r["class"] for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == dict.fromkeys(range(n + 1), 0) | {9_000: 9_000, 9_001: 9_000, 9_002: 9_002}
+
+
 # ---- language identification ----
 
 
