@@ -246,24 +246,25 @@ def encode(
     return map_rows(df, [id_col, *keep], text_col, setup, "ids binary")
 
 
-def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """Bytes of every row's ids, in column ``bytes``, beside ``ids_col``; null ids give no bytes."""
-    source = df.select(id_col, ids_col)
-    kind = source.schema[id_col].dataType.simpleString()
+def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Bytes of every row's ids, in column ``bytes``, beside ``ids_col`` and ``keep``; null ids give no bytes."""
+    source = df.select(id_col, *keep, ids_col)
+    held = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in (id_col, *keep))
 
     def run(batches):  # noqa: ANN001, ANN202
         table = vocabulary(path).bytes_of
         for batch in batches:
-            rows = (np.frombuffer(x.as_py() or b"", "<u4").tolist() for x in batch.column(1))
+            rows = (np.frombuffer(x.as_py() or b"", "<u4").tolist() for x in batch.column(len(keep) + 1))
             made = pa.array([b"".join(map(table.__getitem__, ids)) for ids in rows], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), made], names=[id_col, ids_col, "bytes"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[id_col, *keep, ids_col, "bytes"])
 
-    return source.mapInArrow(run, f"`{id_col}` {kind}, `{ids_col}` binary, bytes binary")
+    return source.mapInArrow(run, f"{held}, `{ids_col}` binary, bytes binary")
 
 
-def digest(decoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def digest(decoded: DataFrame, id_col: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
     return decoded.select(
         id_col,
+        *keep,
         (F.length("ids") / 4).cast("long").alias("n_tokens"),
         sha(F.col("ids")).alias("ids_sha256"),
         sha(F.col("bytes")).alias("decoded_sha256"),

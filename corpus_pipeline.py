@@ -48,9 +48,10 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each kept text, and the digests of ids and decoded bytes."""
+    """Token ids of each kept text (little-endian 32-bit integers), its language and source, and the digests of ids and decoded bytes."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return bpe.digest(bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path))
+    encoded = bpe.encode(docs, path, public_tokenizers.PATTERN, keep=("lang", "source"))
+    return bpe.digest(bpe.decode(encoded, path, keep=("lang", "source")), keep=("lang", "source", "ids"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
