@@ -34,6 +34,10 @@ KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 #: Tokens that are scored: at least so long, with a letter and a digit.
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])(?=[A-Za-z+/_.=-]*[0-9])[A-Za-z0-9][A-Za-z0-9+/_.=-]{15,}")
+RUN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+SHORTEST = 16
+BARE_SHORTEST = 32  # and upper case, lower case and a digit, where no prefix tells a credential
+CUTS = "=/."  # inside a run a credential may follow one of these and end before one
 LITERAL = 4  # leading characters that the automaton reads as they are; later ones by class
 
 UPPER_DIGITS = string.ascii_uppercase + "234567"
@@ -55,14 +59,17 @@ FORMATS = (
     (("xoxp-", string.digits, 12), ("-", string.digits, 12), ("-", ALNUM, 24)),
     (("eyJh", ALNUM, 32), (".eyJ", ALNUM, 60), (".", URL64, 43)),
 )
+# Credentials without a prefix, as (alphabet, length).
+BARE = ((ALNUM + "+/", 40), (ALNUM, 32), (URL64, 43))
 
 
-def symbols(token: str) -> list[str]:
+def kind_of(c: str) -> str:
+    return "U" * c.isupper() or "l" * c.islower() or "9" * c.isdigit() or c
+
+
+def symbols(token: str, literal: int = LITERAL) -> list[str]:
     """The automaton's input: four literal characters, then character classes."""
-    out = list(token[:LITERAL])
-    for c in token[LITERAL:]:
-        out.append("U" * c.isupper() or "l" * c.islower() or "9" * c.isdigit() or c)
-    return out
+    return [*token[:literal], *map(kind_of, token[literal:])]
 
 
 class Automaton:
@@ -167,16 +174,17 @@ class Automaton:
         self.other = [math.log(0.05 / (n + 0.05 * size)) for n in self.seen]
         self.stop = [math.log((e + 0.05) / (n + 0.05 * size)) for e, n in zip(self.ends, self.seen, strict=True)]
 
+    def step(self, q: int, s: str) -> tuple[float, int]:
+        """Log-likelihood of a symbol and the next state; after an unseen symbol the automaton stays in its state."""
+        cost = self.cost[q].get(s)
+        return (self.other[q], q) if cost is None else (cost, self.next[q][s])
+
     def score(self, token: list[str]) -> float:
-        """Log-likelihood; after an unseen symbol the automaton stays in its state."""
+        """Log-likelihood of a whole token."""
         q, total = 0, 0.0
         for s in token:
-            step = self.cost[q].get(s)
-            if step is None:
-                total += self.other[q]
-            else:
-                total += step
-                q = self.next[q][s]
+            cost, q = self.step(q, s)
+            total += cost
         return total + self.stop[q]
 
 
@@ -203,18 +211,66 @@ def labelled_tokens(per_format: int = 120, seed: int = 7) -> tuple[list[str], li
     return secrets, plain
 
 
+def bare_tokens(per_format: int = 120, seed: int = 11) -> list[str]:
+    """Credentials without a prefix."""
+    draw = random.Random(seed)
+    return ["".join(draw.choice(a) for _ in range(n)) for a, n in BARE for _ in range(per_format)]
+
+
 @lru_cache(maxsize=1)
-def automata() -> tuple[Automaton, Automaton]:
-    """The automata of credentials and of ordinary tokens; some hundred states."""
+def automata() -> tuple[Automaton, ...]:
+    """The automata of credentials and ordinary tokens, then by class alone those of credentials without a prefix and ordinary tokens."""
     secrets, plain = labelled_tokens()
-    return Automaton([symbols(t) for t in secrets]), Automaton([symbols(t) for t in plain])
+    kinds = [(secrets, LITERAL), (plain, LITERAL), (bare_tokens(), 0), (plain, 0)]
+    return tuple(Automaton([symbols(t, literal) for t in tokens]) for tokens, literal in kinds)
+
 
+def likelihood_ratio(token: str, models: tuple[Automaton, ...]) -> float:
+    """Nats a character by which a credential automaton explains a token better than the ordinary one of its kind."""
+    secret, plain, bare, classes = models
+    s, k = symbols(token), symbols(token, 0)
+    best = secret.score(s) - plain.score(s)
+    if len(s) >= BARE_SHORTEST and {"U", "l", "9"} <= set(k):
+        best = max(best, bare.score(k) - classes.score(k))
+    return best / len(s)
 
-def likelihood_ratio(token: str, models: tuple[Automaton, Automaton]) -> float:
-    """Nats a character by which the credential automaton explains a token better."""
-    secret, plain = models
-    s = symbols(token)
-    return (secret.score(s) - plain.score(s)) / len(s)
+
+def inner_secrets(run: str, threshold: float, models: tuple[Automaton, ...]) -> list[tuple[int, int, float]]:
+    """Disjoint credentials that start and end at cuts of a run, the best first: start, end, score.
+
+    All pairs of cuts are scored in one pass: of starts that have brought both
+    automata to the same states only the best can be the best at any later end.
+    """
+    found = []
+    for model, plain, literal, least in ((*models[:2], LITERAL, SHORTEST), (*models[2:], 0, BARE_SHORTEST)):
+        live: list[tuple[float, int, int, int, bool, bool, bool]] = []
+        for i, c in enumerate(run):
+            kind = kind_of(c)
+            if (not i or run[i - 1] in CUTS) and c.isalnum():
+                live.append((0.0, i, 0, 0, False, False, False))
+            after: dict[tuple, tuple[float, int, int, int, bool, bool, bool]] = {}
+            for gain, s, q, p, upper, lower, digit in live:
+                up, q = model.step(q, c if i - s < literal else kind)
+                down, p = plain.step(p, c if i - s < literal else kind)
+                one = (gain + up - down - threshold, s, q, p, upper or kind == "U", lower or kind == "l", digit or kind == "9")
+                key = one[2:] if i - s + 1 >= least else (s,)
+                if key not in after or after[key] < one:
+                    after[key] = one
+            live = list(after.values())
+            if (i + 1 == len(run) or run[i + 1] in CUTS) and c not in ".=-/":
+                ends = [
+                    (g + model.stop[q] - plain.stop[p], s)
+                    for g, s, q, p, u, l, d in live  # noqa: E741
+                    if d and (u and l or literal and (u or l)) and i - s + 1 >= least
+                ]
+                if ends and max(ends)[0] >= 0:
+                    gain, s = max(ends)
+                    found.append((gain, s, i + 1))
+    out: list[tuple[int, int, float]] = []
+    for gain, s, e in sorted(found, key=lambda x: -x[0]):
+        if all(e <= a or b <= s for a, b, _ in out):
+            out.append((s, e, gain / (e - s) + threshold))
+    return out
 
 
 def base_spans(text: str) -> list[tuple[str, int, int, float | None]]:
@@ -228,7 +284,7 @@ def base_spans(text: str) -> list[tuple[str, int, int, float | None]]:
     return [(KINDS[k], s, e, None) for s, k, e in sorted(found)]
 
 
-def find_secrets(text: str, threshold: float, models: tuple[Automaton, Automaton]) -> list[tuple[str, int, int, float | None]]:
+def find_secrets(text: str, threshold: float, models: tuple[Automaton, ...]) -> list[tuple[str, int, int, float | None]]:
     spans = base_spans(text)
     added = []
     for m in CANDIDATE.finditer(text):
@@ -240,6 +296,16 @@ def find_secrets(text: str, threshold: float, models: tuple[Automaton, Automaton
             continue
         if (score := likelihood_ratio(token, models)) >= threshold:
             added.append(("inferred", s, e, score))
+    # Runs that are none as a whole may hold credentials glued to names or paths.
+    taken = sorted((s, e) for _, s, e, _ in spans + added)
+    for m in RUN.finditer(text):
+        if not any(c in m[0] for c in CUTS) or not any(map(str.isdigit, m[0])):
+            continue
+        at = m.start()
+        for a, b in [*((a, b) for a, b in taken if a < m.end() and b > m.start()), (m.end(), m.end())]:
+            if a - at >= SHORTEST:
+                added += [("inferred", at + s, at + e, score) for s, e, score in inner_secrets(text[at:a], threshold, models)]
+            at = max(at, b)
     order = {k: i for i, k in enumerate((*KINDS, "inferred"))}
     return sorted(spans + added, key=lambda x: (x[1], order[x[0]]))
 

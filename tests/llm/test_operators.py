@@ -66,6 +66,27 @@ def test_automata_tell_held_out_credentials_from_ordinary_tokens():
     assert spans[0][:3] == ("inferred", 4, 4 + len(token))
 
 
+@pytest.mark.parametrize("before", ["GITHUB_PAT=", "https://example.com/hook/", "/hook/", "see https://example.com/a?key=", "conf.d/x.", "id:", "a=b/c."])
+@pytest.mark.parametrize("after", ["", "/archive.zip", " end"])
+def test_credentials_glued_to_names_and_paths(before, after):
+    models = secrets.automata()
+    good, _ = secrets.labelled_tokens(3, seed=4321)
+    for token in (t for t in good if any(map(str.isdigit, t))):
+        text = f"run {before}{token}{after}"
+        hidden = secrets.masked(text, secrets.find_secrets(text, 0.5, models), "")
+        assert token.rstrip("-")[-12:] not in hidden and token[:12] not in hidden, text
+
+
+def test_credentials_without_a_prefix():
+    models = secrets.automata()
+    for token in (t for t in secrets.bare_tokens(20, seed=99) if t[0].isalnum()):
+        for text in (token, f"CLOUD_KEY={token}"):
+            hidden = secrets.masked(text, secrets.find_secrets(text, 0.5, models), "")
+            assert len(hidden) <= len(text) - 0.9 * len(token.rstrip("-")), text
+    _, plain = secrets.labelled_tokens(40, seed=77)
+    assert not [t for t in plain if any(k == "inferred" for k, *_ in secrets.find_secrets(t, 0.5, models))]
+
+
 def test_automaton_merges_a_loop():
     a = secrets.Automaton([list("ab" * n + "c") for n in range(1, 60)])
     assert len(a.next) <= 6
