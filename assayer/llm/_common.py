@@ -2,15 +2,48 @@
 
 from __future__ import annotations
 
-import tempfile
+import gc
+import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROWS_AT_ONCE = 1_000  # texts and results that a Python worker holds at once
+from assayer.operators.graph import shared_folder
+
+ROWS_AT_ONCE = 1_000  # texts and results that a Python worker holds at once,
+BYTES_AT_ONCE = 4 << 20  # and bytes of these texts; a longer text is held alone
+
+STATE: dict[str, Any] = {}
+
+
+def worker_state(owner: str) -> dict[str, Any]:
+    """What this Python worker remembers for one operator between tasks.
+
+    Workers outlive tasks and stages; the memory of another operator is dropped first.
+    """
+    if STATE.get("owner") != owner:
+        STATE.clear()
+        STATE["owner"] = owner
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+    return STATE
+
+
+def bounded(batches: Iterator[pa.RecordBatch], *texts: int) -> Iterator[pa.RecordBatch]:
+    """Batches cut to ``ROWS_AT_ONCE`` rows and ``BYTES_AT_ONCE`` bytes of the text columns."""
+    for batch in batches:
+        size = sum(pc.fill_null(pc.binary_length(batch.column(i)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for i in texts)
+        total, at = np.cumsum(size), 0
+        while at < batch.num_rows:
+            room = int(np.searchsorted(total, (total[at - 1] if at else 0) + BYTES_AT_ONCE, side="right"))
+            end = min(max(room, at + 1), at + ROWS_AT_ONCE, batch.num_rows)
+            yield batch.slice(at, end - at)
+            at = end
 
 
 def map_rows(
@@ -26,18 +59,18 @@ def map_rows(
     and nulls included. ``setup`` runs once a task and returns a function from
     the texts of a batch (null read as empty) to the arrays of ``schema``.
     """
-    source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__text"))
+    plain = df.schema[text].dataType.simpleString() == "string"
+    at = keep.index(text) if plain and text in keep else len(keep)  # a kept text travels once
+    own = [F.col(f"`{text}`").cast("string").alias("__text")] if at == len(keep) else []
+    source = df.select(*[F.col(f"`{c}`") for c in keep], *own)
     kept = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state(setup.__module__)
         work = setup()
-        for whole in batches:
-            for at in range(0, whole.num_rows, ROWS_AT_ONCE):
-                batch = whole.slice(at, ROWS_AT_ONCE)
-                made = work([t or "" for t in batch.column(len(keep)).to_pylist()])
-                yield pa.RecordBatch.from_arrays(
-                    [*[batch.column(i) for i in range(len(keep))], *made.values()], names=[*keep, *made]
-                )
+        for batch in bounded(batches, at):
+            made = work([t or "" for t in batch.column(at).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keep))], *made.values()], names=[*keep, *made])
 
     return source.mapInArrow(run, f"{kept}, {schema}" if kept else schema)
 
@@ -80,10 +113,25 @@ def total_bytes(df: DataFrame, text: str) -> int:
     return int(row["n"] or 0)
 
 
-def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a folder of its own only where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+class Scratch:
+    """Tables between the steps of one operator, in the folder that the cluster shares.
+
+    Unlike a checkpoint a table is columnar and compressed, and goes as soon as it is dropped.
+    """
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark = spark
+        self.folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        self.count = 0
+
+    def put(self, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{self.count}"
+        self.count += 1
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, table: int | None = None) -> None:
+        """Delete one table by its number, or all."""
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.folder if table is None else f"{self.folder}/{table}")
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -1,20 +1,24 @@
 """Near-duplicate classes by DartMinHash and banded joining.
 
 A document is the weighted set of its word shingles. DartMinHash throws hashed
-darts at the plane of element weight by rank: the darts that land in a cell of an
-element's strip depend on the element and the cell alone, and a document keeps
-those under its weights. Ranks are searched upwards until every coordinate of the
-signature has a dart; the earliest dart of each coordinate is its value. Two
-documents agree in a coordinate with the probability of their weighted Jaccard
-similarity, at a cost of some darts a coordinate, not of elements times coordinates.
-
-Bands of the signatures join candidates. Documents with equal shingle sets are one
-representative first. Each member is then compared with the least of its buckets,
-and exactly verified links join classes. Of a bucket that still holds several
-classes one member of the largest is compared with the members of the others.
-What is left in different classes is compared
-pair by pair, so no link is lost, and a bucket of one large group, which is one
-class by then, never gives all its pairs.
+darts at the plane of element weight by rank. The plane is cut into regions, dyadic
+in weight and in rank; the darts of a region depend on the element and the region
+alone, and a document keeps those under its weights. Ranks are searched upwards
+until every coordinate of the signature has a dart; the earliest dart of each
+coordinate is its value. Two documents agree in a coordinate with the probability
+of their weighted Jaccard similarity. The cost is some darts a coordinate and a
+region or so an element and doubling of weight, not elements times coordinates.
+
+Bands of the signatures join candidates, in two steps that both check the exact
+similarity of the texts and keep every link of a bucket:
+
+1. Each member of a bucket meets the bucket's most central member, the one that
+   shares most bands with others. What is alike forms a class, so a large group of
+   near copies is one class at the cost of one pair a member.
+2. Members of buckets that still hold several classes are compared across classes,
+   but only pairs that can reach the threshold: under one order of all shingles, rare
+   ones first, two alike documents share a shingle so early that the rest of both is
+   still heavy enough. Documents that merely share a common passage have it at the end.
 """
 
 from __future__ import annotations
@@ -30,16 +34,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assayer.llm._common import Scratch, bounded, worker_state
 from assayer.operators.graph import components, stored
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS = 40
-ROWS = 6  # at similarity 0.8 a pair is missed with probability (1 - 0.8**6)**40 = 5e-6
+BANDS = 30
+ROWS = 7  # at similarity 0.8 a pair shares no band with probability (1 - 0.8**7)**30 = 9e-4, at 0.85 with 9e-6
 WORD = re.compile(r"\w+")
 U64 = np.uint64
-FLOOR = 4  # the first rank cell is [0, 1/16)
-TURNS = 1  # cheap rounds before all remaining pairs of mixed buckets are compared
+FLOOR = 4  # the first region of the weights [0, 1) has the ranks [0, 1/16)
+SLOTS = 1 << 18  # counters of the shingle frequencies that order shingles
 
 
 @lru_cache(maxsize=100_000)
@@ -79,55 +84,73 @@ def poisson_steps(area: float) -> np.ndarray:
     return np.cumsum(np.exp(logs))
 
 
-def rank_cell(number: int) -> tuple[float, float]:
-    """Dyadic cells: [0, 1/16), [1/16, 1/8), [1/8, 1/4) and so on."""
-    return (2.0 ** (number - 1 - FLOOR) if number else 0.0), 2.0 ** (number - FLOOR)
+def weight_cell(v: int) -> tuple[float, float]:
+    """[0, 1), [1, 2), [2, 4), [4, 8) and so on."""
+    return (2.0 ** (v - 1) if v else 0.0), 2.0**v
 
 
-def throw(elements: np.ndarray, weights: np.ndarray, ranks: range, w: int, k: int) -> tuple[np.ndarray, ...]:
-    """Darts in the given rank cells of the weight cell [w, w + 1): rank, place and name."""
-    if w:
-        elements, weights = elements[weights > w], weights[weights > w]
-    salt = np.array([r * 65_536 + w + 1 for r in ranks], U64) * U64(0x9E3779B97F4A7C15)
+def rank_cell(v: int, number: int) -> tuple[float, float]:
+    """Of a weight cell the ranks [0, r), [r, 2r), [2r, 4r) and so on; a wider weight cell starts with a smaller r."""
+    first = 2.0 ** -(FLOOR + max(0, v - 1))
+    return (first * 2.0 ** (number - 1) if number else 0.0), first * 2.0**number
+
+
+def throw(elements: np.ndarray, weights: np.ndarray, v: int, numbers: range, k: int) -> tuple[np.ndarray, ...]:
+    """Darts under the weights in the given regions of weight cell v: rank, place and name."""
+    bottom, top = weight_cell(v)
+    if v:
+        elements, weights = elements[weights > bottom], weights[weights > bottom]
+    salt = np.array([v * 4_096 + r + 1 for r in numbers], U64) * U64(0x9E3779B97F4A7C15)
     seed = mix(elements[None, :] + salt[:, None])
     chance = uniform(seed)
-    bounds = [rank_cell(r) for r in ranks]
+    bounds = [rank_cell(v, r) for r in numbers]
+    wide = top - bottom
     count = np.array(
-        [np.searchsorted(poisson_steps(high - low), c, side="right") for (low, high), c in zip(bounds, chance, strict=True)]
+        [np.searchsorted(poisson_steps((high - low) * wide), c, side="right") for (low, high), c in zip(bounds, chance, strict=True)]
     ).ravel()
     at = np.repeat(np.arange(len(count)), count)
     nth = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
     dart = mix(seed.ravel()[at] + (nth + 1).astype(U64) * U64(0xD1B54A32D192ED03))
-    low, wide = np.array([[a, b - a] for a, b in bounds]).T
+    low, deep = np.array([[a, b - a] for a, b in bounds]).T
     cell = at // len(elements)
-    rank = low[cell] + uniform(mix(dart + U64(1))) * wide[cell]
-    if (weights < w + 1).any():
-        under = w + uniform(mix(dart + U64(2))) < weights[at % len(elements)]
+    rank = low[cell] + uniform(mix(dart + U64(1))) * deep[cell]
+    if (weights < top).any():
+        under = bottom + uniform(mix(dart + U64(2))) * wide < weights[at % len(elements)]
         dart, rank = dart[under], rank[under]
     return rank, (mix(dart + U64(3)) % U64(k)).astype(np.int64), dart
 
 
 def signature(elements: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
     """The k earliest darts; ``elements`` are 64-bit hashes, ``weights`` positive."""
-    goal = (k * math.log(k) + 2 * k) / float(weights.sum())
-    upto = max(1, math.ceil(math.log2(goal)) + FLOOR + 1)
-    ranks, best, value = range(upto), np.full(k, np.inf), np.zeros(k, U64)
+    goal = 2.0 ** math.ceil(math.log2((k * math.log(k) + 2 * k) / float(weights.sum())))
+    cells = range(1 + max(0, math.ceil(math.log2(float(weights.max())))))
+    done = [0] * len(cells)  # regions of each weight cell that have been thrown
+    best, value = np.full(k, np.inf), np.zeros(k, U64)
     while True:
-        thrown = [throw(elements, weights, ranks, w, k) for w in range(math.ceil(float(weights.max())))]
-        rank, place, dart = (np.concatenate(x) for x in zip(*thrown, strict=True))
-        order = np.argsort(-rank)
-        place, rank, dart = place[order], rank[order], dart[order]
-        first, mark = np.full(k, np.inf), np.zeros(k, U64)
-        first[place], mark[place] = rank, dart  # the last assignment to a place is its earliest dart
-        better = first < best
-        best[better], value[better] = first[better], mark[better]
-        if np.isfinite(best).all():  # darts of later cells come later than all of these
+        thrown = []
+        for v in cells:
+            need = done[v]
+            while not need or rank_cell(v, need)[0] < goal:
+                need += 1
+            if need > done[v]:
+                thrown.append(throw(elements, weights, v, range(done[v], need), k))
+                done[v] = need
+        if thrown:
+            rank, place, dart = (np.concatenate(x) for x in zip(*thrown, strict=True))
+            order = np.argsort(-rank)
+            place, rank, dart = place[order], rank[order], dart[order]
+            first, mark = np.full(k, np.inf), np.zeros(k, U64)
+            first[place], mark[place] = rank, dart  # the last assignment to a place is its earliest dart
+            better = first < best
+            best[better], value[better] = first[better], mark[better]
+        if best.max() <= goal:  # all ranks up to the goal have been searched in every weight cell
             return value
-        ranks = range(ranks.stop, ranks.stop + 1)
+        goal *= 2
 
 
 def band_keys(value: np.ndarray, bands: int, rows: int) -> list[int]:
-    h = np.zeros(bands, U64)
+    """One bucket a band; the band's number is part of it."""
+    h = mix(np.arange(1, bands + 1, dtype=U64))
     for i in range(rows):
         h = mix(h + value[i * bands : (i + 1) * bands] + U64(0x9E3779B97F4A7C15))
     return h.view(np.int64).tolist()
@@ -145,11 +168,12 @@ def set_key(h: np.ndarray, w: np.ndarray) -> bytes:
 
 
 def sketched(df: DataFrame, id_col: str, text_col: str, size: int, bands: int, rows: int, weighted: bool) -> DataFrame:
-    """Of each row with words: ``id``, ``same`` (hash of the whole set) and ``keys`` (its bands)."""
+    """Of each row with words: ``id``, ``same`` (hash of the whole set) and ``keys`` (its buckets)."""
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        worker_state(__name__)
+        for batch in bounded(batches, 1):
             ids, same, keys = [], [], []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 h, w = hashed(text.as_py() or "", size, weighted)
@@ -167,30 +191,32 @@ def sketched(df: DataFrame, id_col: str, text_col: str, size: int, bands: int, r
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float, size: int, weighted: bool) -> DataFrame:
-    """Pairs (a, b) whose exact similarity reaches the threshold."""
+    """Pairs (a, b) whose exact similarity reaches the threshold; of an id with several texts any may."""
     both = (
-        pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-        .join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+        pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+        .join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
         .select("a", "b", "ta", "tb")
     )
     kind = pairs.schema["a"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        worker_state(__name__)
+        for batch in bounded(batches, 2, 3):
             held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
             def of(text: str) -> tuple[np.ndarray, np.ndarray]:
                 if text not in held:
-                    if len(held) > 500:
-                        held.clear()
                     held[text] = hashed(text, size, weighted)
                 return held[text]
 
-            good = [
-                similarity(of(x.as_py() or ""), of(y.as_py() or "")) >= threshold - 1e-12
-                for x, y in zip(batch.column(2), batch.column(3), strict=True)
-            ]
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good, pa.bool_())), batch.column(1).filter(pa.array(good, pa.bool_()))], names=["a", "b"])
+            good = pa.array(
+                [
+                    similarity(of(x.as_py() or ""), of(y.as_py() or "")) >= threshold - 1e-12
+                    for x, y in zip(batch.column(2), batch.column(3), strict=True)
+                ],
+                pa.bool_(),
+            )
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], names=["a", "b"])
 
     return both.mapInArrow(run, f"a {kind}, b {kind}")
 
@@ -203,9 +229,95 @@ def merged(classes: DataFrame, links: DataFrame) -> DataFrame:
     ends = stored(ends.where("ca != cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
     if not ends.limit(1).count():
         return classes
-    small = components(ends)
-    up = small.select(F.col("id").alias("class"), F.col("class").alias("up"))
-    return stored(classes.join(up, "class", "left").select("rep", F.coalesce("up", "class").alias("class")))
+    up = components(ends).select(F.col("id").alias("class"), F.col("class").alias("up"))
+    return classes.join(up, "class", "left").select("rep", F.coalesce("up", "class").alias("class"))
+
+
+def central_pairs(full: DataFrame) -> DataFrame:
+    """One pair (a, b) for each member b of a bucket: a is the most central of its buckets' leaders.
+
+    ``full`` has the buckets of two or more: ``bucket``, ``rep`` and ``n``, their size. A member
+    is central by the sum of its buckets' sizes, among equals the least.
+    """
+    rank = F.struct((-F.col("score")).alias("low"), F.col("rep").alias("lead"))
+    scored = full.join(full.groupBy("rep").agg(F.sum("n").alias("score")), "rep").select("bucket", "rep", rank.alias("rank"))
+    leads = scored.groupBy("bucket").agg(F.min("rank").alias("top"))
+    best = full.select("bucket", "rep").join(leads, "bucket").groupBy("rep").agg(F.min("top").alias("top"))
+    return best.select(F.col("top.lead").alias("a"), F.col("rep").alias("b")).where("a != b")
+
+
+def slot_counts(texts: DataFrame, size: int, weighted: bool) -> np.ndarray:
+    """How often shingles occur, by hashed slot; ``SLOTS`` numbers whatever the table's size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state(__name__)
+        counts = np.zeros(SLOTS, np.int64)
+        for batch in bounded(batches, 0):
+            for text in batch.column(0):
+                h, _ = hashed(text.as_py() or "", size, weighted)
+                counts += np.bincount((h % U64(SLOTS)).astype(np.int64), minlength=SLOTS)
+        used = np.flatnonzero(counts)
+        for at in range(0, len(used), 10_000):
+            part = used[at : at + 10_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(counts[part])], names=["slot", "n"])
+
+    rows = texts.select("text").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(SLOTS, np.int64)
+    out[rows.column("slot").to_numpy()] = rows.column("n").to_numpy()
+    return out
+
+
+def early_shingles(texts: DataFrame, counts: np.ndarray, threshold: float, size: int, weighted: bool) -> DataFrame:
+    """The shingles of ``texts`` (rep, class, text) by which an alike document can be found.
+
+    Rows of ``rep``, ``class``, ``token``, the document's ``whole`` weight and ``rest``, its weight
+    from this shingle on in the common order: rare slots first, then by hash. A document ends where
+    the rest falls under the threshold's part of the whole.
+    """
+    held = texts.sparkSession.sparkContext.broadcast(counts)
+    kind = texts.schema["rep"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state(__name__)
+        for batch in bounded(batches, 2):
+            at, tokens, rests, wholes = [], [], [], []
+            for i, text in enumerate(batch.column(2)):
+                h, w = hashed(text.as_py() or "", size, weighted)
+                order = np.lexsort((h, held.value[(h % U64(SLOTS)).astype(np.int64)]))
+                h, w = h[order], w[order]
+                rest = np.cumsum(w[::-1])[::-1]
+                early = rest >= threshold * w.sum() - 1e-9
+                tokens.append(h[early])
+                rests.append(rest[early])
+                at += [i] * len(tokens[-1])
+                wholes.append(np.full(len(tokens[-1]), w.sum()))
+            where = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).take(where), batch.column(1).take(where), pa.array(np.concatenate(tokens).view(np.int64)),
+                    pa.array(np.concatenate(wholes)), pa.array(np.concatenate(rests)),
+                ],
+                names=["rep", "class", "token", "whole", "rest"],
+            )
+
+    return texts.select("rep", "class", "text").mapInArrow(run, f"rep {kind}, class {kind}, token long, whole double, rest double")
+
+
+def possible_pairs(early: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of different classes that share an early shingle with enough weight from there on.
+
+    Of the members of a shingle those of its largest class only meet the others, so a
+    class of many near copies gives no pairs of its own.
+    """
+    sizes = early.groupBy("token", "class").agg(F.count("*").alias("n"))
+    top = sizes.groupBy("token").agg(F.max(F.struct("n", "class")).alias("top"), F.count("*").alias("k")).where("k > 1")
+    mixed = early.join(top.select("token", F.col("top.class").alias("most")), "token")
+    x = mixed.where("class != most").select("token", *[F.col(c).alias(f"x_{c}") for c in ("rep", "class", "whole", "rest")])
+    y = mixed.select("token", "rep", "class", "whole", "rest", (F.col("class") == F.col("most")).alias("in_most"))
+    alike = F.least("rest", "x_rest") * (1 + threshold) >= threshold * (F.col("whole") + F.col("x_whole")) - 1e-6
+    once = F.col("in_most") | (F.col("x_rep") < F.col("rep"))
+    pairs = x.join(y, (x["token"] == y["token"]) & (F.col("x_class") != F.col("class")) & once & alike)
+    return pairs.select(F.least("rep", "x_rep").alias("a"), F.greatest("rep", "x_rep").alias("b")).distinct()
 
 
 def near_duplicates(
@@ -221,59 +333,49 @@ def near_duplicates(
     """Near-duplicate class of every row: ``id_col`` and ``class_id``, its least id.
 
     Rows are of one class if a chain of links joins them; a link is a similarity of
-    at least ``threshold`` between shingle sets (``weighted``: multisets). Rows with
-    a null, empty or wordless text are classes of their own, rows of one id share a
-    class, rows with a null id have a null class. Repeated rows are kept; an empty
+    at least ``threshold`` between shingle sets (``weighted``: multisets) of rows that
+    share a band. Rows with a null, empty or wordless text are classes of their own,
+    rows of one id share a class whatever their texts, and each of these texts may
+    link; rows with a null id have a null class. Repeated rows are kept; an empty
     table gives no rows; other columns are not read.
     """
-    sketches = stored(sketched(df, id_col, text_col, size, bands, rows, weighted))
-    # Equal sets, and rows of one id, are one representative before anything is joined.
-    heads = sketches.groupBy("same").agg(F.min("id").alias("rep"), F.first("keys").alias("keys"))
-    member = stored(sketches.select("id", "same").join(heads.select("same", "rep"), "same").select("id", "rep").distinct())
-    keys = heads.select("rep", F.posexplode("keys").alias("band", "key")).select("rep", F.xxhash64("band", "key").alias("bucket"))
-    # Only buckets of two or more can link.
-    shared = keys.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("least")).where("n > 1")
-    full = stored(keys.join(shared.select("bucket", "least"), "bucket"))
+    tables = Scratch(df.sparkSession, "near-dedup")
+    sketches = tables.put(sketched(df, id_col, text_col, size, bands, rows, weighted))
+    # Equal sets are one representative before anything is joined.
+    heads = tables.put(sketches.groupBy("same").agg(F.min("id").alias("rep"), F.first("keys").alias("keys")))
+    keys = heads.select("rep", F.explode("keys").alias("bucket"))
+    shared = keys.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")  # only these can link
+    full = tables.put(keys.join(shared, "bucket").select("bucket", "rep", "n"))
+    member = tables.put(sketches.select("id", "same").join(heads.select("same", "rep"), "same").select("id", "rep"))
+    classes = heads.select("rep", F.col("rep").alias("class")).distinct()
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(
         full.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"
     )
-    own = member.groupBy("id").agg(F.min("rep").alias("low"))
-    classes = stored(member.select("rep").distinct().select("rep", F.col("rep").alias("class")))
-    if member.groupBy("id").count().where("count > 1").limit(1).count():
-        texts = texts.dropDuplicates(["id"])  # ids that repeat with other texts: any of them stands for the id
+    repeated = bool(sketches.groupBy("id").count().where("count > 1").limit(1).count())
+    if repeated:
+        texts = texts.dropDuplicates(["id", "text"])
+        member = member.distinct()
+    texts = tables.put(texts)
+    own = member.groupBy("id").agg(F.min("rep").alias("low")) if repeated else member.withColumnRenamed("rep", "low")
+    if repeated:
         same_id = member.join(own, "id").where("rep != low").select(F.col("low").alias("a"), F.col("rep").alias("b"))
-        classes = merged(classes, same_id)
-
-    # One pair a member first, with the least of all its buckets' least.
-    pairs = full.groupBy(F.col("rep").alias("b")).agg(F.min("least").alias("a")).where("a != b").select("a", "b")
-    tried = stored(pairs)
-    classes = merged(classes, stored(verified(tried, texts, threshold, size, weighted)))
-    for turn in range(TURNS):
-        pairs = stored(across(full, classes, turn).join(tried, ["a", "b"], "left_anti"))
-        if not pairs.limit(1).count():
-            break
-        classes = merged(classes, stored(verified(pairs, texts, threshold, size, weighted)))
-        tried = tried.union(pairs)
-    # Whatever still lies in one bucket and in different classes is compared without exception.
-    placed = full.join(classes, "rep")
+        classes = tables.put(merged(classes, same_id))
+
+    links = tables.put(verified(central_pairs(full), texts, threshold, size, weighted))
+    classes = tables.put(merged(classes, links))
+
+    placed = full.select("bucket", "rep").join(classes, "rep")
     mixed = placed.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low != high")
-    open_ = stored(placed.join(mixed.select("bucket"), "bucket"))
-    x, y = (open_.select("bucket", F.col("rep").alias(r), F.col("class").alias(c)) for r, c in (("a", "ca"), ("b", "cb")))
-    rest = x.join(y, "bucket").where("a < b AND ca != cb").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    classes = merged(classes, stored(verified(rest, texts, threshold, size, weighted)))
-    return (
+    open_ = placed.join(mixed.select("bucket"), "bucket").select("rep", "class").distinct()
+    open_texts = tables.put(open_.join(texts, F.col("rep") == F.col("id")).select("rep", "class", "text"))
+    early = tables.put(early_shingles(open_texts, slot_counts(open_texts, size, weighted), threshold, size, weighted))
+    pairs = tables.put(possible_pairs(early, threshold))
+    classes = merged(classes, verified(pairs, open_texts.select(F.col("rep").alias("id"), "text"), threshold, size, weighted))
+
+    result = stored(
         df.select(F.col(id_col).alias("id"))
         .join(own.join(classes, F.col("low") == F.col("rep")).select("id", "class"), "id", "left")
         .select(F.col("id").alias(id_col), F.coalesce("class", "id").alias("class_id"))
     )
-
-
-def across(full: DataFrame, classes: DataFrame, turn: int) -> DataFrame:
-    """Pairs of a mixed bucket: one member of its largest class, another each turn, with all that are in other classes."""
-    placed = full.select("bucket", "rep").join(classes, "rep")
-    sizes = placed.groupBy("bucket", "class").agg(
-        F.count("*").alias("n"), F.min_by("rep", F.xxhash64("rep", F.lit(turn))).alias("lead")
-    )
-    top = sizes.groupBy("bucket").agg(F.max(F.struct("n", "class", "lead")).alias("top"), F.count("*").alias("k")).where("k > 1")
-    other = placed.join(top.select("bucket", "top"), "bucket").where(F.col("class") != F.col("top.class"))
-    return other.select(F.least("rep", "top.lead").alias("a"), F.greatest("rep", "top.lead").alias("b")).distinct()
+    tables.drop()
+    return result

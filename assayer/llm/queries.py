@@ -48,7 +48,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     models = language_id.fit(docs, "lang", "text")
-    judged = language_id.identify_documents(docs, models)
+    judged = language_id.identify_documents(docs, models, keep=("doc_id",))
     return judged.select("doc_id", "language", "confidence", language_id.accepted().alias("accepted"))
 
 
@@ -56,7 +56,12 @@ def pages_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same fusion with all four kinds of evidence, on pages."""
     models = language_id.fit(documents(spark, sf_dir), "lang", "text")
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return language_id.identify_pages(pages, models).select("page_id", "language", "confidence")
+    return language_id.identify_pages(pages, models, keep=("page_id",)).select("page_id", "language", "confidence")
+
+
+def weighted_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near duplicates by the weighted similarity of shingle counts."""
+    return near_dedup.near_duplicates(documents(spark, sf_dir), weighted=True)
 
 
 def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,6 +87,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_top_k": op9_top_k,
         "op10_url_filter": op10_url_filter,
         "pages_language_id": pages_language_id,
+        "weighted_near_dedup": weighted_near_dedup,
     }
 
 

@@ -19,10 +19,10 @@ def test_stages_and_result(spark):
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     classes = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(docs).collect()}
     items = [(str(r["item_id"]), r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-    automaton = decontaminate.build(items, decontaminate.WINDOW)
+    index = decontaminate.build(items, decontaminate.WINDOW)
     want = set()
     for i, text in texts.items():
-        if any(map(str.isalpha, text)) and classes[i] == i and not decontaminate.scan(text, automaton)[1]:
+        if any(map(str.isalpha, text)) and classes[i] == i and not decontaminate.scan(text, index)[1]:
             want.add(i)
     got = {r["doc_id"]: r for r in corpus_pipeline.run(spark, SF).collect()}
     assert set(got) == want
