@@ -7,7 +7,6 @@ columns of ``documents``; the last returns the token ids of what is left.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -15,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.llm import bpe, decontaminate, language_id, near_dedup, secrets
-from assayer.llm._common import checkpoint_folder, documents
+from assayer.llm._common import Scratch, documents
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -28,18 +27,26 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of least id of each near-duplicate class, and rows without an id."""
-    classes = near_dedup.near_duplicates(docs)
-    rest = classes.where("doc_id != class_id").select("doc_id").distinct()
-    left = docs.join(rest, "doc_id", "left_anti")
-    return left.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id IS NULL")).select(*COLUMNS)
+    """Keep one document of each near-duplicate class, that of the least id.
+
+    Where ids are null or repeat, rows are told apart by id and text instead, null ids
+    last; then different texts of one id are judged on their own and equal rows are one.
+    """
+    ids = docs.agg(F.count("*").alias("rows"), F.count_distinct("doc_id").alias("ids")).first()
+    if ids["rows"] == ids["ids"]:
+        classes = near_dedup.near_duplicates(docs)
+        return docs.join(classes.where("doc_id != class_id").select("doc_id"), "doc_id", "left_anti").select(*COLUMNS)
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text"))
+    keyed = docs.withColumn("__key", key)
+    classes = near_dedup.near_duplicates(keyed, "__key")
+    left = keyed.join(classes.where("__key != class_id").select("__key").distinct(), "__key", "left_anti")
+    return left.dropDuplicates(["__key"]).select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents without any benchmark window."""
+    """Keep documents without any benchmark window; each row is judged by its own text."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    hit = decontaminate.decontaminate(docs, benchmark).where("n_hit > 0").select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(*COLUMNS)
+    return decontaminate.decontaminate(docs, benchmark, keep=tuple(COLUMNS)).where("n_hit = 0").select(*COLUMNS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,13 +73,14 @@ ORACLE_SQL = None  # the stages are classifiers, sketches and automata; tests co
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn, each written to the folder that the cluster shares and read again."""
-    docs = documents(spark, sf_dir)
-    place = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    for number, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        if number + 1 == len(STAGES):
-            return out
-        out.write.parquet(f"{place}/{number}-{name}")
-        docs = spark.read.parquet(f"{place}/{number}-{name}")
-    return docs
+    """All stages in turn, each written to the folder that the cluster shares and read again.
+
+    A stage's table goes when the next one is written; only the last one's input stays, as the
+    result is computed from it when it is asked for.
+    """
+    docs, tables = documents(spark, sf_dir), Scratch(spark, "pipeline")
+    for number, (_, stage) in enumerate(STAGES[:-1]):
+        docs = tables.put(stage(spark, docs, sf_dir))
+        if number:
+            tables.drop(number - 1)
+    return STAGES[-1][1](spark, docs, sf_dir)
