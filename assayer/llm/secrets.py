@@ -14,7 +14,6 @@ import math
 import random
 import re
 import string
-from collections import deque
 from functools import lru_cache
 
 import pyarrow as pa
@@ -32,11 +31,11 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-#: Tokens that are scored: at least so long, with a letter and a digit.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])(?=[A-Za-z+/_.=-]*[0-9])[A-Za-z0-9][A-Za-z0-9+/_.=-]{15,}")
+#: Tokens that are scored.
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])[+/_.=-]*([A-Za-z0-9][A-Za-z0-9+/_.=-]{15,})")
 RUN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
 SHORTEST = 16
-BARE_SHORTEST = 32  # and upper case, lower case and a digit, where no prefix tells a credential
+BARE_SHORTEST = 24  # and upper case, lower case and a digit, where no prefix tells a credential
 CUTS = "=/."  # inside a run a credential may follow one of these and end before one
 LITERAL = 4  # leading characters that the automaton reads as they are; later ones by class
 
@@ -54,13 +53,14 @@ FORMATS = (
     (("sk_live_", ALNUM, 24),),
     (("rk_live_", ALNUM, 24),),
     (("npm_", ALNUM, 36),),
+    (("sq0atp-", URL64, 22),),
     (("AIza", URL64, 35),),
     (("xoxb-", string.digits, 12), ("-", string.digits, 12), ("-", ALNUM, 24)),
     (("xoxp-", string.digits, 12), ("-", string.digits, 12), ("-", ALNUM, 24)),
     (("eyJh", ALNUM, 32), (".eyJ", ALNUM, 60), (".", URL64, 43)),
 )
 # Credentials without a prefix, as (alphabet, length).
-BARE = ((ALNUM + "+/", 40), (ALNUM, 32), (URL64, 43))
+BARE = ((ALNUM + "+/", 40), (ALNUM, 32), (URL64, 43), (ALNUM, 24))
 
 
 def kind_of(c: str) -> str:
@@ -136,24 +136,23 @@ class Automaton:
                     self.next[p][s] = self.next[q][s]
 
     def _merge(self) -> None:
+        """Each state next to the settled ones, most seen first, is merged into the nearest compatible one or settles."""
         red = [0]
-        blue = deque((0, s) for s in sorted(self.next[0]))
-        while blue:
-            parent, s = blue.popleft()
-            q = self.next[parent][s]
-            if q in red:
-                continue
-            # Of the compatible states the one nearest in depth is the likeliest: the newest first.
+        settled = {0}
+        while True:
+            blue = {(p, s): q for p in red for s, q in self.next[p].items() if q not in settled}
+            if not blue:
+                return
+            (parent, s), q = max(blue.items(), key=lambda x: (self.seen[x[1]], -x[0][0], x[0][1]))
+            # The newest settled state is the nearest in depth.
             for p in reversed(red):
                 if self._compatible(p, q):
                     self.next[parent][s] = p
-                    before = set(self.next[p])
                     self._fold(p, q)
-                    blue.extend((p, x) for x in sorted(set(self.next[p]) - before))
                     break
             else:
                 red.append(q)
-                blue.extend((q, x) for x in sorted(self.next[q]))
+                settled.add(q)
 
     def _keep_reachable(self) -> None:
         order, number = [0], {0: 0}
@@ -188,14 +187,14 @@ class Automaton:
         return total + self.stop[q]
 
 
-def labelled_tokens(per_format: int = 120, seed: int = 7) -> tuple[list[str], list[str]]:
+def labelled_tokens(per_format: int = 60, seed: int = 7) -> tuple[list[str], list[str]]:
     """Credentials made by the public formats, and ordinary tokens of like length."""
     draw = random.Random(seed)
     pick = lambda chars, n: "".join(draw.choice(chars) for _ in range(n))
     secrets = ["".join(p + pick(a, n) for p, a, n in f) for f in FORMATS for _ in range(per_format)]
     word = lambda: pick(string.ascii_lowercase, draw.randint(3, 10))
     plain: list[str] = []
-    for _ in range(per_format * 3):
+    for _ in range(per_format * 5):
         plain += [
             "-".join(word() for _ in range(draw.randint(3, 5))) + f"-{draw.randint(1, 9999)}",
             "_".join(word() for _ in range(draw.randint(3, 5))) + str(draw.randint(1, 99)),
@@ -211,7 +210,7 @@ def labelled_tokens(per_format: int = 120, seed: int = 7) -> tuple[list[str], li
     return secrets, plain
 
 
-def bare_tokens(per_format: int = 120, seed: int = 11) -> list[str]:
+def bare_tokens(per_format: int = 60, seed: int = 11) -> list[str]:
     """Credentials without a prefix."""
     draw = random.Random(seed)
     return ["".join(draw.choice(a) for _ in range(n)) for a, n in BARE for _ in range(per_format)]
@@ -288,18 +287,18 @@ def find_secrets(text: str, threshold: float, models: tuple[Automaton, ...]) ->
     spans = base_spans(text)
     added = []
     for m in CANDIDATE.finditer(text):
-        s, e = m.start(), m.end()
+        s, e = m.span(1)
         while e > s and text[e - 1] in ".=-/":
             e -= 1
         token = text[s:e]
-        if e - s < 16 or not any(map(str.isalpha, token)) or any(s < b and a < e for _, a, b, _ in spans):
+        if e - s < SHORTEST or any(s < b and a < e for _, a, b, _ in spans):
             continue
         if (score := likelihood_ratio(token, models)) >= threshold:
             added.append(("inferred", s, e, score))
     # Runs that are none as a whole may hold credentials glued to names or paths.
     taken = sorted((s, e) for _, s, e, _ in spans + added)
     for m in RUN.finditer(text):
-        if not any(c in m[0] for c in CUTS) or not any(map(str.isdigit, m[0])):
+        if not any(c in m[0] for c in CUTS):
             continue
         at = m.start()
         for a, b in [*((a, b) for a, b in taken if a < m.end() and b > m.start()), (m.end(), m.end())]:
