@@ -13,8 +13,10 @@ labels, ``TRAIN_PAGES`` of them.
 from __future__ import annotations
 
 import html
+import math
 import random
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +39,7 @@ BLOCK = frozenset(
     " footer form h1 h2 h3 h4 h5 h6 header hgroup html li main menu nav ol option p pre search section select summary"
     " table tbody td textarea tfoot th thead tr ul".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = BLOCK - frozenset("body html button option select td th tr tbody thead tfoot caption".split())
 CLOSED_BY = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -48,7 +51,7 @@ CLOSED_BY = {
     "option": ({"option"}, {"select"}),
 }
 TAGS = "p div section article main nav header footer aside form ul li table h1 h2 h3 figure blockquote span a".split()
-# Words of class, id and role names, by what they commonly mark.
+# Words of class, id and role names that the drawn training pages use.
 TOKENS = {
     "main": "article articlebody body content entry main post story text prose page",
     "menu": "nav navbar navigation menu breadcrumb breadcrumbs toc pagination pager tabs",
@@ -61,10 +64,15 @@ TOKENS = {
     "notice": "cookie cookies consent gdpr notice alert popup modal overlay warning message",
     "share": "share social sharing follow meta tags byline author date",
 }
-GROUP_OF = {w: g for g, words in TOKENS.items() for w in words.split()}
-GROUPS = list(TOKENS)
-
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+TOKENS_KEPT = 5_000  # attribute words whose weight is learned, at most
+SEEN = 3  # nodes that a word must mark to get a weight
+
+#: Comments, declarations and tags. Outside quotes a tag ends before the next "<", so a failed one costs its own length.
+TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<![^<>]*>|<\?[^<>]*>"
+    r"|<(/?)([A-Za-z][^\s/<>]*)(?:((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|([^<>]*+)>)",
+    re.S,
+)
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 SPLIT = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
 SPACE = re.compile(r"\s+")
@@ -82,18 +90,60 @@ class Node:
         self.parts: list[str | int] = []  # own text, children and marks, in order
 
 
+class Open:
+    """Open elements from the root down, with the places of each tag, so that none is searched for."""
+
+    def __init__(self) -> None:
+        self.tags = ["html"]
+        self.node = [0]  # block that each is in
+        self.places: dict[str, list[int]] = {"html": [0]}
+        self.blocks = [0]
+
+    def push(self, tag: str, node: int) -> None:
+        self.places.setdefault(tag, []).append(len(self.tags))
+        if tag in BLOCK:
+            self.blocks.append(len(self.tags))
+        self.tags.append(tag)
+        self.node.append(node)
+
+    def close(self, to: int) -> None:
+        while len(self.tags) > to:
+            self.places[self.tags.pop()].pop()
+            self.node.pop()
+            if self.blocks[-1] == len(self.tags):
+                self.blocks.pop()
+
+    def last(self, tags: set[str] | frozenset[str]) -> int:
+        """Place of the innermost of these, -1 if none is open."""
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=-1)
+
+    def end(self, tag: str) -> None:
+        """An end tag closes the innermost element of its name; that of an inline element stays in its block."""
+        place = self.last(HEADINGS if tag in HEADINGS else {tag})
+        if place > 0 and (tag in BLOCK or place > self.blocks[-1]):
+            self.close(place)
+
+    def begin(self, tag: str) -> None:
+        """Close what a start tag ends by itself."""
+        if tag in CLOSES_P and self.blocks[-1] and self.tags[self.blocks[-1]] == "p":
+            self.close(self.blocks[-1])
+        if tag in CLOSED_BY:
+            closes, until = CLOSED_BY[tag]
+            bound = max(0, self.last(until))
+            inside = [p[k] for t in closes if (p := self.places.get(t)) and (k := bisect_right(p, bound)) < len(p)]
+            if inside:
+                self.close(min(inside) if tag == "tr" else self.last(closes))
+
+
 def parse(page: str) -> list[Node]:
-    """Block elements of a page in document order; inline elements melt into their block."""
+    """Block elements of a page in document order; inline elements melt into their block. Linear in the page."""
     nodes = [Node("html", -1, 0, "")]
-    stack: list[tuple[str, int]] = [("html", 0)]  # open elements and the block they are in
+    open_, unclosed = Open(), set()
     at, end = 0, len(page)
 
     def text(a: int, b: int) -> None:
         if b > a:
-            nodes[stack[-1][1]].parts.append(html.unescape(page[a:b]))
-
-    def close(to: int) -> None:
-        del stack[to:]
+            nodes[open_.node[-1]].parts.append(html.unescape(page[a:b]))
 
     while at < end:
         m = TOKEN.search(page, at)
@@ -105,90 +155,82 @@ def parse(page: str) -> list[Node]:
         name = m[2]
         if not name:
             continue
-        tag = name.lower()
+        tag, attrs = name.lower(), m[3] if m[3] is not None else m[4]
         if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    close(i)
-                    break
-                if tag not in BLOCK and stack[i][0] in BLOCK:
-                    break
+            open_.end(tag)
             continue
         if tag in RAW or tag == "title":
-            stop = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            stop = None if tag in unclosed else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            if stop is None:
+                unclosed.add(tag)
             at = stop.end() if stop else (end if tag in ("script", "style", "title") else at)
             continue
-        block = stack[-1][1]
         if tag == "br" or tag == "hr":
-            nodes[block].parts.append(" ")
+            nodes[open_.node[-1]].parts.append(" ")
         if tag in VOID or tag in ("html", "head"):
             continue
         if tag == "body":
-            nodes[0].attrs += m[3]
+            nodes[0].attrs += attrs
             continue
-        if tag in CLOSES_P:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == "p":
-                    close(i)
-                    break
-                if stack[i][0] in BLOCK:
-                    break
-        if tag in CLOSED_BY:
-            closes, until = CLOSED_BY[tag]
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in until:
-                    break
-                if stack[i][0] in closes:
-                    close(i)
-                    if tag != "tr":
-                        break
-        block = stack[-1][1]
+        open_.begin(tag)
+        block = open_.node[-1]
         if tag in BLOCK:
             n = len(nodes)
-            nodes.append(Node(tag, block, nodes[block].depth + 1, m[3]))
+            nodes.append(Node(tag, block, nodes[block].depth + 1, attrs))
             nodes[block].children.append(n)
             nodes[block].parts.append(n)
-            stack.append((tag, n))
+            open_.push(tag, n)
         else:
             if tag == "a":
                 nodes[block].parts.append(LINK)
             if tag in ("input", "label"):
                 nodes[block].parts.append(CONTROL)
-            stack.append((tag, block))
-            if m[3].rstrip().endswith("/"):
-                stack.pop()
+            if not attrs.rstrip().endswith("/"):
+                open_.push(tag, block)
     return nodes
 
 
-def tokens_of(attrs: str) -> int:
-    """Groups of the words in class, id and role, as bits."""
-    bits = 0
+def attribute_words(attrs: str) -> list[str]:
+    """The words in class, id and role."""
+    found = []
     for m in NAMED.finditer(attrs):
-        for word in SPLIT.split(m[1] or m[2] or m[3] or ""):
-            if word and (group := GROUP_OF.get(word.lower())):
-                bits |= 1 << GROUPS.index(group)
-    return bits
+        found += [w.lower() for w in SPLIT.split(m[1] or m[2] or m[3] or "") if w]
+    return found
 
 
-WITHIN = {t: 1 << (len(GROUPS) + i) for i, t in enumerate("nav header footer aside form article main".split())}
+def word_weights(nodes: list[Node], labels: list[bool]) -> dict[str, float]:
+    """Weight of evidence of each attribute word: how much likelier it is on nodes with main text than on others."""
+    seen: dict[str, list[int]] = {}
+    for x, y in zip(nodes, labels, strict=True):
+        for w in set(attribute_words(x.attrs)):
+            seen.setdefault(w, [0, 0])[y] += 1
+    yes = max(1, sum(labels))
+    no = max(1, len(labels) - yes)
+    often = sorted((w for w, n in seen.items() if sum(n) >= SEEN), key=lambda w: (-sum(seen[w]), w))[:TOKENS_KEPT]
+    return {w: math.log((seen[w][1] + 0.5) / (yes + 1)) - math.log((seen[w][0] + 0.5) / (no + 1)) for w in often}
+
+
+WITHIN = {t: 1 << i for i, t in enumerate("nav header footer aside form article main".split())}
 TAG_AT = {t: i for i, t in enumerate(TAGS)}
 CONTROLS = frozenset("button select textarea option fieldset".split())
 
 
-def node_rows(nodes: list[Node]) -> list[list[float]]:
+def node_rows(nodes: list[Node], weights: dict[str, float]) -> list[list[float]]:
     """Plain numbers of each node; ``features`` makes columns of them."""
-    own, marks, above = [], [], []
+    own, marks, above, within = [], [], [], []
     for x in nodes:
         text = " ".join([p for p in x.parts if p.__class__ is str])
-        row = [0.0, 0.0, 0.0, float(x.tag in CONTROLS), 0.0, 0.0, 0.0]
+        row = [0.0, 0.0, 0.0, float(x.tag in CONTROLS), 0.0, 0.0, 0.0, 0.0]
         if text and not text.isspace():
             words = len(text.split())
             ends = text.count(".") + text.count("!") + text.count("?")
-            row = [len(text), words, x.parts.count(LINK), row[3] + x.parts.count(CONTROL), ends, text.count(","), x.tag == "p"]
+            row = [len(text), words, x.parts.count(LINK), row[3] + x.parts.count(CONTROL), ends, text.count(","), x.tag == "p", "©" in text]
         own.append(row)
-        marks.append(tokens_of(x.attrs) if x.attrs else 0)
+        known = [weights[w] for w in attribute_words(x.attrs) if w in weights] if x.attrs else []
+        marks.append([sum(known), min(known, default=0.0), max(known, default=0.0)])
         p = x.parent
-        above.append(above[p] | marks[p] | WITHIN.get(nodes[p].tag, 0) if p >= 0 else 0)
+        within.append(within[p] | WITHIN.get(nodes[p].tag, 0) if p >= 0 else 0)
+        above.append([min(above[p][0], marks[p][1]), max(above[p][1], marks[p][2])] if p >= 0 else [0.0, 0.0])
     total, blocks, height = [r[:] for r in own], [1] * len(nodes), [0] * len(nodes)
     for i in range(len(nodes) - 1, 0, -1):
         p = nodes[i].parent
@@ -200,9 +242,9 @@ def node_rows(nodes: list[Node]) -> list[list[float]]:
 
     def put(i: int, sib: list[float]) -> None:
         x = nodes[i]
-        out[i] = [*total[i], own[i][0], blocks[i], height[i], x.depth, marks[i], above[i], TAG_AT.get(x.tag, -1), *sib]
+        out[i] = [*total[i], own[i][0], blocks[i], height[i], x.depth, *marks[i], *above[i], within[i], TAG_AT.get(x.tag, -1), *sib]
 
-    put(0, [1, 0, 1, 1, 1, 0])
+    put(0, [1, 0, 1, 1, 1, 0, 0, 0])
     for x in nodes:
         c = x.children
         if not c:
@@ -212,20 +254,20 @@ def node_rows(nodes: list[Node]) -> list[list[float]]:
         for i in c:
             same[nodes[i].tag] = same.get(nodes[i].tag, 0) + 1
         for k, i in enumerate(c):
-            put(i, [len(c), k / len(c), same[nodes[i].tag] / len(c), chars[k] / page, chars[k] / most, middle])
+            put(i, [len(c), k / len(c), same[nodes[i].tag] / len(c), chars[k] / page, chars[k] / most, middle, chars[k + 1] if k + 1 < len(c) else 0, nodes[i].tag in HEADINGS])
     return out
 
 
 def features(rows: list[list[float]]) -> np.ndarray:
     """One row a node: subtree, attribute, depth and sibling statistics."""
     x = np.array(rows, np.float64)
-    bits = lambda c, n: (x[:, c].astype(np.int64)[:, None] >> np.arange(n)) & 1
     ratio = lambda a, b: (x[:, a] / np.maximum(1, x[:, b]))[:, None]
-    tag = x[:, 13].astype(np.int64)[:, None] == np.arange(len(TAGS))
+    within = (x[:, 17].astype(np.int64)[:, None] >> np.arange(len(WITHIN))) & 1
+    tag = x[:, 18].astype(np.int64)[:, None] == np.arange(len(TAGS))
     return np.column_stack(
         [
-            np.log1p(x[:, [0, 1, 7]]), ratio(0, 8), ratio(2, 1), x[:, [2, 3]], ratio(4, 1), ratio(5, 1), x[:, [6]],
-            ratio(0, 1), x[:, 8:11], x[:, 14:20], bits(11, len(GROUPS)), bits(12, len(GROUPS) + len(WITHIN)), tag,
+            np.log1p(x[:, [0, 1, 8]]), ratio(0, 9), ratio(2, 1), x[:, [2, 3]], ratio(4, 1), ratio(5, 1), x[:, [6, 7]],
+            ratio(0, 1), x[:, 9:17], x[:, 19:25], np.log1p(x[:, [25]]), x[:, [26]], within, tag,
         ]
     )
 
@@ -233,7 +275,8 @@ def features(rows: list[list[float]]) -> np.ndarray:
 class Trees:
     """Fitted trees as arrays: all trees walk all rows at once."""
 
-    def __init__(self, trees: list[str], weights: list[float]) -> None:
+    def __init__(self, trees: list[str], weights: list[float], words: dict[str, float]) -> None:
+        self.words = words  # attribute words and what they say
         self.nodes: list[list[float]] = []  # feature, threshold, left, right, prediction
         self.roots = [self._read(iter([x.strip() for x in t.splitlines()[1:] if x.strip()])) for t in trees]
         table = np.array(self.nodes)
@@ -321,6 +364,7 @@ def draw_page(seed: int) -> str:
     said = lambda n: " ".join(word() + r.choice(["", "", "", "", ",", ".", "###"]) for _ in range(n)).capitalize() + "."
     links = lambda n: "".join(f'<li><a href="/{word()}">{said(r.randint(1, 4))}</a></li>' for _ in range(n))
     name = lambda group: r.choice(TOKENS[group].split())
+    bare = r.random() < 0.2  # a page of nothing but divisions, tables and links
 
     def attrs(group: str, chance: float = 0.8) -> str:
         if r.random() > chance:
@@ -332,7 +376,7 @@ def draw_page(seed: int) -> str:
         inner = "MAIN " + said(n)
         if r.random() < 0.2:
             inner = f"MAIN <b>{said(3)}</b> {said(n)} <a href='/{word()}'>{word()}</a> {said(4)}"
-        if r.random() < 0.15:
+        if r.random() < 0.15 and not bare:
             inner = f"<b>MAIN {said(n)}<br>"
             return f"<p>{inner}"
         kind = r.random()
@@ -341,19 +385,20 @@ def draw_page(seed: int) -> str:
         if kind < 0.08:
             return f"<blockquote><p>MAIN {said(20)}</p></blockquote>"
         if kind < 0.12:
-            return f"<h{r.choice('23')}>MAIN {said(r.randint(1, 6))}</h2>"
+            return f"<h{(h := r.choice('234'))}>MAIN {said(r.randint(1, 6))}</h{h}>"
         if kind < 0.15:
             return f"<table><tr><td>MAIN {said(3)}</td><td>MAIN {said(2)}</td></tr></table>"
         if kind < 0.25:
             return f"<div>{inner}</div>"
-        return f"<p>{inner}</p>" if r.random() < 0.8 else f"<p>{inner}"
+        return f"<p>{inner}</p>" if bare or r.random() < 0.8 else f"<p>{inner}"
 
     advert = lambda: r.choice(["<div{}>{}</div>", "<div{}><p>{}</p></div>", "<section{}><a href='/x'>{}</a></section>", "<aside{}>{}</aside>"]).format(attrs("ad", 1), said(r.randint(2, 20)))
     share = lambda: f"<div{attrs('share', 1)}>{said(2)} <a href='/{word()}'>{word()}</a> <a href='/'>{word()}</a></div>"
     notice = lambda: f"<div{attrs('notice', 1)}><p>{said(r.randint(5, 30))}</p><button>{word()}</button></div>"
     form = lambda: f"<form{attrs('form', 0.5)}><label>{said(2)}</label><input name='q'><button>{word()}</button></form>"
     side = lambda: r.choice(["<aside{}>{}</aside>", "<div{}>{}</div>"]).format(attrs("side", 1), f"<h3>{said(2)}</h3><ul>{links(r.randint(2, 8))}</ul>" + (f"<p>{said(15)}</p>" if r.random() < 0.4 else ""))
-    menu = lambda: r.choice(["<nav{0}><ul>{1}</ul></nav>", "<div{2}><ul>{1}</ul></div>"]).format(attrs("menu", 0.4), links(r.randint(3, 12)), attrs("menu", 1))
+    rows = lambda n: r.choice([" ", " | ", ""]).join(f'<a href="/{word()}">{said(r.randint(1, 3))}</a>' for _ in range(n))
+    menu = lambda: r.choice(["<nav{0}><ul>{1}</ul></nav>", "<div{2}><ul>{1}</ul></div>", "<div{2}>{3}</div>"]).format(attrs("menu", 0.4), links(r.randint(3, 12)), attrs("menu", 1), rows(r.randint(2, 9)))
     head = lambda: f"<header{attrs('head', 0.5)}><a href='/'>{said(2)}</a>{r.choice(['', f'<p>{said(6)}</p>', menu()])}</header>"
     foot = lambda: r.choice(["<footer{0}>&copy; {1}</footer>", "<div{2}><p>{1}</p></div>", "<footer{0}><ul>{3}</ul><p>&copy; {1}</p></footer>"]).format(attrs("foot", 0.3), said(r.randint(3, 25)), attrs("foot", 1), links(3))
 
@@ -367,28 +412,39 @@ def draw_page(seed: int) -> str:
     body = [f"<h1>MAIN {said(r.randint(1, 10))}</h1>"] * (r.random() < 0.8)
     for _ in range(r.choice([1, 2, 4, 8, 15, 25])):
         body.append(para())
-        if r.random() < 0.06:
+        if r.random() < 0.06 and not bare:
             body.append(r.choice([advert, share, side, form])())
     inside = "".join(body)
     if r.random() < 0.25:
-        inside += r.choice([share, comments, side])()
+        inside += r.choice([share, share if bare else comments, side])()
     if r.random() < 0.3:
         inside = f"<div{attrs('main', 0.7)}>{inside}</div>"
     shell = r.choice(["<article{}>{}</article>", "<main{}>{}</main>", "<div{}>{}</div>", "<article{}>{}</article>"])
     main = shell.format(attrs("main", 1 if shell.startswith("<div") else 0.3), inside)
-    before = [f() for f, c in ((head, 0.5), (menu, 0.8), (notice, 0.3), (advert, 0.5), (form, 0.2)) if r.random() < c]
-    after = [f() for f, c in ((comments, 0.4), (side, 0.4), (advert, 0.3), (form, 0.2), (notice, 0.2), (foot, 0.85)) if r.random() < c]
+    marked = 0 if bare else 1  # what only its names tell from the article needs names
+    before = [f() for f, c in ((head, 0.5), (menu, 0.8), (notice, 0.3 * marked), (advert, 0.5 * marked), (form, 0.2)) if r.random() < c]
+    after = [f() for f, c in ((comments, 0.4 * marked), (side, 0.4), (advert, 0.3 * marked), (form, 0.2), (notice, 0.2 * marked), (foot, 0.85)) if r.random() < c]
     r.shuffle(before)
+    if bare and r.random() < 0.5:
+        main = inside  # no shell at all
     middle = [main]
-    if r.random() < 0.3:
+    if r.random() < 0.3 and not bare:
         middle = [f"<div{attrs('side', 0)}>{main}{after.pop(0) if after else ''}</div>"]
-    page = f"<!DOCTYPE html><html><head><title>{said(3)}</title><style>p{{}}</style></head><body>{''.join(before + middle + after)}"
+    if bare and r.random() < 0.2:
+        middle = [f"<table><tr><td>{menu()}</td><td>{main}</td></tr></table>"]
+    inner = "".join(before + middle + after)
+    if bare:
+        inner = re.sub(r"<(/?)(?:article|main|section|header|footer|nav|aside)\b[^>]*>", r"<\1div>", inner)
+        inner = re.sub(r"<(div|p|ul|ol|li|form)\s[^>]*>", r"<\1>", inner)
+        if r.random() < 0.5:
+            inner = re.sub(r"<(/?)p>", r"<\1div>", inner)
+    page = f"<!DOCTYPE html><html><head><title>{said(3)}</title><style>p{{}}</style></head><body>{inner}"
     return page + ("</body></html>" if r.random() < 0.9 else "")
 
 
-def labelled_nodes(pages: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of the nodes of drawn pages."""
-    rows: list[list[float]] = []
+def labelled_nodes(pages: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray, dict[str, float]]:
+    """Features and labels of the nodes of drawn pages, and the learned weights of attribute words."""
+    drawn: list[list[Node]] = []
     ys: list[bool] = []
     for i in range(pages):
         nodes = parse(draw_page(seed + i))
@@ -397,24 +453,28 @@ def labelled_nodes(pages: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
             label[nodes[j].parent] |= label[j]
         for x in nodes:
             x.parts = [p.replace("MAIN ", "") if isinstance(p, str) else p for p in x.parts]
-        rows += node_rows(nodes)
+        drawn.append(nodes)
         ys += label
-    return features(rows), np.array(ys, float)
+    words = word_weights([x for nodes in drawn for x in nodes], ys)
+    return features([row for nodes in drawn for row in node_rows(nodes, words)]), np.array(ys, float), words
 
 
+HEADING_AT = -1 - len(TAGS) - len(WITHIN)  # the column that tells headings
 FITTED: dict[int, Trees] = {}
 
 
 def fit(spark: SparkSession, pages: int = TRAIN_PAGES) -> Trees:
     """Gradient-boosted trees on the nodes of ``pages`` drawn pages; fitted once a process."""
     if pages not in FITTED:
-        x, y = labelled_nodes(pages)
-        schema = T.StructType([T.StructField("features", VectorUDT()), T.StructField("label", T.DoubleType())])
-        rows = [(Vectors.dense(a), b) for a, b in zip(x.tolist(), y.tolist(), strict=True)]
+        x, y, words = labelled_nodes(pages)
+        schema = T.StructType([T.StructField("features", VectorUDT()), *[T.StructField(c, T.DoubleType()) for c in ("label", "weight")]])
+        # Headings of the text are few and short, yet as much a part of it as paragraphs; others fall with what they are in.
+        heavy = 1.0 + 9.0 * x[:, HEADING_AT] * y
+        rows = [(Vectors.dense(a), b, c) for a, b, c in zip(x.tolist(), y.tolist(), heavy.tolist(), strict=True)]
         train = spark.createDataFrame(rows, schema).coalesce(2).persist()
-        model = GBTClassifier(maxIter=20, maxDepth=5, stepSize=0.3, maxBins=48, seed=1, cacheNodeIds=False).fit(train)
+        model = GBTClassifier(maxIter=50, maxDepth=5, stepSize=0.3, maxBins=48, seed=1, cacheNodeIds=False, weightCol="weight").fit(train)
         train.unpersist()
-        FITTED[pages] = Trees([t.toDebugString for t in model.trees], list(model.treeWeights))
+        FITTED[pages] = Trees([t.toDebugString for t in model.trees], list(model.treeWeights), words)
     return FITTED[pages]
 
 
@@ -422,7 +482,7 @@ def extract_texts(pages: list[str], trees: Trees) -> list[str]:
     out: list[str] = []
     for at in range(0, len(pages), AT_ONCE):
         parsed = [parse(p) for p in pages[at : at + AT_ONCE]]
-        p = trees.probability(features([row for x in parsed for row in node_rows(x)]))
+        p = trees.probability(features([row for x in parsed for row in node_rows(x, trees.words)]))
         k = 0
         for nodes in parsed:
             out.append(main_text(nodes, decode(nodes, p[k : k + len(nodes)])))

@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +23,8 @@ from assayer.llm._common import SPANS_SQL, count_kind, joined_spans, map_rows, s
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: A leftmost match starts where a run of digits does, and each part is a whole run.
+IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL_CHARS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
@@ -73,10 +76,26 @@ def base_spans(text: str) -> list[tuple[str, int, int, float | None]]:
     return out
 
 
-# Look-alike letters that no compatibility form maps to ASCII.
+# Look-alike characters that no compatibility form maps to ASCII, by script.
 HOMOGLYPHS = str.maketrans(
-    "аеорсухіјѕԁһոΑΒΕΖΗΙΚΜΝΟΡΤΥΧοАВЕКМНОРСТХІЈЅ＠。．",
-    "aeopcyxijsdhnABEZHIKMNOPTYXoABEKMHOPCTXIJS@..",
+    # Cyrillic
+    "аеорсухіјѕԁһԛԝѵӏ" "АВЕКМНОРСТУХІЈЅԌԚԜѴӀҮ"
+    # Greek
+    "αονρικυγ" "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ"
+    # Armenian
+    "ոսօհցզ" "ՕՏՍ"
+    # Cherokee
+    "ᎠᎡᎢᎪᎫᎬᎳᎷᎻᏀᏃᏙᏚᏞᏟᏢᏦᏴ"
+    # Phonetic and small capital letters
+    "ɑɡɩʏᴄᴏᴠᴡᴢꜱ"
+    # Signs
+    "＠。．‐‑‒–−",
+    "aeopcyxijsdhqwvl" "ABEKMHOPCTYXIJSGQWVIY"
+    "aovpikuy" "ABEZHIKMNOPTYX"
+    "nuohgq" "OSU"
+    "DRTAJEWMHGZVSLCPKB"
+    "agiycovwzs"
+    "@..-----",
 )
 # Digits in words.
 SPELLED = dict(zip("zero one two three four five six seven eight nine oh".split(), "01234567890", strict=True))
@@ -86,10 +105,11 @@ DIGIT_RUN = re.compile(rf"\b(?i:{NAMES})(?:[\x20,.-]{{1,2}}(?:(?i:{NAMES})\b|[0-
 DIGIT_WORD = re.compile(rf"(?i:{NAMES})\b|[0-9]+")
 AT = re.compile(r"\x20?(?:\[\x20?(?i:at|@)\x20?\]|\(\x20?(?i:at|@)\x20?\)|\{\x20?(?i:at|@)\x20?\}|<\x20?(?i:at)\x20?>)\x20?")
 DOT = re.compile(r"\x20?(?:\[\x20?(?i:dot|\.)\x20?\]|\(\x20?(?i:dot|\.)\x20?\)|\{\x20?(?i:dot|\.)\x20?\}|<\x20?(?i:dot)\x20?>)\x20?")
-#: "name at host dot tld", spelled out: both words are needed.
-SPOKEN = re.compile(r"[A-Za-z0-9._%+-]+(\x20(?i:at)\x20)[A-Za-z0-9-]+(?:\x20(?i:dot)\x20[A-Za-z0-9-]+)+")
+#: "name at host dot tld", spelled out: both words are needed. Found from "at" outwards.
+SPOKEN_AT = re.compile(r"\x20(?i:at)(?=\x20)")
+SPOKEN_HOST = re.compile(r"\x20[A-Za-z0-9-]+(?:\x20(?i:dot)\x20[A-Za-z0-9-]+)+")
 SPOKEN_DOT = re.compile(r"\x20(?i:dot)\x20")
-ODD = re.compile(r"[^\x00-ɏ]")
+ODD = re.compile(r"[\xad]|[^\x00-ɏ]")
 HIDDEN = frozenset("​‌‍⁠﻿­")
 
 
@@ -98,13 +118,15 @@ class Offsets:
 
     def __init__(self, text: str) -> None:
         self.text = text
-        self.start = list(range(len(text)))
-        self.end = list(range(1, len(text) + 1))
+        self.start: list[int] | None = None  # until something is rewritten, characters are their own source
+        self.end: list[int] = []
 
     def rewrite(self, edits: list[tuple[int, int, str]]) -> None:
         """Replace spans of the current text, in order and without overlap."""
         if not edits:
             return
+        if self.start is None:
+            self.start, self.end = list(range(len(self.text))), list(range(1, len(self.text) + 1))
         text, start, end, at = [], [], [], 0
         for a, b, new in edits:
             text += [self.text[at:a], new]
@@ -116,9 +138,10 @@ class Offsets:
         self.end = end + self.end[at:]
 
     def source(self, a: int, b: int) -> tuple[int, int]:
-        return self.start[a], self.end[b - 1]
+        return (a, b) if self.start is None else (self.start[a], self.end[b - 1])
 
 
+@lru_cache(maxsize=10_000)
 def plain(char: str) -> str:
     """One character without disguise."""
     if char in HIDDEN:
@@ -133,39 +156,59 @@ def plain(char: str) -> str:
     return str(digit) if digit is not None else char
 
 
-def mixed(text: str, at: int) -> bool:
-    """Whether the word around a look-alike also has ASCII letters, digits or an @."""
-    a = b = at
-    while a > 0 and not text[a - 1].isspace():
-        a -= 1
-    while b < len(text) and not text[b].isspace():
-        b += 1
-    return any(c.isascii() and c.isalnum() for c in text[a:b]) or any(plain(c) == "@" for c in text[a:b])
+def look_alikes(text: str) -> list[tuple[int, int, str]]:
+    """Edits of disguised characters: those that stand for a digit or sign anywhere, letters in mixed words.
+
+    A word is mixed if it also has ASCII letters, digits or an @; each is looked at once.
+    """
+    out, end, mixed = [], 0, False
+    for m in ODD.finditer(text):
+        i = m.start()
+        new = plain(text[i])
+        if new == text[i]:
+            continue
+        if new.isalpha():
+            if i >= end:
+                begin, end = i, i + 1
+                while begin > 0 and not text[begin - 1].isspace():
+                    begin -= 1
+                while end < len(text) and not text[end].isspace():
+                    end += 1
+                word = text[begin:end]
+                mixed = any(c.isascii() and c.isalnum() for c in word) or any(plain(c) == "@" for c in set(word))
+            if not mixed:
+                continue
+        out.append((i, i + 1, new))
+    return out
+
+
+def spoken(text: str) -> list[tuple[int, int, str]]:
+    """Edits of spelled "at" and "dot" in addresses."""
+    out, floor = [], 0
+    for m in SPOKEN_AT.finditer(text):
+        at = m.start()
+        if at <= floor or text[at - 1] not in LOCAL_CHARS:
+            continue
+        host = SPOKEN_HOST.match(text, m.end())
+        if host:
+            floor = host.end()
+            out.append((at, m.end() + 1, "@"))
+            out += [(d.start(), d.end(), ".") for d in SPOKEN_DOT.finditer(text, m.end() + 1, floor)]
+    return out
 
 
 def normalise(text: str) -> Offsets | None:
     """The text without disguises; None when it has none."""
     out = Offsets(text)
     if not text.isascii():
-        # A character that stands for a digit or sign is rewritten anywhere, a letter in mixed words.
-        odd = [m.start() for m in ODD.finditer(text)]
-        odd += [m.start() for m in re.finditer("­", text)]
-        out.rewrite(
-            [
-                (i, i + 1, new)
-                for i in sorted(odd)
-                if (new := plain(text[i])) != text[i] and (not new.isalpha() or mixed(text, i))
-            ]
-        )
+        out.rewrite(look_alikes(text))
     edits = []
     if any(c in out.text for c in "[({<"):
         edits += [(m.start(), m.end(), "@") for m in AT.finditer(out.text)]
         edits += [(m.start(), m.end(), ".") for m in DOT.finditer(out.text)]
     low = out.text.lower()
     if " at " in low and " dot " in low:
-        for m in SPOKEN.finditer(out.text):
-            edits.append((*m.span(1), "@"))
-            edits += [(d.start(), d.end(), ".") for d in SPOKEN_DOT.finditer(out.text, m.end(1) - 1, m.end())]
+        edits += spoken(out.text)
     for run in DIGIT_RUN.finditer(out.text):
         words = list(DIGIT_WORD.finditer(out.text, run.start(), run.end()))
         for w, after in zip(words, [*words[1:], None], strict=True):
@@ -186,12 +229,14 @@ def find_pii(text: str) -> list[tuple[str, int, int, float | None]]:
     plainer = normalise(text)
     if plainer is None:
         return spans
-    taken = [(s, e) for _, s, e, _ in spans]
+    taken = np.zeros(len(text) + 1, bool)  # characters of spans that stand
+    for _, s, e, _ in spans:
+        taken[s:e] = True
     for kind, a, b, _ in base_spans(plainer.text):
         s, e = plainer.source(a, b)
-        if plainer.text[a:b] != text[s:e] and not any(s < y and x < e for x, y in taken):
+        if plainer.text[a:b] != text[s:e] and not taken[s:e].any():
             spans.append((kind, s, e, 1.0))
-            taken.append((s, e))
+            taken[s:e] = True
     return sorted(spans, key=lambda x: (KINDS.index(x[0]), x[1]))
 
 
