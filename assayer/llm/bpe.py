@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import base64
 import struct
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm._common import map_rows, sha
+from assayer.llm._common import bounded, map_rows, sha, worker_state
 
 #: Pieces whose ids a worker remembers; beyond it the memory starts afresh.
 CACHE = 200_000
@@ -174,7 +173,6 @@ class PrefixEncoder:
         return walk(self.v, self.last, len(self.data))
 
 
-@lru_cache(maxsize=2)
 def vocabulary(path: str) -> Vocabulary:
     with open(path, "rb") as f:
         return Vocabulary({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
@@ -223,27 +221,47 @@ class Encoder:
         return self.encode_batch([text])[0]
 
 
-@lru_cache(maxsize=2)
 def worker_encoder(path: str, pattern: str) -> Encoder:
-    """One encoder a Python worker, so that its memory of pieces outlives a task."""
-    return Encoder(path, pattern)
+    """One encoder a Python worker, so that its memory of pieces outlives a task; it goes when another operator runs there."""
+    state = worker_state(__name__)
+    if state.get("encoder") != (path, pattern):
+        state["encoder"], state["made"] = (path, pattern), Encoder(path, pattern)
+    return state["made"]
 
 
 def encode(
-    df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()
+    df: DataFrame,
+    path: str,
+    pattern: str,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    keep: tuple[str, ...] = (),
+    decoded: bool = False,
 ) -> DataFrame:
     """Token ids of every whole text, in column ``ids`` as little-endian 32-bit integers.
 
-    ``path`` is a rank file, readable where the tasks run. Null and empty texts
-    have no tokens; null ids and repeated rows are kept; other columns than
-    ``id_col``, ``text_col`` and ``keep`` are not read.
+    ``path`` is a rank file, readable where the tasks run. With ``decoded`` the ids
+    are decoded again in the same pass, into column ``bytes``. Null and empty texts
+    have no tokens; null ids and repeated rows are kept, an empty table gives none;
+    other columns than ``id_col``, ``text_col`` and ``keep`` are not read.
     """
 
     def setup():  # noqa: ANN202
         encoder = worker_encoder(path, pattern)
-        return lambda texts: {"ids": pa.array(encoder.encode_batch(texts), pa.binary())}
 
-    return map_rows(df, [id_col, *keep], text_col, setup, "ids binary")
+        def work(texts: list[str]) -> dict[str, pa.Array]:
+            ids = encoder.encode_batch(texts)
+            made = {"ids": pa.array(ids, pa.binary())}
+            return made | {"bytes": pa.array([bytes_of(encoder.v, x) for x in ids], pa.binary())} if decoded else made
+
+        return work
+
+    return map_rows(df, [id_col, *keep], text_col, setup, "ids binary, bytes binary" if decoded else "ids binary")
+
+
+def bytes_of(v: Vocabulary, ids: bytes | None) -> bytes:
+    """The bytes that packed ids stand for; none for null."""
+    return b"".join(map(v.bytes_of.__getitem__, np.frombuffer(ids or b"", "<u4").tolist()))
 
 
 def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -252,10 +270,11 @@ def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids
     held = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in (id_col, *keep))
 
     def run(batches):  # noqa: ANN001, ANN202
-        table = vocabulary(path).bytes_of
-        for batch in batches:
-            rows = (np.frombuffer(x.as_py() or b"", "<u4").tolist() for x in batch.column(len(keep) + 1))
-            made = pa.array([b"".join(map(table.__getitem__, ids)) for ids in rows], pa.binary())
+        state = worker_state(__name__)
+        if state.get("vocabulary") != path:
+            state["vocabulary"], state["read"] = path, vocabulary(path)
+        for batch in bounded(batches, len(keep) + 1):
+            made = pa.array([bytes_of(state["read"], x.as_py()) for x in batch.column(len(keep) + 1)], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[id_col, *keep, ids_col, "bytes"])
 
     return source.mapInArrow(run, f"{held}, `{ids_col}` binary, bytes binary")

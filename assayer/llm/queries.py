@@ -37,8 +37,7 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    encoded = bpe.encode(documents(spark, sf_dir), path, public_tokenizers.PATTERN)
-    return bpe.digest(bpe.decode(encoded, path))
+    return bpe.digest(bpe.encode(documents(spark, sf_dir), path, public_tokenizers.PATTERN, decoded=True))
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -279,21 +279,33 @@ def shifts(v: int) -> np.ndarray:
     )
 
 
-def cover_ranks(text: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """The sample positions ``at``, sorted, and their ranks by their first ``length`` bytes.
+class Cover:
+    """Ranks of a difference-cover sample of a bucket's text, made before any of its ranges is sorted.
 
-    ``text`` ends in at least length + v + 8 bytes of padding.
+    Only suffixes that share their first sixteen bytes with another can tie, so the sample
+    is that of their neighbourhoods. ``text`` ends in at least length + v + 16 bytes of padding.
     """
-    at = np.unique(at)
-    w = words(text, ">")
-    keys = [w[at + i].astype(U64) for i in [*range(0, length - 7, 8), *[length - 8] * (length % 8 > 0)]]
-    order = np.lexsort(keys[::-1])
-    new = np.zeros(len(at), bool)
-    for k in keys:
-        new[1:] |= k[order[1:]] != k[order[:-1]]
-    ranks = np.empty(len(at), np.int64)
-    ranks[order] = np.cumsum(new) + 1
-    return at, ranks
+
+    def __init__(self, text: np.ndarray, starts: np.ndarray, v: int, length: int) -> None:
+        self.v, self.shift = v, shifts(v)
+        w = words(text, ">")
+        first = mix(w[starts] * U64(0x9E3779B97F4A7C15)) ^ w[starts + 8]
+        order = np.argsort(first, kind="stable")
+        again = first[order][1:] == first[order][:-1]
+        tied = np.zeros(len(starts), bool)
+        tied[order[1:][again]] = tied[order[:-1][again]] = True  # a clash of hashes only adds to the sample
+        near = starts[tied]
+        at = np.unique(np.concatenate([(near + d)[np.isin((near + d) % v, COVERS[v])] for d in range(self.shift.max() + 1)]))
+        keys = [w[at + i].astype(U64) for i in [*range(0, length - 7, 8), *[length - 8] * (length % 8 > 0)]]
+        order = np.lexsort(keys[::-1])
+        new = np.zeros(len(at), bool)
+        for k in keys:
+            new[1:] |= k[order[1:]] != k[order[:-1]]
+        self.at, self.ranks = at, np.empty(len(at), np.int64)
+        self.ranks[order] = np.cumsum(new) + 1
+
+    def rank(self, x: np.ndarray) -> np.ndarray:
+        return self.ranks[np.searchsorted(self.at, x)]
 
 
 def same_strings(text: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
@@ -326,18 +338,16 @@ def prefix_order(text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, np.cumsum(np.concatenate(([False], group[1:] != group[:-1])) | split)
 
 
-def sort_bucket(text: np.ndarray, starts: np.ndarray, v: int, length: int) -> np.ndarray:
+def sort_range(text: np.ndarray, starts: np.ndarray, cover: Cover) -> np.ndarray:
     """``starts`` in suffix order: 16 bytes first, longer ties by the ranks of the cover sample."""
     starts, group = prefix_order(text, starts)
     tied = tied_groups(starts, group)
     if not len(tied):
         return starts
+    v, shift = cover.v, cover.shift
     at, g = starts[tied], group[tied]
-    residue, shift = at % v, shifts(v)
-    sample = np.concatenate([(at + d)[np.isin((at + d) % v, COVERS[v])] for d in range(shift.max() + 1)])
-    sample, ranks = cover_ranks(text, sample, length)
-    rank_at = lambda x: ranks[np.searchsorted(sample, x)]
-    width = len(sample) + 2
+    residue = at % v
+    width = len(cover.at) + 2
     below = np.zeros(len(at), np.int64)  # suffixes of its group that come before each
     for b in range(v):
         other = np.flatnonzero(residue == b)
@@ -348,15 +358,16 @@ def sort_bucket(text: np.ndarray, starts: np.ndarray, v: int, length: int) -> np
             if not len(mine):
                 continue
             d = shift[a, b]
-            theirs = np.sort(g[other] * width + rank_at(at[other] + d))
+            theirs = np.sort(g[other] * width + cover.rank(at[other] + d))
             base = g[mine] * width
-            below[mine] += np.searchsorted(theirs, base + rank_at(at[mine] + d)) - np.searchsorted(theirs, base)
+            below[mine] += np.searchsorted(theirs, base + cover.rank(at[mine] + d)) - np.searchsorted(theirs, base)
     starts[tied] = at[np.lexsort((below, g))]
     return starts
 
 
 def sorted_classes(text: np.ndarray, starts: np.ndarray, v: int, length: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """One leading-byte range after the other: its starts in suffix order and their classes."""
+    cover = Cover(text, starts, v, length)
     lead = text[starts]
     by_lead = starts[np.argsort(lead, kind="stable")]
     counts = np.bincount(lead, minlength=256)
@@ -364,7 +375,7 @@ def sorted_classes(text: np.ndarray, starts: np.ndarray, v: int, length: int) ->
     for n in [*counts.tolist(), None]:
         if n is None or (end > begin and end + n - begin > SORT_AT_ONCE):
             if end > begin:
-                part = sort_bucket(text, by_lead[begin:end], v, length)
+                part = sort_range(text, by_lead[begin:end], cover)
                 new = np.concatenate(([True], ~same_strings(text, part[1:], part[:-1], length)))
                 yield part, np.cumsum(new) - 1
             begin = end
