@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -221,15 +222,10 @@ def member(x: np.ndarray, among: np.ndarray) -> np.ndarray:
     return among[at] == x
 
 
-def block_snippets(table: pa.Table, back: pa.Table, buckets: int, length: int) -> pa.Table:
-    """Snippets of a block's repeated anchors: distinct texts and all their places, by bucket."""
-    names = ("bucket", "blk", "snippets", "n", "size", "packed")
-    kinds = (*[pa.int32()] * 4, pa.int64(), pa.binary())
-    empty = pa.table({n: pa.array([], k) for n, k in zip(names, kinds, strict=True)})
+def snippets_of(table: pa.Table, back: pa.Table, buckets: int, length: int) -> Iterator[tuple[int, list[bytes], np.ndarray, np.ndarray, np.ndarray]]:
+    """Of a block in order, bucket by bucket: distinct snippets of repeated anchors, and of each place its snippet, row and position."""
     if not table.num_rows or not back.num_rows:
-        return empty
-    table = in_order(table)
-    docs = table.column("doc").to_numpy()
+        return
     kept, hot = joined(back, "kept"), joined(back, "hot")
     texts: list[bytes] = []
     buckets_of, in_rows, places = [], [], []
@@ -252,21 +248,36 @@ def block_snippets(table: pa.Table, back: pa.Table, buckets: int, length: int) -
         in_rows.append(rows[which])
         places.append(first - np.concatenate(([0], ends[:-1]))[which] + offs[which])
     if not texts:
-        return empty
+        return
     bucket, row, pos = map(np.concatenate, (buckets_of, in_rows, places))
     order = np.argsort(bucket, kind="stable")
-    bucket, row, pos, doc = bucket[order], row[order], pos[order], docs[row[order]]
-    texts = [texts[i] for i in order.tolist()]
+    bucket, row, pos = bucket[order], row[order], pos[order]
     cut = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))).tolist()
-    blk = table.column("blk")[0].as_py()
-    cols: dict[str, list] = {n: [] for n in names}
     for a, b in zip(cut, [*cut[1:], len(bucket)], strict=True):
         known: dict[bytes, int] = {}
-        of = np.array([known.setdefault(x, len(known)) for x in texts[a:b]], "<u4")
+        of = np.array([known.setdefault(texts[i], len(known)) for i in order[a:b].tolist()], np.int64)
+        yield int(bucket[a]), list(known), of, row[a:b], pos[a:b]
+
+
+def block_snippets(table: pa.Table, back: pa.Table, buckets: int, length: int) -> pa.Table:
+    """By bucket the distinct snippets of a block, with the least and greatest document of each.
+
+    Places stay with their block, so a string in every document is one row a block.
+    """
+    names = ("bucket", "blk", "snippets", "size", "packed")
+    kinds = (*[pa.int32()] * 3, pa.int64(), pa.binary())
+    cols: dict[str, list] = {n: [] for n in names}
+    if table.num_rows:
+        table = in_order(table)
+        docs, blk = table.column("doc").to_numpy(), table.column("blk")[0].as_py()
+    for bucket, known, of, row, _ in snippets_of(table, back, buckets, length):
+        least, most = np.full(len(known), NO_ID), np.full(len(known), np.iinfo(np.int64).min)
+        np.minimum.at(least, of, docs[row])
+        named = docs[row] != NO_ID
+        np.maximum.at(most, of[named], docs[row][named])
         sizes = np.array([len(x) for x in known], "<u4").tobytes()
-        parts = [sizes, of.tobytes(), row[a:b].astype("<u4").tobytes(), pos[a:b].astype("<u4").tobytes(), doc[a:b].astype("<i8").tobytes()]
-        raw = b"".join([*parts, *known])
-        for n, value in zip(names, (int(bucket[a]), blk, len(known), b - a, len(raw), pa.compress(raw, codec="zstd", asbytes=True)), strict=True):
+        raw = b"".join([sizes, least.astype("<i8").tobytes(), most.astype("<i8").tobytes(), *known])
+        for n, value in zip(names, (bucket, blk, len(known), len(raw), pa.compress(raw, codec="zstd", asbytes=True)), strict=True):
             cols[n].append(value)
     return pa.table({n: pa.array(cols[n], k) for n, k in zip(names, kinds, strict=True)})
 
@@ -383,29 +394,27 @@ def sorted_classes(text: np.ndarray, starts: np.ndarray, v: int, length: int) ->
 
 
 def bucket_repeats(table: pa.Table, v: int, length: int) -> pa.Table:
-    """Of one bucket: the runs of starts, by block and row, whose string a smaller document has."""
+    """Of one bucket, for each block: the runs of starts in its snippets that a smaller document has, and which document."""
     known: dict[bytes, int] = {}
-    of, row, pos, doc, blk = [], [], [], [], []
-    for r in table.to_pylist():
-        raw, at, n = pa.decompress(r["packed"], r["size"], codec="zstd", asbytes=True), 4 * r["snippets"], r["n"]
-        sizes = np.frombuffer(raw[:at], "<u4").tolist()
-        own, in_row, place = (np.frombuffer(raw, "<u4", n, at + i * 4 * n) for i in range(3))
-        doc.append(np.frombuffer(raw, "<i8", n, at + 12 * n))
-        at, ids = at + 20 * n, []
-        for size in sizes:
-            ids.append(known.setdefault(raw[at : at + size], len(known)))
+    of, least_of, most_of, of_block = [], [], [], []
+    for k, r in enumerate(table.to_pylist()):
+        n = r["snippets"]
+        raw, at = pa.decompress(r["packed"], r["size"], codec="zstd", asbytes=True), 20 * n
+        least_of.append(np.frombuffer(raw, "<i8", n, 4 * n))
+        most_of.append(np.frombuffer(raw, "<i8", n, 12 * n))
+        own = []
+        for size in np.frombuffer(raw, "<u4", n).tolist():
+            own.append(known.setdefault(raw[at : at + size], len(known)))
             at += size
-        of.append(np.array(ids)[own])
-        row.append(in_row)
-        pos.append(place.astype(np.int64))
-        blk.append(np.full(n, r["blk"], np.int32))
-    of, row, pos, doc, blk = map(np.concatenate, (of, row, pos, doc, blk))
+        of.append(np.array(own))
+        of_block.append(np.full(n, k))
+    of, least_doc, most_doc, of_block = map(np.concatenate, (of, least_of, most_of, of_block))
     size = np.array([len(s) for s in known])
     n_starts = size - length + 1
     begin = np.cumsum(size) - size
     text = np.frombuffer(b"".join([*known, bytes(length + v + 16)]), np.uint8)
-    smallest = np.full(len(size), np.iinfo(np.int64).max)
-    np.minimum.at(smallest, of, doc)
+    smallest = np.full(len(size), NO_ID)
+    np.minimum.at(smallest, of, least_doc)
     flat = np.cumsum(n_starts) - n_starts  # of each snippet its first start among all starts
     owner = np.repeat(np.arange(len(size)), n_starts)
     starts = begin[owner] + np.arange(len(owner)) - flat[owner]
@@ -414,44 +423,73 @@ def bucket_repeats(table: pa.Table, v: int, length: int) -> pa.Table:
     least = np.empty(len(starts), np.int64)
     for part, cls in sorted_classes(text, starts, v, length):
         which = number[part]
-        found = np.full(cls[-1] + 1, np.iinfo(np.int64).max)
+        found = np.full(cls[-1] + 1, NO_ID)
         np.minimum.at(found, cls, smallest[owner[which]])
         least[which] = found[cls]
-    # Places of snippets, start by start.
-    reps = n_starts[of]
-    occ = np.repeat(np.arange(len(of)), reps)
-    off = np.arange(len(occ)) - np.repeat(np.cumsum(reps) - reps, reps)
-    bad = (least[flat[of[occ]] + off] < doc[occ]) & (doc[occ] != NO_ID)
-    occ, off = occ[bad], off[bad]
-    cut = np.flatnonzero(np.concatenate(([True], (occ[1:] != occ[:-1]) | (off[1:] != off[:-1] + 1)))) if len(occ) else np.zeros(0, np.int64)
-    count = np.diff(np.append(cut, len(occ)))
-    first = occ[cut]
-    at, n, in_row, in_blk = pos[first] + off[cut], count, row[first], blk[first]
-    order = np.argsort(in_blk, kind="stable")
-    at, n, in_row, in_blk = at[order], n[order], in_row[order], in_blk[order]
-    edges = np.flatnonzero(np.concatenate(([True], in_blk[1:] != in_blk[:-1]))) if len(in_blk) else []
-    ends = [*edges[1:], len(in_blk)] if len(in_blk) else []
-    cuts = list(zip(edges, ends, strict=True))
+    # Runs of starts with one least document, then those of each block's snippets that a place of it may lose.
+    first = np.flatnonzero(np.concatenate(([True], (least[1:] != least[:-1]) | (owner[1:] != owner[:-1]))))
+    run = {"snippet": owner[first], "off": first - flat[owner[first]], "n": np.diff(np.append(first, len(least))), "least": least[first]}
+    runs_of = np.bincount(run["snippet"], minlength=len(size))
+    before = np.cumsum(runs_of) - runs_of
+    reps = runs_of[of]
+    item = np.repeat(np.arange(len(of)), reps)
+    which = before[of[item]] + np.arange(len(item)) - np.repeat(np.cumsum(reps) - reps, reps)
+    lost = run["least"][which] < most_doc[item]
+    item, which = item[lost], which[lost]
+    blk, per = table.column("blk").to_pylist(), np.bincount(of_block, minlength=table.num_rows)
+    own = item - (np.cumsum(per) - per)[of_block[item]]  # the number of the snippet in its block's list
+    cols: dict[str, list] = {n: [] for n in ("blk", "bucket", "runs")}
+    ends = np.searchsorted(of_block[item], np.arange(table.num_rows + 1))
+    for k in range(table.num_rows):
+        a, b = ends[k], ends[k + 1]
+        if a == b:
+            continue
+        cols["blk"].append(blk[k])
+        cols["bucket"].append(table.column("bucket")[0].as_py())
+        picked = which[a:b]
+        cols["runs"].append(np.column_stack([own[a:b], run["off"][picked], run["n"][picked], run["least"][picked]]).astype("<i8").tobytes())
+    none = pa.array([None] * len(cols["blk"]), pa.binary())
     return pa.table(
-        {
-            "blk": pa.array([int(in_blk[a]) for a, _ in cuts], pa.int32()),
-            "row": pa.array([in_row[a:b].astype("<u4").tobytes() for a, b in cuts], pa.binary()),
-            "start": pa.array([at[a:b].astype("<i8").tobytes() for a, b in cuts], pa.binary()),
-            "n": pa.array([n[a:b].astype("<u4").tobytes() for a, b in cuts], pa.binary()),
-        }
+        {"blk": pa.array(cols["blk"], pa.int32()), "bucket": pa.array(cols["bucket"], pa.int32()), "kept": none, "hot": none, "runs": pa.array(cols["runs"], pa.binary())}
     )
 
 
 RESULT = [("removed", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())]
 
 
-def cut_out(table: pa.Table, runs: pa.Table, length: int) -> pa.Table:
-    """Of a block's rows: the removed byte spans and the bytes that are left."""
-    table = in_order(table)
-    row, start, n = (
-        np.concatenate([np.frombuffer(x.as_py(), t) for x in runs.column(c)] or [np.zeros(0, t)])
-        for c, t in (("row", "<u4"), ("start", "<i8"), ("n", "<u4"))
-    )
+def repeated_starts(table: pa.Table, found: pa.Table, buckets: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a block in order: row, first start and number of starts of each run that goes.
+
+    ``found`` has the block's repeated anchors and, by bucket, its runs; its snippets are
+    cut again in the same order, which tells the places of each.
+    """
+    is_run = pc.is_valid(found.column("runs"))
+    rows = found.filter(is_run)
+    by_bucket = dict(zip(rows.column("bucket").to_pylist(), rows.column("runs").to_pylist(), strict=True))
+    out: list[tuple[np.ndarray, ...]] = []
+    docs = table.column("doc").to_numpy()
+    for bucket, _, of, row, pos in snippets_of(table, found.filter(pc.invert(is_run)), buckets, length) if by_bucket else ():
+        if bucket not in by_bucket:
+            continue
+        own, off, n, least = np.frombuffer(by_bucket[bucket], "<i8").reshape(-1, 4).T
+        order = np.argsort(of, kind="stable")
+        count = np.bincount(of, minlength=int(max(of.max(), own.max())) + 1)
+        begin = np.cumsum(count) - count
+        reps = count[own]
+        k = np.repeat(np.arange(len(own)), reps)
+        place = order[begin[own[k]] + np.arange(len(k)) - np.repeat(np.cumsum(reps) - reps, reps)]
+        doc = docs[row[place]]
+        gone = (least[k] < doc) & (doc != NO_ID)
+        place, k = place[gone], k[gone]
+        out.append((row[place], pos[place] + off[k], n[k]))
+    if not out:
+        return (np.zeros(0, np.int64),) * 3
+    return tuple(map(np.concatenate, zip(*out, strict=True)))
+
+
+def cut_out(table: pa.Table, runs: tuple[np.ndarray, np.ndarray, np.ndarray], length: int) -> pa.Table:
+    """Of a block's rows, in order: the removed byte spans and the bytes that are left."""
+    row, start, n = runs
     order = np.lexsort((start, row))
     row, start, end = row[order], start[order], (start + n + length - 1)[order]
     first = np.searchsorted(row, np.arange(table.num_rows + 1))
@@ -505,14 +543,17 @@ def dedup_substrings(
     back = anchors.groupBy("bucket").applyInArrow(repeated_anchors, "blk int, bucket int, kept binary, hot binary")
     snippets = blocks.cogroup(back.groupBy("blk")).applyInArrow(
         lambda t, b: block_snippets(t, b, buckets, length),
-        "bucket int, blk int, snippets int, n int, size long, packed binary",
+        "bucket int, blk int, snippets int, size long, packed binary",
     )
     runs = snippets.groupBy("bucket").applyInArrow(
-        lambda t: bucket_repeats(t, v, length), "blk int, row binary, start binary, n binary"
+        lambda t: bucket_repeats(t, v, length), "blk int, bucket int, kept binary, hot binary, runs binary"
     )
+    found = runs.unionByName(back.withColumn("runs", F.lit(None).cast("binary")))
 
     def finish(table: pa.Table, found: pa.Table) -> pa.Table:
-        done = cut_out(table, found, length)
+        if table.num_rows:
+            table = in_order(table)
+        done = cut_out(table, repeated_starts(table, found, buckets, length), length)
         if not digest_only:
             return done.rename_columns([id_col, "removed", "kept"])
         kept = done.column("kept").to_pylist()
@@ -533,4 +574,4 @@ def dedup_substrings(
         if digest_only
         else "removed array<struct<start:bigint,end:bigint>>, kept binary"
     )
-    return blocks.cogroup(runs.groupBy("blk")).applyInArrow(finish, f"`{id_col}` {kind}, {shown}")
+    return blocks.cogroup(found.groupBy("blk")).applyInArrow(finish, f"`{id_col}` {kind}, {shown}")
