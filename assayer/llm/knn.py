@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from decimal import Decimal
 from functools import reduce
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 SCALE = 256
 BLOCK = 8192  # vectors in a block at most
-MAX_PIVOTS = 256
+MIN_PIVOTS, MAX_PIVOTS = 16, 256
 
 
 def quantise(embedding: Column) -> Column:
@@ -37,6 +38,11 @@ def usable(embedding: Column) -> Column:
     )
 
 
+def pivot_count(rows: int) -> int:
+    """A cell holds about twice as many vectors as there are cells, between the two bounds."""
+    return max(MIN_PIVOTS, min(MAX_PIVOTS, math.isqrt(rows // 2)))
+
+
 def choose_pivots(data: DataFrame, n: int) -> np.ndarray:
     """n of the vectors, those of the lowest hash; at most MAX_PIVOTS, so they may be collected."""
     rows = data.select("v").orderBy(F.xxhash64("v"), "v").limit(min(n, MAX_PIVOTS)).collect()
@@ -135,7 +141,14 @@ def best_in_block(qi: list, q: np.ndarray, di: list, d: np.ndarray, k: int, exac
             for j in near:
                 if ids[j] != own and taken < k:
                     taken += 1
-                    yield at + i, ids[j], max(-(2**63), min(2**63 - 1, int(row[j])))
+                    yield at + i, ids[j], int(row[j])
+
+
+WIDEST = Decimal(10**38 - 1)
+
+
+def bound(score: int, most: Decimal) -> Decimal:
+    return max(-most, min(most, Decimal(score)))
 
 
 def vector_hash(v: np.ndarray) -> int:
@@ -153,7 +166,7 @@ def search(rows: DataFrame, dim: int, k: int, block: int) -> DataFrame:
         F.count("*").alias("n"), F.max(F.array_max(F.transform("v", lambda x: F.abs(x)))).alias("top")
     ).first()
     exact = dim * int(facts["top"]) ** 2 < 2**53  # whole numbers are exact in doubles up to here
-    pivots = choose_pivots(data, -(-facts["n"] // block))
+    pivots = choose_pivots(data, pivot_count(facts["n"]))
     data, queries = deal(data, pivots), deal(queries, pivots)
     summary = lambda df: {  # noqa: E731  at most MAX_PIVOTS rows
         r["cell"]: (r["n"], r["r"]) for r in df.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("r")).collect()
@@ -187,14 +200,19 @@ def search(rows: DataFrame, dim: int, k: int, block: int) -> DataFrame:
                         pa.array([qi[i] for i, _, _ in made], batch.schema.field(0).type.value_type),
                         pa.array([vector_hash(q[i]) for i, _, _ in made], pa.int64()),
                         pa.array([j for _, j, _ in made], batch.schema.field(2).type.value_type),
-                        pa.array([s for _, _, s in made], pa.int64()),
+                        pa.array([s for _, _, s in made], pa.int64()) if exact else pa.array([bound(s, WIDEST) for _, _, s in made], pa.decimal128(38)),
                     ],
                     names=["query_id", "qv", "vec_id", "score"],
                 )
 
-    found = joined.mapInArrow(solve, f"query_id {kind}, qv long, vec_id {kind}, score long")
+    number = "long" if exact else "decimal(38,0)"
+    found = joined.mapInArrow(solve, f"query_id {kind}, qv long, vec_id {kind}, score {number}")
     ranked = Window.partitionBy("query_id", "qv").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).drop("qv")
+    best = found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).drop("qv")
+    if exact:
+        return best
+    top, low = (F.lit(x).cast("decimal(38,0)") for x in (2**63 - 1, -(2**63)))
+    return best.withColumn("score", F.least(top, F.greatest(low, "score")).cast("long"))  # ranked before it is clipped
 
 
 def top_k(
@@ -213,7 +231,7 @@ def top_k(
     id, or a vector that is null, empty or holds null or non-finite components,
     take no part; vectors are compared with those of their own length. Rows that
     repeat both id and vector count once; rows of a query's own id are never its
-    candidates. Scores beyond 64 bits are clipped. No rows give no rows.
+    candidates. Scores beyond 64 bits are clipped after ranking (38 digits count). No rows give no rows.
     """
     rows = vectors.where(F.col(id_col).isNotNull() & usable(F.col(vector_col)) & (F.size(vector_col) > 0)).select(
         F.col(id_col).alias("id"), quantise(F.col(vector_col)).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")

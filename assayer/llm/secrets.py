@@ -35,7 +35,7 @@ KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])[+/_.=-]*([A-Za-z0-9][A-Za-z0-9+/_.=-]{15,})")
 RUN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
 SHORTEST = 16
-BARE_SHORTEST = 24  # and upper case, lower case and a digit, where no prefix tells a credential
+BARE_SHORTEST = 24  # and upper and lower case, where no prefix tells a credential
 CUTS = "=/."  # inside a run a credential may follow one of these and end before one
 LITERAL = 4  # leading characters that the automaton reads as they are; later ones by class
 
@@ -229,7 +229,7 @@ def likelihood_ratio(token: str, models: tuple[Automaton, ...]) -> float:
     secret, plain, bare, classes = models
     s, k = symbols(token), symbols(token, 0)
     best = secret.score(s) - plain.score(s)
-    if len(s) >= BARE_SHORTEST and {"U", "l", "9"} <= set(k):
+    if len(s) >= BARE_SHORTEST and {"U", "l"} <= set(k):
         best = max(best, bare.score(k) - classes.score(k))
     return best / len(s)
 
@@ -260,7 +260,7 @@ def inner_secrets(run: str, threshold: float, models: tuple[Automaton, ...]) ->
                 ends = [
                     (g + model.stop[q] - plain.stop[p], s)
                     for g, s, q, p, u, l, d in live  # noqa: E741
-                    if d and (u and l or literal and (u or l)) and i - s + 1 >= least
+                    if (u and l or literal and d and (u or l)) and i - s + 1 >= least
                 ]
                 if ends and max(ends)[0] >= 0:
                     gain, s = max(ends)

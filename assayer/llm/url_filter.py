@@ -4,8 +4,8 @@ The list holds canonical URLs as (host, path) prefixes. A URL probes one key for
 each host suffix it belongs to and each path length that the list uses. The keys
 pass a blocked Bloom filter (one 512-bit block a key, held as eight 64-bit words)
 that is small enough to broadcast; only keys that pass go on to the exact join,
-which removes false positives and brings the rule. Beyond ``MAX_BLOOM_BYTES`` the
-filter would not fit, and all keys go to the exact join instead.
+which removes false positives and brings the rule. The filter never exceeds
+``MAX_BLOOM_BYTES``; on a longer list it lets more keys through to the exact join.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ RULES = (
     ("block", "net", "/fr/"),
 )
 # Host names listed as unwanted, under each of the top-level names.
-UNWANTED = ("spam-farm", "cheap-pills", "casino-win", "free-bets", "ads-track")
+UNWANTED = ("spam-farm", "cheap-pills", "casino-win", "free-bets", "ads-track", "adult-x")
 TOPS = ("com", "net", "org")
 
 
@@ -111,13 +111,13 @@ def match_list(urls: DataFrame, listed: DataFrame) -> DataFrame:
         ).alias("__key"),
     )
     blocks = max(1, -(-facts["n"] * BITS_PER_KEY // 512))
-    if blocks * 72 <= MAX_BLOOM_BYTES:
-        a, masks = bloom_bits(F.col("__key"))
-        bloom = F.broadcast(build_bloom(keyed, blocks))  # at most MAX_BLOOM_BYTES
-        probes = probes.withColumn("block", F.pmod(a, F.lit(blocks))).join(bloom, "block")
-        for i, m in enumerate(masks):
-            probes = probes.where(F.col(f"w{i}").bitwiseAND(m) == m)
-        probes = probes.select("host", "path", "__key")
+    blocks = min(blocks, MAX_BLOOM_BYTES // 72)
+    a, masks = bloom_bits(F.col("__key"))
+    bloom = F.broadcast(build_bloom(keyed, blocks))  # at most MAX_BLOOM_BYTES
+    probes = probes.withColumn("block", F.pmod(a, F.lit(blocks))).join(bloom, "block")
+    for i, m in enumerate(masks):
+        probes = probes.where(F.col(f"w{i}").bitwiseAND(m) == m)
+    probes = probes.select("host", "path", "__key")
     return probes.join(keyed, "__key").groupBy("host", "path").agg(F.max("entry").alias("hit"))
 
 

@@ -6,6 +6,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import public_tokenizers
@@ -101,6 +102,42 @@ def test_secret_scan_edges(spark):
     assert {r["text"] for r in redacted} == {"<secret> end", ""}
 
 
+def test_secret_base_columns_against_plain_search():
+    assign = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+    draw = random.Random(12)
+    parts = ["token", "API_KEY", "passwd", "=", ": ", '"', "AKIA", "ABCD2345EFGH6789", "0123abcdef", "deadbeef", "x", " ", "Secret", "abcdefghijkl", "\n", "é"]
+    for _ in range(3000):
+        text = "".join(draw.choice(parts) for _ in range(draw.randint(1, 14)))
+        want = [("assign", m.start(), m.end()) for m in assign.finditer(text) if len(m[1]) >= 12]
+        want += [("access", m.start(), m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+        want += [("hex", m.start(), m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
+        want.sort(key=lambda x: (x[1], secrets.KINDS.index(x[0])))
+        assert [x[:3] for x in secrets.base_spans(text)] == want
+
+
+@pytest.mark.parametrize("around", ["{}", "see {} now", "NAME={}", "--flag={}", "https://a.example/?k={}", "/{}", "-{}", "id:{}"])
+def test_formats_that_no_label_has(around):
+    draw = random.Random(31)
+    some = lambda chars, n: "".join(draw.choice(chars) for _ in range(n))
+    models = secrets.automata()
+    assert all(len(a.next) < 300 for a in models)  # merged, not a list of prefixes
+    for make in (
+        lambda: "hf_" + some(secrets.ALNUM, 34),
+        lambda: f"SG.{some(secrets.URL64, 22)}.{some(secrets.URL64, 43)}",
+        lambda: "pypi-" + some(secrets.URL64, 60),
+        lambda: "ya29." + some(secrets.URL64, 70),
+        lambda: some(secrets.ALNUM + "+/", 44),
+    ):
+        caught = 0
+        for _ in range(20):
+            token = make()
+            text = around.format(token)
+            at = text.index(token)
+            hit = {i for _, s, e, _ in secrets.find_secrets(text, 0.5, models) for i in range(s, e)}
+            caught += len(hit & set(range(at, at + len(token)))) >= 0.9 * len(token)
+        assert caught >= 18
+
+
 # ---- decontamination ----
 
 
@@ -223,6 +260,32 @@ def test_pii_edges(spark):
     assert pii.scan_pii(awkward(spark, [])).count() == 0
 
 
+def test_base_kinds_against_plain_search():
+    draw = random.Random(4)
+    plain = {
+        "email": (re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), lambda t: True),
+        "ip": (re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), lambda t: all(int(p) <= 255 for p in t.split("."))),
+        "card": (re.compile(r"[0-9]([\x20-]?[0-9])+"), lambda t: 13 <= len(pii.digits_of(t)) <= 19 and pii.luhn(pii.digits_of(t))),
+        "phone": (re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"), lambda t: 9 <= len(pii.digits_of(t)) <= 15),
+    }
+    parts = ["a@b.co", "1", "23", "255", "256", ".", "-", " ", "+", "(", ")", "4111 1111 1111 1111", "x", "@", "10.0.0.1", "+44 20", "é"]
+    for _ in range(4000):
+        text = "".join(draw.choice(parts) for _ in range(draw.randint(1, 16)))
+        want = [(k, *m.span()) for k, (p, good) in plain.items() for m in p.finditer(text) if good(m[0])]
+        assert [x[:3] for x in pii.base_spans(text)] == want
+
+
+LONG = 400_000
+
+
+@pytest.mark.parametrize("unit", ["ж", "1", "1.", "+1(", "one 1 ", "а", "a@", " at a dot b", "12 ", "x ж"])
+def test_long_texts_are_scanned_in_linear_time(unit):
+    text = unit * (LONG // len(unit))
+    began = time.monotonic()
+    pii.find_pii(text)
+    assert time.monotonic() - began < 20
+
+
 # ---- suffix dedup ----
 
 
@@ -327,6 +390,46 @@ def test_near_duplicate_classes_against_all_pairs(spark):
     assert near_dedup.near_duplicates(awkward(spark, [])).count() == 0
 
 
+def test_texts_of_one_id_all_link(spark):
+    draw = random.Random(16)
+    text = lambda: " ".join("".join(draw.choice("abcdefgh") for _ in range(6)) for _ in range(80))
+    x, y, z = text(), text(), text()
+    rows = [(5, x), (5, y), (6, x + " end"), (7, y + " end"), (8, z), (8, z)]
+    got = {r[0]: r[1] for r in near_dedup.near_duplicates(awkward(spark, rows)).collect()}
+    assert got == {5: 5, 6: 5, 7: 5, 8: 8}
+
+
+def test_weighted_classes_against_all_pairs(spark):
+    draw = random.Random(26)
+    line = lambda: " ".join(draw.choice(["ab", "cd", "ef", "gh", "ij", "kl"]) for _ in range(7))
+    rows = []
+    for _ in range(12):
+        lines = [line() for _ in range(draw.randint(2, 12))]
+        for _ in range(3):
+            rows.append((len(rows), "\n".join(lines + draw.choice([[], lines[:1], lines[:1] * 9]))))
+    sets = [near_dedup.hashed(t, 5, True) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if near_dedup.similarity(sets[i], sets[j]) >= 0.8:
+                low, high = sorted((find(i), find(j)))
+                parent[high] = low
+    got = {r[0]: r[1] for r in near_dedup.near_duplicates(awkward(spark, rows), weighted=True).collect()}
+    assert sum(got[i] == find(i) for i in range(len(rows))) >= 0.95 * len(rows)
+
+
+def test_a_signature_does_not_cost_its_weights():
+    began = time.monotonic()
+    near_dedup.signature(np.arange(3, dtype=np.uint64) << np.uint64(40), np.array([1.0, 1.0, 1e9]), 210)
+    assert time.monotonic() - began < 2
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(900, 901)], "a long, b long")
     got = {r["id"]: r["class"] for r in graph.components(links).collect()}
@@ -367,12 +470,22 @@ def test_evidence_decides_only_where_the_text_does_not(spark):
     assert got == {1: "de", 2: "es", 3: "fr"}
 
 
+def test_pages_with_all_four_kinds_of_evidence(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    models = language_id.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), "lang", "text")
+    judged = language_id.identify_pages(pages, models).withColumn("want", F.regexp_extract("html", 'lang="([a-z]+)"', 1))
+    assert judged.where("language = want").count() >= 0.95 * judged.count()
+    short = spark.createDataFrame([(1, "http://a.example.fr/", "<p>la</p>"), (2, "http://b.example/es/x", "<p>la</p>"), (3, "x", None)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["language"] for r in language_id.identify_pages(short, models, keep=("page_id",)).collect()}
+    assert got == {1: "fr", 2: "es", 3: language_id.UND}
+
+
 # ---- pages ----
 
 
 @pytest.fixture(scope="module")
 def trees(spark):
-    return html_extract.fit(spark, 150)
+    return html_extract.fit(spark)
 
 
 def test_main_text_of_held_out_layouts(trees):
@@ -388,6 +501,30 @@ def test_main_text_of_held_out_layouts(trees):
     assert right >= 48
 
 
+@pytest.mark.parametrize("unit", ["<a ", "<a '", '<a "', "<!", "<svg>", "<div>", "<b><div></div>", "<li>", "</i>", "<p>", "<td>", "<"])
+def test_long_broken_pages_are_parsed_in_linear_time(unit):
+    began = time.monotonic()
+    html_extract.node_rows(html_extract.parse("<b>" * 1000 + unit * (LONG // len(unit))), {})
+    assert time.monotonic() - began < 20
+
+
+def test_pages_of_other_hands(trees):
+    said = "The river froze in the night, and people walked across it to the other side. Nobody had seen this before."
+    plain = (
+        "<html><body><div><a href='/'>Home</a> <a href='/x'>News</a> <a href='/y'>About us</a></div><h1>The river in winter</h1>"
+        + "".join(f"<div>{i}. {said}</div>" for i in range(4))
+        + "<div>Copyright 2024 The Valley Post</div></body></html>"
+    )
+    story = (
+        "<body><div class='navbar'><ul><li><a href='/'>Home</a></li><li><a href='/a'>Archive</a></li></ul></div><main><h1>On bread</h1>"
+        + "".join(f"<p>{i}. {said}</p>" for i in range(3))
+        + "</main><div class='sidebar'><h3>More</h3><ul><li><a href='/1'>One</a></li><li><a href='/2'>Two</a></li></ul></div><footer>All rights</footer></body>"
+    )
+    got = html_extract.extract_texts([plain, story], trees)
+    assert got[0] == "\n".join(["The river in winter", *[f"{i}. {said}" for i in range(4)]])
+    assert got[1] == "\n".join(["On bread", *[f"{i}. {said}" for i in range(3)]])
+
+
 def test_decoding_is_consistent():
     nodes = html_extract.parse("<div><div><p>a</p></div><p>b</p></div>")
     keep = html_extract.decode(nodes, np.array([0.9, 0.9, 0.1, 0.95, 0.9]))

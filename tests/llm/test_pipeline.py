@@ -7,6 +7,7 @@ import struct
 import corpus_pipeline
 import public_tokenizers
 import tiktoken
+from pyspark.sql import functions as F
 from test_operators import brute_hits
 
 from assayer.llm import decontaminate, language_id, near_dedup, secrets
@@ -82,3 +83,15 @@ def test_result_is_the_tokens_of_the_redacted_corpus(spark):
         assert row["ids_sha256"] == hashlib.sha256(want).hexdigest()
         assert row["decoded_sha256"] == hashlib.sha256(plain.encode()).hexdigest()
     assert n_marks
+
+
+def test_rows_with_null_and_repeated_ids(spark):
+    words = "river stone winter night people bridge water field house morning garden window letter music paper forest".split()
+    text = lambda k: " ".join(words[(i * k + i // 3) % len(words)] for i in range(60))
+    items = spark.read.parquet(f"{SF}/benchmark.parquet").where("text IS NOT NULL").orderBy(F.length("text").desc()).first()
+    rows = [(1, text(1)), (1, text(5)), (None, text(7)), (None, text(7)), (2, text(1) + " end"), (None, "so " + items["text"]), (3, items["text"])]
+    docs = spark.createDataFrame([(i, t, "en", "src0", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = sorted((r["doc_id"] is None, r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, docs.limit(5), SF).collect())
+    assert kept == sorted([(False, text(1)), (False, text(5)), (True, text(7))])
+    clean = [r["text"] for r in corpus_pipeline.drop_contaminated(spark, docs, SF).collect()]
+    assert sorted(clean) == sorted(t for _, t in rows[:5])
