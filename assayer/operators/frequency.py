@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assayer.functions import stats
+
 
 def value_counts(df: DataFrame, column: str, order: str, dropna: bool = True) -> DataFrame:
     """``value``, ``count`` and ``first`` (least ``order`` among its rows): ties go to the earliest."""
@@ -16,15 +18,15 @@ def frequency_table(df: DataFrame, column: str, missing: str = "omit") -> DataFr
     """value, count, relative, percentage, cumulative and cumulative_relative, by value.
 
     ``missing`` is ``omit`` or ``include`` (NULL is then a value, sorted first). The
-    table has a row a distinct value; its running sums are one sorted pass over it.
+    table has a row a distinct value; its running sums are taken over ranges of values.
     """
     kept = df if missing == "include" else df.where(F.col(column).isNotNull())
     counts = kept.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("count"))
     total = counts.agg(F.sum("count").alias("total"))
-    running = F.sum("count").over(Window.orderBy(F.col("value").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
     return (
-        counts.join(F.broadcast(total))
-        .withColumn("cumulative", running)
+        stats.running(counts, ["value"], "count")
+        .join(F.broadcast(total))
+        .withColumnRenamed("upto_count", "cumulative")
         .select(
             "value",
             "count",

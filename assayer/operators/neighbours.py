@@ -18,29 +18,36 @@ BLOCK = 20_000
 def nearest_labels(train: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The k nearest training rows of each query: ``q``, ``distance``, ``label``.
 
-    ``train`` has v (array of doubles) and label, ``queries`` q and v. Training rows
-    are dealt to blocks by hash; every block of them meets all queries once, and the
-    k best of each block go on to the last ranking.
+    ``train`` has v (array of doubles) and label, ``queries`` q and v. Equal training
+    rows are one with their number. Both sides are dealt to blocks by hash, and every
+    block of rows meets every block of queries in a task of its own; the k best of
+    each go on to the last ranking.
     """
-    blocks = -(-max(1, train.count()) // BLOCK)
-    here = train.select("v", F.col("label").cast("double").alias("label"), F.pmod(F.xxhash64("v"), F.lit(blocks).cast("long")).alias("block"))
-    there = queries.select("q", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
+    rows = train.select("v", F.col("label").cast("double").alias("label")).groupBy("v", "label").agg(F.count("*").alias("n"))
+    here_blocks, there_blocks = (-(-max(1, side.count()) // BLOCK) for side in (train, queries))
+    deal = lambda blocks, *by: F.pmod(F.xxhash64(*by), F.lit(blocks).cast("long"))
+    each = lambda blocks: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    here = rows.select("v", "label", F.least("n", F.lit(k)).alias("n"), deal(here_blocks, "v", "label").alias("block"), each(there_blocks).alias("other"))
+    there = queries.select("q", "v", each(here_blocks).alias("block"), deal(there_blocks, "q").alias("other"))
 
     def solve(a: pa.Table, b: pa.Table) -> pa.Table:
         matrix = lambda t: np.array(t.column("v").to_pylist(), float).reshape(t.num_rows, -1)
-        x, y, label = matrix(a), matrix(b), a.column("label").to_numpy()
+        x, y, label, copies = matrix(a), matrix(b), a.column("label").to_numpy(), a.column("n").to_numpy()
         q = b.column("q").to_numpy()
-        out: list[np.ndarray] = [np.zeros(0, np.int64), np.zeros(0), np.zeros(0)]
+        out: list[np.ndarray] = [np.zeros(0, np.int64), np.zeros(0), np.zeros(0), np.zeros(0, np.int64)]
         if len(x):
+            order = np.argsort(label, kind="stable")  # equal distances go to the smaller label
+            x, label, copies = x[order], label[order], copies[order]
             for at in range(0, len(y), 256):
                 d = np.sqrt(((y[at : at + 256, None, :] - x[None]) ** 2).sum(2)) if x.size < 2_000_000 else np.array([np.sqrt(((x - r) ** 2).sum(1)) for r in y[at : at + 256]])
                 best = np.argsort(d, axis=1, kind="stable")[:, :k]
                 rows = np.repeat(np.arange(len(d)), best.shape[1])
-                for i, part in enumerate((q[at + rows], d[rows, best.ravel()], label[best.ravel()])):
+                for i, part in enumerate((q[at + rows], d[rows, best.ravel()], label[best.ravel()], copies[best.ravel()])):
                     out[i] = np.concatenate((out[i], part))
-        return pa.table({"q": pa.array(out[0], pa.int64()), "distance": out[1], "label": out[2]})
+        return pa.table({"q": pa.array(out[0], pa.int64()), "distance": out[1], "label": out[2], "n": pa.array(out[3], pa.int64())})
 
-    found = here.groupBy("block").cogroup(there.groupBy("block")).applyInArrow(solve, "q long, distance double, label double")
+    met = here.groupBy("block", "other").cogroup(there.groupBy("block", "other")).applyInArrow(solve, "q long, distance double, label double, n long")
+    found = met.select("q", "distance", "label", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy")).drop("copy")
     place = F.row_number().over(Window.partitionBy("q").orderBy("distance", "label"))
     return found.withColumn("k", place).where(F.col("k") <= k).drop("k")
 

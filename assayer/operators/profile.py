@@ -1,4 +1,4 @@
-"""Column profiles: one row a column, from three aggregations of the whole table."""
+"""Column profiles: one row a column, from aggregations of the whole table."""
 
 from __future__ import annotations
 
@@ -19,20 +19,31 @@ def quoted(name: str) -> Column:
 
 
 def basic(df: DataFrame, config: core.Config = core.Config()) -> DataFrame:
-    """Counts and numeric summaries: one wide aggregate over the table, turned to one row a column."""
+    """Counts and numeric summaries: one wide aggregate over the table, turned to one row a column.
+
+    Quartiles belong to it on tables of up to ``stats.DIRECT`` rows; on larger ones they
+    are bracketed first, for all columns at once.
+    """
     df = core.normalize(df)
     kinds = core.kinds(df)
+    quarters = [0.25, 0.5, 0.75]
+    known = None
+    if df.count() > stats.DIRECT:
+        known = stats.quantiles_of(df, {c: core.finite(quoted(c)) for c, k in kinds.items() if k == core.NUMERIC}, quarters)
     parts = []
     for name, kind in kinds.items():
         c = quoted(name)
         x = core.finite(c) if kind == core.NUMERIC else F.lit(None).cast("double")
         inf = F.count_if(F.abs(c.cast("double")) == float("inf")) if kind == core.NUMERIC else F.lit(0).cast("long")
-        q = stats.percentile(x, [25.0, 50.0, 75.0]) if kind == core.NUMERIC else F.array(*[F.lit(None).cast("double")] * 3)
+        if kind == core.NUMERIC and known is None:
+            q = F.percentile(x, quarters)
+        else:
+            q = F.array(*[F.lit(v).cast("double") for v in (known or {}).get(name, [None] * 3)])
         parts.append(
             F.struct(
                 F.lit(name).alias("column"), F.lit(kind).alias("kind"), F.count("*").alias("rows"), F.count(c).alias("count"),
                 (F.count("*") - F.count(c)).alias("missing"), inf.alias("infinite"), F.min(x).alias("min"), F.max(x).alias("max"),
-                F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), q.getItem(0).alias("q25"), q.getItem(1).alias("median"),
+                stats.mean(x).alias("mean"), stats.std(x).alias("std"), q.getItem(0).alias("q25"), q.getItem(1).alias("median"),
                 q.getItem(2).alias("q75"),
             )
         )
@@ -81,7 +92,7 @@ def profile(df: DataFrame, order: str, config: core.Config = core.Config()) -> D
         "column", "kind", "rows", "count", "missing", (F.col("missing") / F.nullif(F.col("rows"), F.lit(0))).alias("missing_ratio"),
         unique.alias("unique"), ratio.alias("unique_ratio"), "dominant",
         (F.col("dominant_count") / F.nullif(count, F.lit(0))).alias("dominant_ratio"), "infinite", "min", "max", "mean", "median",
-        "std", "q25", "q75", (F.col("q75") - F.col("q25")).alias("iqr"), constant.alias("constant"),
+        "std", "q25", "q75", stats.within_doubles(F.col("q75") - F.col("q25")).alias("iqr"), constant.alias("constant"),
         (~constant & (F.coalesce(F.col("dominant_count") / F.nullif(count, F.lit(0)), F.lit(0.0)) >= config.near_constant)).alias("near_constant"),
         ((F.col("kind") == core.CATEGORICAL) & (unique > config.high_cardinality)).alias("high_cardinality"),
         id_like.alias("id_like"),

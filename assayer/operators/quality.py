@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 import numpy as np
@@ -15,6 +16,8 @@ from assayer.operators.profile import quoted
 
 FINDING = "code string, severity string, column string, value double, requires_review boolean"
 NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+#: A check of one's own: the table and the name of its key, to findings.
+Check = Callable[[DataFrame, str], DataFrame]
 AFTER_OUTCOME = r"(?i)(reason|outcome|result|status_after|closed|churned|cancell?ed|resolved|final)"
 
 
@@ -55,23 +58,22 @@ def duplicates(df: DataFrame) -> DataFrame:
 def outliers(df: DataFrame, columns: list[str], config: core.Config = core.Config()) -> DataFrame:
     """Values beyond the Tukey fences of each column: ``column``, ``low``, ``high``, ``outliers``.
 
-    All fences come from one aggregate and all counts from a second pass beside its one row.
+    Fences come from quartiles that the columns find together and counts from one
+    aggregate. A column of fewer than four values or without spread has no count.
     """
     df = core.normalize(df)
     x = {c: core.finite(quoted(c)) for c in columns}
-    q = df.agg(*[stats.percentile(x[c], [25.0, 75.0]).alias(f"q{i}") for i, c in enumerate(columns)])
+    quarters = stats.quantiles_of(df, x, [0.25, 0.75])
     parts = []
-    for i, c in enumerate(columns):
-        low, high = F.col(f"q{i}")[0], F.col(f"q{i}")[1]
-        spread = config.iqr_multiplier * (high - low)
-        beyond = F.count_if((x[c] < low - spread) | (x[c] > high + spread))
-        parts.append(
-            F.struct(
-                F.lit(c).alias("column"), F.first(low - spread).alias("low"), F.first(high + spread).alias("high"),
-                F.when((F.first(high - low) > 0) & (F.count(x[c]) >= 4), beyond).alias("outliers"),
-            )
-        )
-    return df.join(F.broadcast(q)).agg(F.array(*parts).alias("a")).select(F.inline("a"))
+    for c in columns:
+        low, high = quarters[c]
+        wide = None if low is None else high - low
+        reach = None if wide is None else config.iqr_multiplier * wide
+        fences = [F.lit(None if reach is None else v).cast("double") for v in ((low or 0) - (reach or 0), (high or 0) + (reach or 0))]
+        beyond = F.count_if((x[c] < fences[0]) | (x[c] > fences[1]))
+        counted = F.when(F.count(x[c]) >= 4, beyond) if wide else F.lit(None).cast("long")
+        parts.append(F.struct(F.lit(c).alias("column"), fences[0].alias("low"), fences[1].alias("high"), counted.alias("outliers")))
+    return df.agg(F.array(*parts).alias("a")).select(F.inline("a"))
 
 
 def numeric_text(df: DataFrame, columns: list[str], order: str, config: core.Config = core.Config()) -> DataFrame:
@@ -156,8 +158,8 @@ def imbalance(df: DataFrame, target: str, config: core.Config = core.Config()) -
     )
 
 
-def inspect(df: DataFrame, order: str, target: str | None = None, config: core.Config = core.Config()) -> DataFrame:
-    """All findings of a table, one row each."""
+def inspect(df: DataFrame, order: str, target: str | None = None, config: core.Config = core.Config(), checks: Sequence[Check] = ()) -> DataFrame:
+    """All findings of a table, one row each; ``checks`` add findings of their own in the columns of ``FINDING``."""
     kinds = core.kinds(df)
     profile = profiles.profile(df, order, config)
     numeric = [c for c, k in kinds.items() if k == core.NUMERIC and c != target]
@@ -170,6 +172,9 @@ def inspect(df: DataFrame, order: str, target: str | None = None, config: core.C
         found.append(outliers(df, numeric, config).where("outliers > 0").select(*make("possible_outliers", F.lit("INFO"), F.col("outliers"))))
         if 1 < len(numeric) <= 50:
             found.append(vif(df, numeric).where(F.col("vif") >= config.vif).select(*make("possible_multicollinearity", F.lit("WARNING"), F.col("vif"))))
+        elif len(numeric) > 50:
+            skipped = df.sparkSession.range(1).withColumn("column", F.lit(None).cast("string"))
+            found.append(skipped.select(*make("multicollinearity_not_assessed", F.lit("INFO"), F.lit(len(numeric)))))
     if text:
         found.append(numeric_text(df, text, order, config).where("numeric_text").select(*make("possible_numeric_stored_as_text", F.lit("WARNING"), F.col("share"))))
     if target is not None:
@@ -178,6 +183,12 @@ def inspect(df: DataFrame, order: str, target: str | None = None, config: core.C
         found.append(hints.where("NOT copy AND (deterministic OR extreme)").select(*make("possible_target_leakage", F.lit("WARNING"), F.coalesce("correlation", F.lit(1.0)), True)))
         unequal = imbalance(df, target, config).where("imbalanced").withColumn("column", F.lit(target))
         found.append(unequal.select(*make("class_imbalance", F.lit("WARNING"), F.col("minority"))))
+    names = [part.split()[0] for part in FINDING.split(", ")]
+    for check in checks:
+        more = check(df, order)
+        if missing := [n for n in names if n not in more.columns]:
+            raise core.ConfigurationError(f"a check gives no {missing}")
+        found.append(more.select(*names))
     return reduce(DataFrame.unionByName, found)
 
 

@@ -6,10 +6,13 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Any
 
+import numpy as np
 from pyspark.ml import classification as C
 from pyspark.ml import clustering as K
 from pyspark.ml import regression as R
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,13 +21,80 @@ from assayer.operators import evaluate, prepare, target
 from assayer.operators.neighbours import Knn
 
 
+@dataclass(frozen=True)
+class Facts:
+    """What an estimator's settings depend on: rows, classes and the target's spread."""
+
+    rows: int = 1
+    classes: int = 2
+    spread: float = 1.0
+
+
 @dataclass(frozen=True)
 class Model:
     name: str
     task: str
-    make: Callable[..., Any]
+    make: Callable[[Facts], Any]
     aliases: tuple[str, ...] = ()
-    binary_only: bool = False
+
+
+def boosted(facts: Facts, **settings: Any) -> Any:
+    """Boosted trees; of more than two classes one against the rest for each."""
+    trees = C.GBTClassifier(maxIter=100, stepSize=0.1, seed=42, **settings)
+    return trees if facts.classes <= 2 else C.OneVsRest(classifier=trees)
+
+
+class RestartedKMeans:
+    """k-means of the least cost among ``restarts`` seeds."""
+
+    def __init__(self, k: int = 8, restarts: int = 10) -> None:
+        self.k, self.restarts = k, restarts
+
+    def setK(self, k: int) -> RestartedKMeans:
+        return RestartedKMeans(k, self.restarts)
+
+    def fit(self, df: DataFrame) -> Any:
+        tried = (K.KMeans(k=self.k, seed=42 + i).fit(df) for i in range(self.restarts))
+        return min(tried, key=lambda m: m.summary.trainingCost)
+
+
+@dataclass(frozen=True)
+class Centres:
+    """Assigns rows to the nearest of fixed centres, ties to the first."""
+
+    centres: tuple[tuple[float, ...], ...]
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        x = vector_to_array("features")
+        far = [F.aggregate(F.zip_with(x, F.lit(list(c)), lambda u, v: (u - v) * (u - v)), F.lit(0.0), lambda s, d: s + d) for c in self.centres]
+        return df.withColumn("__far", F.array(*far)).withColumn("prediction", F.expr("int(array_position(__far, array_min(__far)) - 1)")).drop("__far")
+
+
+class MiniBatchKMeans:
+    """k-means on batches: in each turn the rows of one hash class move the centres by their running means.
+
+    A batch has some ``batch`` rows and is one aggregate to a row a centre; the table is
+    cut by the hash of its features, so a run is repeatable. A table of one batch is plain k-means.
+    """
+
+    def __init__(self, k: int = 8, batch: int = 100_000, turns: int = 20) -> None:
+        self.k, self.batch, self.turns = k, batch, turns
+
+    def setK(self, k: int) -> MiniBatchKMeans:
+        return MiniBatchKMeans(k, self.batch, self.turns)
+
+    def fit(self, df: DataFrame) -> Centres:
+        parts = max(1, df.count() // self.batch)
+        rows = df.select("features", F.pmod(F.xxhash64(vector_to_array("features")), F.lit(parts)).alias("part"))
+        centres = np.array(RestartedKMeans(self.k).fit(rows.where("part = 0")).clusterCenters())
+        seen = np.zeros(len(centres))
+        for turn in range(1, self.turns + 1 if parts > 1 else 1):
+            said = Centres(tuple(map(tuple, centres.tolist()))).transform(rows.where(F.col("part") == turn % parts))
+            for row in said.groupBy("prediction").agg(Summarizer.mean(F.col("features")).alias("mean"), F.count("*").alias("n")).collect():  # k rows
+                i = row["prediction"]
+                seen[i] += row["n"]
+                centres[i] += (row["mean"].toArray() - centres[i]) * row["n"] / seen[i]
+        return Centres(tuple(map(tuple, centres.tolist())))
 
 
 class Baseline:
@@ -55,26 +125,27 @@ def register(model: Model) -> None:
 
 
 for _m in (
-    Model("logistic_regression", "classification", lambda n: C.LogisticRegression(maxIter=1000, regParam=1 / n, standardization=False), ("logistic", "logreg")),
-    Model("gaussian_nb", "classification", lambda n: C.NaiveBayes(modelType="gaussian"), ("gnb",)),
-    Model("decision_tree_classifier", "classification", lambda n: C.DecisionTreeClassifier(maxDepth=30, seed=42)),
-    Model("random_forest_classifier", "classification", lambda n: C.RandomForestClassifier(numTrees=100, seed=42)),
-    Model("extra_trees_classifier", "classification", lambda n: C.RandomForestClassifier(numTrees=100, bootstrap=False, maxBins=8, seed=42)),
-    Model("gradient_boosting_classifier", "classification", lambda n: C.GBTClassifier(maxIter=100, maxDepth=3, stepSize=0.1, seed=42), (), True),
-    Model("hist_gradient_boosting_classifier", "classification", lambda n: C.GBTClassifier(maxIter=100, maxBins=255, stepSize=0.1, seed=42), (), True),
-    Model("knn_classifier", "classification", lambda n: Knn("classification"), ("knn",)),
-    Model("dummy_classifier", "classification", lambda n: Baseline("classification"), ("dummy_class",)),
-    Model("linear_regression", "regression", lambda n: R.LinearRegression(solver="normal"), ("linear",)),
-    Model("ridge_regression", "regression", lambda n: R.LinearRegression(solver="normal", regParam=1 / n, standardization=False), ("ridge",)),
-    Model("decision_tree_regressor", "regression", lambda n: R.DecisionTreeRegressor(maxDepth=30, seed=42)),
-    Model("random_forest_regressor", "regression", lambda n: R.RandomForestRegressor(numTrees=100, seed=42)),
-    Model("extra_trees_regressor", "regression", lambda n: R.RandomForestRegressor(numTrees=100, bootstrap=False, maxBins=8, seed=42)),
-    Model("gradient_boosting_regressor", "regression", lambda n: R.GBTRegressor(maxIter=100, maxDepth=3, stepSize=0.1, seed=42)),
-    Model("hist_gradient_boosting_regressor", "regression", lambda n: R.GBTRegressor(maxIter=100, maxBins=255, stepSize=0.1, seed=42)),
-    Model("knn_regressor", "regression", lambda n: Knn("regression"), ("knn_mean",)),
-    Model("dummy_regressor", "regression", lambda n: Baseline("regression"), ("dummy_mean",)),
-    Model("kmeans_clustering", "clustering", lambda n: K.KMeans(k=8, seed=42), ("kmeans",)),
-    Model("bisecting_kmeans_clustering", "clustering", lambda n: K.BisectingKMeans(k=8, seed=42)),
+    Model("logistic_regression", "classification", lambda f: C.LogisticRegression(maxIter=1000, regParam=1 / f.rows, standardization=False), ("logistic", "logreg")),
+    Model("gaussian_nb", "classification", lambda f: C.NaiveBayes(modelType="gaussian"), ("gnb",)),
+    Model("decision_tree_classifier", "classification", lambda f: C.DecisionTreeClassifier(maxDepth=30, seed=42)),
+    Model("random_forest_classifier", "classification", lambda f: C.RandomForestClassifier(numTrees=100, seed=42)),
+    Model("extra_trees_classifier", "classification", lambda f: C.RandomForestClassifier(numTrees=100, bootstrap=False, maxBins=8, seed=42)),
+    Model("gradient_boosting_classifier", "classification", lambda f: boosted(f, maxDepth=3)),
+    Model("hist_gradient_boosting_classifier", "classification", lambda f: boosted(f, maxBins=255)),
+    Model("knn_classifier", "classification", lambda f: Knn("classification"), ("knn",)),
+    Model("dummy_classifier", "classification", lambda f: Baseline("classification"), ("dummy_class",)),
+    Model("linear_regression", "regression", lambda f: R.LinearRegression(solver="normal"), ("linear",)),
+    Model("ridge_regression", "regression", lambda f: R.LinearRegression(solver="normal", regParam=f.spread / f.rows, standardization=False), ("ridge",)),
+    Model("decision_tree_regressor", "regression", lambda f: R.DecisionTreeRegressor(maxDepth=30, seed=42)),
+    Model("random_forest_regressor", "regression", lambda f: R.RandomForestRegressor(numTrees=100, seed=42)),
+    Model("extra_trees_regressor", "regression", lambda f: R.RandomForestRegressor(numTrees=100, bootstrap=False, maxBins=8, seed=42)),
+    Model("gradient_boosting_regressor", "regression", lambda f: R.GBTRegressor(maxIter=100, maxDepth=3, stepSize=0.1, seed=42)),
+    Model("hist_gradient_boosting_regressor", "regression", lambda f: R.GBTRegressor(maxIter=100, maxBins=255, stepSize=0.1, seed=42)),
+    Model("knn_regressor", "regression", lambda f: Knn("regression"), ("knn_mean",)),
+    Model("dummy_regressor", "regression", lambda f: Baseline("regression"), ("dummy_mean",)),
+    Model("kmeans_clustering", "clustering", lambda f: RestartedKMeans(), ("kmeans",)),
+    Model("minibatch_kmeans_clustering", "clustering", lambda f: MiniBatchKMeans(), ("minibatch_kmeans",)),
+    Model("bisecting_kmeans_clustering", "clustering", lambda f: K.BisectingKMeans(k=8, seed=42)),
 ):
     register(_m)
 
@@ -116,10 +187,11 @@ def train(df: DataFrame, key: str, goal: str, names: list[str], task: str | None
     features = [c for c in df.columns if c not in (key, goal)]
     prepared = prepare.fit(side("train").select(*features), prepare.plan(df.select(*features), None, None, config))
     learn, test = (assemble(side(s), prepared, [key, "label"]).persist() for s in ("train", "evaluation"))
-    n = learn.count()
+    one = learn.agg(F.count("*"), F.stddev_pop("label")).first()
+    facts = Facts(one[0], labels.count() if labels is not None else 0, one[1] or 1.0)
     out = []
     for m in models:
-        fitted = m.make(n).fit(learn)
+        fitted = m.make(facts).fit(learn)
         said = fitted.transform(test)
         scores = (evaluate.classification if labels is not None else evaluate.regression)(said, "label", "prediction").first().asDict()
         out.append(Trained(m.name, fitted, prepared, labels, scores))
@@ -151,4 +223,4 @@ def cluster(df: DataFrame, key: str, name: str = "kmeans_clustering", k: int = 8
     features = [c for c in df.columns if c != key]
     prepared = prepare.fit(df.select(*features), prepare.plan(df.select(*features)))
     rows = assemble(df, prepared, [key])
-    return resolve(name, "clustering").make(1).setK(k).fit(rows).transform(rows).select(key, F.col("prediction").alias("cluster"))
+    return resolve(name, "clustering").make(Facts()).setK(k).fit(rows).transform(rows).select(key, F.col("prediction").alias("cluster"))

@@ -133,7 +133,7 @@ add(
 )
 add(
     "b4_kendall",
-    lambda s, d: rounded(stats.kendall(table(s, d, "supplier"), "s_nationkey", "s_acctbal", 8)),
+    lambda s, d: rounded(stats.kendall(table(s, d, "supplier"), "s_nationkey", "s_acctbal")),
     """WITH p AS (SELECT s_suppkey AS k, s_nationkey AS x, s_acctbal AS y FROM supplier),
        c AS (SELECT sum(sign(a.x - b.x) * sign(a.y - b.y)) AS s, sum((a.x <> b.x)::INT) AS nx, sum((a.y <> b.y)::INT) AS ny
              FROM p a JOIN p b ON a.k < b.k)
@@ -440,7 +440,18 @@ add(
         FROM c a JOIN c b ON a.k <> b.k GROUP BY 1, 2, 3), s AS (SELECT k, max(d) FILTER (WHERE l = o) AS a, min(d) FILTER (WHERE l <> o) AS b FROM m GROUP BY k)
         SELECT round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM s""",
 )
-add("e18_cluster_metrics", lambda s, d: rounded(evaluate.cluster_metrics(clustered(s, d), "l", ["x", "y"])))
+add(
+    "e18_cluster_metrics",
+    lambda s, d: rounded(evaluate.cluster_metrics(clustered(s, d), "l", ["x", "y"])),
+    f"""WITH t AS (SELECT * FROM {CLUSTERED}), c AS (SELECT l, count(*) AS n, avg(x) AS cx, avg(y) AS cy FROM t GROUP BY l),
+        d AS (SELECT t.l, sqrt(pow(x - cx, 2) + pow(y - cy, 2)) AS d FROM t JOIN c ON t.l = c.l),
+        s AS (SELECT c.*, (SELECT avg(d) FROM d WHERE d.l = c.l) AS s FROM c),
+        r AS (SELECT a.l, max((a.s + b.s) / nullif(sqrt(pow(a.cx - b.cx, 2) + pow(a.cy - b.cy, 2)), 0)) AS r FROM s a JOIN s b ON a.l <> b.l GROUP BY a.l),
+        m AS (SELECT avg(x) AS mx, avg(y) AS my, count(*) AS n FROM t),
+        b AS (SELECT sum(c.n * (pow(cx - mx, 2) + pow(cy - my, 2))) AS b, count(*) AS k, max(m.n) AS n FROM c, m)
+        SELECT (SELECT round(avg(r), 6) FROM r) AS davies_bouldin,
+        round((b / (k - 1)) / nullif((SELECT sum(d * d) FROM d) / (n - k), 0), 6) AS calinski_harabasz FROM b""",
+)
 add(
     "e21_cluster_sizes",
     lambda s, d: rounded(evaluate.centroids(clustered(s, d), "l", ["x", "y"])),
@@ -556,7 +567,8 @@ add("q4_near_constant", finding("near_constant_column"),
     """SELECT 'mostly' AS "column", 'WARNING' AS severity, round(avg((c_custkey % 100 <> 1)::INT), 6) AS value FROM customer""")
 add("q5_high_cardinality", finding("high_cardinality"),
     """SELECT 'c_name' AS "column", 'WARNING' AS severity, count(DISTINCT c_name)::DOUBLE AS value FROM customer""")
-add("q6_id_like", finding("possible_id_like"))
+add("q6_id_like", finding("possible_id_like"),
+    """SELECT 'c_custkey' AS "column", 'WARNING' AS severity, round(count(DISTINCT c_custkey) / count(*), 6) AS value FROM customer""")
 add("q8_infinite_values", finding("infinite_values"),
     """SELECT 'endless' AS "column", 'ERROR' AS severity, count(*)::DOUBLE AS value FROM customer WHERE c_custkey % 50 = 2""")
 add("q7_numeric_text", lambda s, d: rounded(quality.numeric_text(odd(s, d), ["coded", "mostly"], "c_custkey")),
@@ -571,6 +583,20 @@ add("p9_finite_values", lambda s, d: odd(s, d).agg(F.count(core.finite(F.col("en
 add("a3_missing_by_column", lambda s, d: profile.basic(dirty(s, d)).select("column", "missing"),
     f"""SELECT unnest(['o_orderkey', 'gappy', 'wild', 'constant', 'status', 'target']) AS "column",
         unnest([0, count(*) - count(gappy), 0, 0, 0, 0])::BIGINT AS missing FROM {DIRTY}""")
+add("q11_not_assessed", lambda s, d: quality.inspect(
+        table(s, d, "nation").select("n_nationkey", *[(F.col("n_regionkey") + i).alias(f"x{i}") for i in range(51)]), "n_nationkey"
+    ).where("code = 'multicollinearity_not_assessed'").select("code", "severity", "value"),
+    "SELECT 'multicollinearity_not_assessed' AS code, 'INFO' AS severity, 52.0::DOUBLE AS value")
+add("d28_extreme_values", lambda s, d: rounded(table(s, d, "orders").select(F.when(F.col("o_orderkey") % 2 == 0, 1e308).otherwise(-1e308).alias("x")).agg(
+        (stats.std(F.col("x")) / 1e308).alias("std"), stats.variance(F.col("x")).alias("variance"), (stats.rms(F.col("x")) / 1e308).alias("rms"),
+        stats.kurtosis(F.col("x"), bias=True).alias("kurtosis"),
+    )),
+    """SELECT round(stddev_samp(x), 6) AS std, NULL::DOUBLE AS variance, round(sqrt(avg(x * x)), 6) AS rms, round(kurtosis_pop(x), 6) AS kurtosis
+       FROM (SELECT CASE WHEN o_orderkey % 2 = 0 THEN 1.0 ELSE -1.0 END::DOUBLE AS x FROM orders)""")
+add("a12_dominant_digest", lambda s, d: audit.redacted(profile.profile(table(s, d, "orders").select("o_orderkey", "o_orderpriority"), "o_orderkey"))
+    .where("column = 'o_orderpriority'").select("column", "dominant"),
+    """SELECT 'o_orderpriority' AS "column", sha256(strlen(v)::VARCHAR || ':' || v) AS dominant FROM
+       (SELECT o_orderpriority AS v FROM orders GROUP BY 1 ORDER BY count(*) DESC, min(o_orderkey) LIMIT 1)""")
 add("f7_totals", lambda s, d: frequency.frequency_table(table(s, d, "part"), "p_brand").agg(F.sum("count").alias("total"), F.count("*").alias("n_distinct")),
     "SELECT count(p_brand) AS total, count(DISTINCT p_brand) AS n_distinct FROM part")
 add("t3_spacings", lambda s, d: datetimes.spacings(table(s, d, "orders"), "o_orderdate").select("at", "delta"),

@@ -53,8 +53,9 @@ def test_kendall_against_all_pairs(spark):
             nx += a != c
             ny += b != d
     df = spark.createDataFrame(rows, "x long, y long")
-    for buckets in (2, 5, 64):
-        assert stats.kendall(df, "x", "y", buckets).first()[0] == pytest.approx(s / (nx * ny) ** 0.5)
+    assert stats.kendall(df, "x", "y").first()[0] == pytest.approx(s / (nx * ny) ** 0.5)
+    assert stats.kendall(df.where("x < 0"), "x", "y").first()[0] is None
+    assert stats.kendall(df.withColumn("y", F.lit(1)), "x", "y").first()[0] is None
 
 
 def test_partitions_do_not_change_results(spark):
@@ -260,3 +261,102 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["audit", str(tmp_path / "t.parquet"), "--key", "k", "--target", "Churn", "--out", str(tmp_path / "out")], spark) == 3
     assert "BLOCKED" in capsys.readouterr().out
     assert cli.main(["audit", str(tmp_path / "t.xlsx"), "--key", "k"], spark) == 1
+
+
+def test_statistics_of_extreme_values(spark):
+    x = F.col("x")
+    row = numbers(spark, [1e308, -1e308] * 20).agg(
+        stats.std(x).alias("std"), stats.variance(x).alias("variance"), stats.rms(x).alias("rms"), stats.kurtosis(x, True).alias("kurtosis"),
+        stats.skewness(x, True).alias("skewness"), stats.sum_of_squares(x).alias("squares"), stats.covariance(x, x).alias("covariance"), *stats.describe(x)[11:12],
+    ).first()
+    assert row["std"] == pytest.approx(1e308 * (40 / 39) ** 0.5) and row["rms"] == pytest.approx(1e308)
+    assert row["kurtosis"] == pytest.approx(-2) and row["skewness"] == pytest.approx(0, abs=1e-9)
+    assert (row["variance"], row["squares"], row["covariance"], row["iqr"]) == (None,) * 4
+
+
+def test_quantiles_of_columns_share_their_passes(spark):
+    draw = random.Random(5)
+    df = spark.createDataFrame([(draw.random(), draw.choice([1.0, 2.0, None]), None) for _ in range(900)], "a double, b double, c double")
+    found = stats.quantiles_of(df, {c: F.col(c) for c in "abc"}, [0.25, 0.5], direct=20)
+    for c in "ab":
+        assert found[c] == pytest.approx(list(df.agg(F.percentile(c, [0.25, 0.5])).first()[0]), abs=1e-12)
+    assert found["c"] == [None, None]
+
+
+def test_frequency_table_counts_up_in_order(spark):
+    from assayer.operators import frequency
+
+    rows = frequency.frequency_table(spark.createDataFrame([(v,) for v in "abbcccd"] + [(None,)], "v string"), "v", "include").orderBy("cumulative").collect()
+    assert [(r["value"], r["cumulative"]) for r in rows] == [(None, 1), ("a", 2), ("b", 4), ("c", 7), ("d", 8)]
+    assert frequency.frequency_table(spark.createDataFrame([], "v string"), "v").count() == 0
+
+
+def test_nearest_labels_in_blocks_on_both_sides(spark, monkeypatch):
+    from assayer.operators import neighbours
+
+    monkeypatch.setattr(neighbours, "BLOCK", 7)
+    draw = random.Random(6)
+    rows = [([float(draw.randint(0, 3)), float(draw.randint(0, 3))], float(draw.randint(0, 2))) for _ in range(40)]
+    asked = [(i, [draw.random() * 3, draw.random() * 3]) for i in range(20)]
+    got = neighbours.nearest_labels(spark.createDataFrame(rows, "v array<double>, label double"), spark.createDataFrame(asked, "q long, v array<double>"), 5)
+    found = {q: [] for q, _ in asked}
+    for r in got.collect():
+        found[r["q"]].append((r["distance"], r["label"]))
+    for q, v in asked:
+        expected = sorted((((a[0] - v[0]) ** 2 + (a[1] - v[1]) ** 2) ** 0.5, label) for a, label in rows)[:5]
+        assert [m[0] for m in sorted(found[q])] == pytest.approx([e[0] for e in expected])
+        assert [m[1] for m in sorted(found[q])] == [e[1] for e in expected]
+
+
+def test_checks_of_ones_own_join_the_findings(spark):
+    from assayer import core
+    from assayer.operators import quality
+
+    df = spark.createDataFrame([(i, float(i % 7)) for i in range(50)], "k long, x double")
+    mine = lambda t, key: t.agg(F.lit("mine").alias("code"), F.lit("ERROR").alias("severity"), F.lit("x").alias("column"), F.max("x").alias("value"), F.lit(False).alias("requires_review"))
+    found = quality.inspect(df, "k", checks=[mine])
+    assert found.where("code = 'mine'").first()["value"] == 6 and quality.verdict(found) == "BLOCKED"
+    with pytest.raises(core.ConfigurationError):
+        quality.inspect(df, "k", checks=[lambda t, key: t.select("x")])
+
+
+def test_ridge_equals_its_closed_form(spark):
+    import numpy as np
+    from pyspark.ml.linalg import Vectors
+
+    from assayer.plans import models
+
+    draw = np.random.default_rng(1)
+    x = draw.normal(size=(60, 2)) * [1, 5]
+    y = x @ [2, -1] + draw.normal(size=60) * 3 + 4
+    df = spark.createDataFrame([(Vectors.dense(a.tolist()), float(b)) for a, b in zip(x, y, strict=True)], ["features", "label"])
+    fitted = models.resolve("ridge").make(models.Facts(60, 0, float(y.std()))).fit(df)
+    c = x - x.mean(0)
+    assert list(fitted.coefficients) == pytest.approx(list(np.linalg.solve(c.T @ c + np.eye(2), c.T @ (y - y.mean()))), rel=1e-6)
+
+
+def test_boosting_of_three_classes(spark):
+    from assayer.plans import models
+
+    df = spark.createDataFrame([(i, float(i % 30), "abc"[i % 30 // 10]) for i in range(240)], "k long, x double, y string")
+    trained = models.train(df, "k", "y", ["gradient_boosting_classifier", "dummy_classifier"], "classification")
+    assert trained[0].metrics["accuracy"] > 0.95 > trained[1].metrics["accuracy"]
+    assert {r["prediction"] for r in models.predict(trained[0], df, "k").collect()} == {"a", "b", "c"}
+
+
+@pytest.mark.parametrize("name", ["kmeans", "minibatch_kmeans"])
+def test_k_means_finds_separate_groups(spark, name, monkeypatch):
+    from assayer.plans import models
+
+    df = spark.createDataFrame([(i, 100.0 * (i % 3) + i / 1000, -50.0 * (i % 3)) for i in range(300)], "k long, x double, y double")
+    if name == "minibatch_kmeans":
+        monkeypatch.setattr(models.MiniBatchKMeans.__init__, "__defaults__", (8, 60, 10))
+    said = {r["k"]: r["cluster"] for r in models.cluster(df, "k", name, 3).collect()}
+    assert len({(k % 3, c) for k, c in said.items()}) == 3 and len(set(said.values())) == 3
+
+
+def test_an_audit_holds_no_value_of_the_table(spark):
+    from assayer.plans import audit
+
+    document = audit.audit(spark.createDataFrame([(i, "ann@example.org") for i in range(20)], "k long, who string"), "k")
+    assert "ann@example.org" not in audit.canonical_json(document)
