@@ -12,6 +12,7 @@ could ever be returned.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import math
 from collections.abc import Iterator
 from decimal import Decimal
@@ -19,12 +20,17 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assayer.llm._common import Scratch
+from assayer.operators.graph import stored
+
 SCALE = 256
 BLOCK = 8192  # vectors in a block at most
 MIN_PIVOTS, MAX_PIVOTS = 16, 256
+CELL = 2048
 
 
 def quantise(embedding: Column) -> Column:
@@ -39,8 +45,8 @@ def usable(embedding: Column) -> Column:
 
 
 def pivot_count(rows: int) -> int:
-    """A cell holds about twice as many vectors as there are cells, between the two bounds."""
-    return max(MIN_PIVOTS, min(MAX_PIVOTS, math.isqrt(rows // 2)))
+    """One for ``CELL`` vectors, between the two bounds: smaller cells cost more in pairs of blocks than their bounds save."""
+    return max(MIN_PIVOTS, min(MAX_PIVOTS, rows // CELL))
 
 
 def choose_pivots(data: DataFrame, n: int) -> np.ndarray:
@@ -83,7 +89,7 @@ def blocks_of(dealt: DataFrame, sizes: dict[int, int], block: int) -> DataFrame:
             {
                 "cell": table.column("cell")[:1],
                 "salt": table.column("salt")[:1],
-                "ids": pa.array([table.column("id").to_pylist()]),
+                "ids": pa.ListArray.from_arrays(pa.array([0, len(table)], pa.int32()), table.column("id").combine_chunks()),
                 "vectors": pa.array([v.astype("<i8").tobytes()], pa.binary()),
             }
         )
@@ -116,32 +122,48 @@ def needed(pivots: np.ndarray, queries: dict[int, float], data: dict[int, tuple[
     return out
 
 
-def best_in_block(qi: list, q: np.ndarray, di: list, d: np.ndarray, k: int, exact: bool):  # noqa: ANN201
-    """The k best of one data block for every query of a block: (query, id, score)."""
-    ids = np.array(di, dtype=object)
-    order = np.array(sorted(range(len(di)), key=di.__getitem__))  # ties go to the first
-    ids, d = ids[order], d[order]
-    if exact:
-        d = d.astype(np.float64)
+def best_in_block(qi: pa.Array, q: np.ndarray, di: pa.Array, d: np.ndarray, k: int, exact: bool) -> tuple[np.ndarray, np.ndarray, list | np.ndarray]:
+    """The k best of one data block for every query of a block: rows of q, rows of d and scores."""
+    order = pc.sort_indices(di).to_numpy()  # ties go to the first
+    coded = di.take(pa.array(order)).dictionary_encode()
+    codes = coded.indices.to_numpy()
+    own = pc.fill_null(pc.index_in(qi, coded.dictionary), -1).to_numpy()
+    first, end = np.searchsorted(codes, own), np.searchsorted(codes, own, side="right")  # the query's own rows, if any
+    if not exact:
+        return best_of_wide(q, d[order], first, end, order, k)
+    d = d[order].astype(np.float64)
     step = max(1, 4_000_000 // max(1, len(d)))
+    found = []
     for at in range(0, len(q), step):
-        part = q[at : at + step]
-        if exact:
-            scores = part.astype(np.float64) @ d.T
+        scores = q[at : at + step].astype(np.float64) @ d.T
+        for i in np.flatnonzero(end[at : at + step] > first[at : at + step]):
+            scores[i, first[at + i] : end[at + i]] = -np.inf
+        if len(d) > k:
+            place = np.sort(np.argpartition(scores, len(d) - k, axis=1)[:, len(d) - k :], axis=1)
+            cut = np.take_along_axis(scores, place, axis=1).min(axis=1)
+            for i in np.flatnonzero((scores >= cut[:, None]).sum(axis=1) > k):  # ties at the cut
+                near = np.flatnonzero(scores[i] >= cut[i])
+                place[i] = np.sort(near[np.argsort(-scores[i, near], kind="stable")[:k]])
         else:
-            scores = part.astype(object) @ d.astype(object).T
-        for i, row in enumerate(scores):
-            if exact and len(row) > k + 1:
-                cut = np.partition(row, len(row) - k - 1)[len(row) - k - 1]
-                near = np.flatnonzero(row >= cut)
-            else:
-                near = np.arange(len(row))
-            near = sorted(near, key=lambda j: -row[j])  # stable: smaller ids first among equals
-            own, taken = qi[at + i], 0
-            for j in near:
-                if ids[j] != own and taken < k:
-                    taken += 1
-                    yield at + i, ids[j], int(row[j])
+            place = np.broadcast_to(np.arange(len(d)), scores.shape)
+        kept = np.take_along_axis(scores, place, axis=1)
+        row, column = np.nonzero(np.isfinite(kept))
+        found.append((at + row, order[place[row, column]], kept[row, column].astype(np.int64)))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def best_of_wide(q: np.ndarray, d: np.ndarray, first: np.ndarray, end: np.ndarray, order: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, list]:
+    """The same for components too long for doubles, in Python's whole numbers."""
+    rows, places, out = [], [], []
+    d = d.astype(object)
+    for i, x in enumerate(q.astype(object)):
+        scores = d @ x
+        others = [j for j in range(len(d)) if not first[i] <= j < end[i]]
+        for j in heapq.nsmallest(k, others, key=lambda j: (-scores[j], j)):
+            rows.append(i)
+            places.append(order[j])
+            out.append(int(scores[j]))
+    return np.array(rows, np.int64), np.array(places, np.int64), out
 
 
 WIDEST = Decimal(10**38 - 1)
@@ -155,12 +177,15 @@ def vector_hash(v: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(v.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def search(rows: DataFrame, dim: int, k: int, block: int) -> DataFrame:
-    """top_k for vectors of one length; ``rows`` has id, v and the flag q."""
+def search(rows: DataFrame, dim: int, k: int, block: int, tables: Scratch) -> DataFrame:
+    """top_k for vectors of one length; ``rows`` has id, v and the flag q.
+
+    The different vectors are stored, for they are read four times.
+    """
     # Equal vectors score alike, so of each only the k + 1 smallest ids can be returned.
     by_id = Window.partitionBy("v").orderBy("id")
     data = rows.select("id", "v", F.dense_rank().over(by_id).alias("n")).where(F.col("n") <= k + 1)
-    data = data.select("id", "v").dropDuplicates(["v", "id"])
+    data = tables.put(data.select("id", "v").dropDuplicates(["v", "id"]))
     queries = rows.where("q").select("id", "v").dropDuplicates(["v", "id"])
     facts = data.agg(
         F.count("*").alias("n"), F.max(F.array_max(F.transform("v", lambda x: F.abs(x)))).alias("top")
@@ -191,17 +216,14 @@ def search(rows: DataFrame, dim: int, k: int, block: int) -> DataFrame:
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                qi, di = batch.column(0)[r].as_py(), batch.column(2)[r].as_py()
+                qi, di = batch.column(0)[r].values, batch.column(2)[r].values
                 q = np.frombuffer(batch.column(1)[r].as_py(), "<i8").reshape(-1, dim)
                 d = np.frombuffer(batch.column(3)[r].as_py(), "<i8").reshape(-1, dim)
-                made = list(best_in_block(qi, q, di, d, k, exact))
+                of, at, scores = best_in_block(qi, q, di, d, k, exact)
+                names = np.array([vector_hash(x) for x in q], np.int64)
+                made = pa.array(scores, pa.int64()) if exact else pa.array([bound(x, WIDEST) for x in scores], pa.decimal128(38))
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([qi[i] for i, _, _ in made], batch.schema.field(0).type.value_type),
-                        pa.array([vector_hash(q[i]) for i, _, _ in made], pa.int64()),
-                        pa.array([j for _, j, _ in made], batch.schema.field(2).type.value_type),
-                        pa.array([s for _, _, s in made], pa.int64()) if exact else pa.array([bound(s, WIDEST) for _, _, s in made], pa.decimal128(38)),
-                    ],
+                    [qi.take(pa.array(of)), pa.array(names[of]), di.take(pa.array(at)), made],
                     names=["query_id", "qv", "vec_id", "score"],
                 )
 
@@ -237,11 +259,15 @@ def top_k(
         F.col(id_col).alias("id"), quantise(F.col(vector_col)).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")
     )
     dims = [r["d"] for r in rows.select(F.size("v").alias("d")).distinct().collect()]  # the lengths in use, commonly one
-    parts = [search(rows.where(F.size("v") == d), d, k, block) for d in sorted(dims)]
+    tables = Scratch(vectors.sparkSession, "top-k")
+    parts = [search(rows.where(F.size("v") == d), d, k, block, tables) for d in sorted(dims)]
     if not parts:
         kind = rows.schema["id"].dataType.simpleString()
         parts = [vectors.sparkSession.createDataFrame([], f"query_id {kind}, vec_id {kind}, score long, rank int")]
-    return reduce(DataFrame.unionByName, parts).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    found = reduce(DataFrame.unionByName, parts).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    result = stored(found)
+    tables.drop()
+    return result
 
 
 def oracle() -> str:
