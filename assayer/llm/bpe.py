@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from assayer.llm._common import bounded, map_rows, sha, worker_state
 
 #: Pieces whose ids a worker remembers; beyond it the memory starts afresh.
-CACHE = 200_000
+CACHE = 100_000
 
 
 class Vocabulary:
