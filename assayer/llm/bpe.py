@@ -22,12 +22,13 @@ from pyspark.sql import functions as F
 from assayer.llm._common import bounded, map_rows, sha, worker_state
 
 #: Pieces whose ids a worker remembers; beyond it the memory starts afresh.
-CACHE = 100_000
+CACHE = 200_000
 
 
 class Vocabulary:
-    def __init__(self, ranks: dict[bytes, int]) -> None:
+    def __init__(self, ranks: dict[bytes, int], remember: int = CACHE) -> None:
         self.ranks = ranks
+        self.remember = remember
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.longest = max(map(len, ranks))
         self.size = {i: len(b) for b, i in ranks.items()}
@@ -67,7 +68,7 @@ class Vocabulary:
         key = (left, right)
         known = self.fits.get(key)
         if known is None:
-            if len(self.fits) > CACHE:
+            if len(self.fits) > self.remember:
                 self.fits.clear()
             known = self.fits[key] = self._compatible(left, right)
         return known
@@ -173,9 +174,9 @@ class PrefixEncoder:
         return walk(self.v, self.last, len(self.data))
 
 
-def vocabulary(path: str) -> Vocabulary:
+def vocabulary(path: str, remember: int = CACHE) -> Vocabulary:
     with open(path, "rb") as f:
-        return Vocabulary({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
+        return Vocabulary({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, remember)
 
 
 class Encoder:
@@ -185,8 +186,8 @@ class Encoder:
     the stored last tokens of the prefix that it shares with the one before.
     """
 
-    def __init__(self, path: str, pattern: str) -> None:
-        self.v = vocabulary(path)
+    def __init__(self, path: str, pattern: str, remember: int = CACHE) -> None:
+        self.v = vocabulary(path, remember)
         self.pattern = regex.compile(pattern)
         self.known: dict[str, bytes] = {}
 
@@ -211,7 +212,7 @@ class Encoder:
         known, out = self.known, []
         for i in range(0, len(texts), 256):
             split = [self.pattern.findall(t) for t in texts[i : i + 256]]
-            if len(known) >= CACHE:
+            if len(known) >= self.v.remember:
                 known.clear()
             self.learn({p for pieces in split for p in pieces if p not in known})
             out += [b"".join(map(known.__getitem__, pieces)) for pieces in split]
@@ -221,11 +222,12 @@ class Encoder:
         return self.encode_batch([text])[0]
 
 
-def worker_encoder(path: str, pattern: str) -> Encoder:
+def worker_encoder(path: str, pattern: str, remember: int = CACHE) -> Encoder:
     """One encoder a Python worker, so that its memory of pieces outlives a task; it goes when another operator runs there."""
     state = worker_state(__name__)
-    if state.get("encoder") != (path, pattern):
-        state["encoder"], state["made"] = (path, pattern), Encoder(path, pattern)
+    key = (path, pattern, remember)
+    if state.get("encoder") != key:
+        state["encoder"], state["made"] = key, Encoder(*key)
     return state["made"]
 
 
@@ -237,17 +239,19 @@ def encode(
     text_col: str = "text",
     keep: tuple[str, ...] = (),
     decoded: bool = False,
+    remember: int = CACHE,
 ) -> DataFrame:
     """Token ids of every whole text, in column ``ids`` as little-endian 32-bit integers.
 
     ``path`` is a rank file, readable where the tasks run. With ``decoded`` the ids
-    are decoded again in the same pass, into column ``bytes``. Null and empty texts
+    are decoded again in the same pass, into column ``bytes``. A worker holds the ids of about
+    ``remember`` pieces; fewer take less memory and more time, and give the same ids. Null and empty texts
     have no tokens; null ids and repeated rows are kept, an empty table gives none;
     other columns than ``id_col``, ``text_col`` and ``keep`` are not read.
     """
 
     def setup():  # noqa: ANN202
-        encoder = worker_encoder(path, pattern)
+        encoder = worker_encoder(path, pattern, remember)
 
         def work(texts: list[str]) -> dict[str, pa.Array]:
             ids = encoder.encode_batch(texts)
