@@ -57,7 +57,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each kept text (little-endian 32-bit integers), its language and source, and the digests of ids and decoded bytes."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    encoded = bpe.encode(docs, path, public_tokenizers.PATTERN, keep=("lang", "source"), decoded=True)
+    encoded = bpe.encode(docs, path, public_tokenizers.PATTERN, keep=("lang", "source"), decoded=True, remember=100_000)
     return bpe.digest(encoded, keep=("lang", "source", "ids"))
 
 
