@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import bpe, decontaminate, html_extract, knn, language_id, near_dedup, pii, secrets, suffix_dedup, url_filter
+from assayer.llm import (
+    bpe, centroids, decontaminate, hard_negatives, html_extract, knn, language_id, near_dedup, pii, quality_cnn, secrets, suffix_dedup, url_filter,
+)
 from assayer.llm._common import documents
 
 
@@ -73,6 +75,22 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages, url_filter.rule_table(spark), url_filter.listed_table(spark))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    network = quality_cnn.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality_cnn.judged(quality_cnn.quality(docs, network))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    embeddings = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(embeddings, F.col("vec_id") % 100 == 0, label)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
@@ -85,10 +103,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": op8_language_id,
         "op9_top_k": op9_top_k,
         "op10_url_filter": op10_url_filter,
+        "op11_centroids": op11_centroids,
+        "op12_quality": op12_quality,
+        "op13_hard_negatives": op13_hard_negatives,
         "pages_language_id": pages_language_id,
         "weighted_near_dedup": weighted_near_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_top_k": knn.oracle(), "op10_url_filter": url_filter.oracle()}
+    return {"op9_top_k": knn.oracle(), "op10_url_filter": url_filter.oracle(), "op11_centroids": centroids.oracle(), "op13_hard_negatives": hard_negatives.oracle()}
