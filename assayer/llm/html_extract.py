@@ -308,9 +308,25 @@ class Trees:
             at = after
 
 
+def pooled(nodes: list[Node], p: np.ndarray) -> np.ndarray:
+    """Probabilities in which the plain paragraphs of one parent share the mean of their log odds.
+
+    No markup tells such siblings apart, so an odd line does not fall out of its text.
+    """
+    plain: dict[int, list[int]] = {}
+    for i, x in enumerate(nodes):
+        if x.tag == "p" and not x.children and not x.attrs.strip():
+            plain.setdefault(x.parent, []).append(i)
+    p = np.clip(p, 1e-4, 1 - 1e-4)
+    odds = np.log(p / (1 - p))
+    for own in plain.values():
+        odds[own] = odds[own].mean()
+    return 1 / (1 + np.exp(-odds))
+
+
 def decode(nodes: list[Node], p: np.ndarray) -> list[bool]:
     """Likeliest labels under the rule that a rejected node has only rejected ones below."""
-    p = np.clip(p, 1e-4, 1 - 1e-4)
+    p = np.clip(pooled(nodes, p), 1e-4, 1 - 1e-4)
     yes, no = np.log(p).tolist(), np.log(1 - p).tolist()
     for i in range(len(nodes) - 1, -1, -1):
         for c in nodes[i].children:
@@ -371,13 +387,18 @@ def draw_page(seed: int) -> str:
             return ""
         return r.choice([' class="{}"', ' id="{}"', ' class="{} ' + word() + '"', ' class="site-{}"', " class='x_{}'"]).format(name(group))
 
+    def odd(n: int) -> str:
+        """Lines that are no sentences: words without an end, one word again and again, columns of words."""
+        again = [f"{w} " * r.randint(2, 30) for w in (word() for _ in range(r.randint(1, 8)))]
+        return r.choice([" ".join(word() for _ in range(n)), "".join(again).strip(), f"{word()} " * n, " | ".join(word() for _ in range(n))])
+
     def para() -> str:
         n = r.choice([1, 2, 5, 12, 30, 60, 120, 200])
-        inner = "MAIN " + said(n)
+        inner = "MAIN " + (said(n) if r.random() < 0.8 else odd(n))
         if r.random() < 0.2:
             inner = f"MAIN <b>{said(3)}</b> {said(n)} <a href='/{word()}'>{word()}</a> {said(4)}"
         if r.random() < 0.15 and not bare:
-            inner = f"<b>MAIN {said(n)}<br>"
+            inner = f"<b>MAIN {said(n) if r.random() < 0.7 else odd(n)}<br>"
             return f"<p>{inner}"
         kind = r.random()
         if kind < 0.04:

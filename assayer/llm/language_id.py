@@ -20,14 +20,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayer.core import LimitExceededError
 from assayer.llm._common import Scratch, bounded, worker_state
 from assayer.operators.graph import stored
 
 UND = "und"
 TABLE = 1 << 16  # hashed trigrams of a model
 TRAIN_ROWS = 400  # labelled rows a language that the models may be fitted on, at most
-MOST_LANGUAGES = 200  # labels; a model of one takes 256 KB
+MOST_LANGUAGES = 200  # models; one takes 256 KB
 MARKUP_TRUST = 0.9  # chance that a declared language is the true one
 SUFFIX_TRUST = 0.7
 HOST_WEIGHT = 20.0  # rows that a host needs to count as much as its group
@@ -78,20 +77,19 @@ class Models:
 def fit(df: DataFrame, label_col: str, text_col: str, rows: int = TRAIN_ROWS) -> Models:
     """Models from at most ``rows`` different labelled texts a language, those of the lowest hash, whole.
 
-    Every label makes a model, however few its rows, but null and ``und``; more than
-    ``MOST_LANGUAGES`` labels are refused. Two scans serve all languages: one counts
-    labels, one takes the sample, whose trigrams are counted where it is.
+    Every label makes a model, however few its rows, but null and ``und``; of a column with over
+    ``MOST_LANGUAGES`` labels the most frequent ones do. Two scans serve all languages: one
+    counts labels, one takes the sample, whose trigrams are counted where it is. Without labels there is no model.
     """
     named = F.col(label_col).isNotNull() & (F.col(label_col) != UND) & F.col(text_col).isNotNull()
     labelled = df.where(named).select(F.col(label_col).cast("string").alias("label"), F.col(text_col).cast("string").alias("text"))
-    counts = labelled.groupBy("label").count().limit(MOST_LANGUAGES + 1).collect()
-    if len(counts) > MOST_LANGUAGES:
-        raise LimitExceededError("languages", MOST_LANGUAGES, len(counts))
+    counts = labelled.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MOST_LANGUAGES).collect()
     if not counts:
         return Models({})
     # About four times the rows that are wanted, of each label, so that copies leave enough.
     shares = {r["label"]: int(min(1.0, 4.0 * rows / r["count"]) * (1 << 20)) for r in counts}
     share = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair])[F.col("label")]
+    labelled = labelled.where(F.col("label").isin(list(shares)))
     hashed = labelled.select("label", "text", F.xxhash64("text").alias("h")).where(F.pmod("h", F.lit(1 << 20)) <= share)
     different = hashed.groupBy("label", "h").agg(F.first("text").alias("text"))
     order = F.row_number().over(Window.partitionBy("label").orderBy("h"))
@@ -190,9 +188,12 @@ def identify(
     address, ``host`` and its ``group`` the levels of the prior; any may be absent
     or null. A text that is null, empty or without letters gets ``und`` with
     confidence 0, whatever it declares. Ties go to the first language by name.
-    Repeated rows are judged alike; an empty table gives no rows. Columns of ``df``
-    named ``language`` or ``confidence`` are replaced.
+    Repeated rows are judged alike; an empty table gives no rows. Without models every
+    row is ``und`` with confidence 0. Columns of ``df`` named ``language`` or ``confidence`` are replaced.
     """
+    if not models.languages:
+        kept = [c for c in (df.columns if keep is None else keep) if c not in ("language", "confidence")]
+        return df.select(*[F.col(f"`{c}`") for c in kept], F.lit(UND).alias("language"), F.lit(0.0).alias("confidence"))
     names = [*models.languages, UND]
     n = len(names)
     own = [c for c in (df.columns if keep is None else keep) if c not in ("language", "confidence")]
