@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from assayer import core
 from assayer.operators import evaluate, prepare, target
+from assayer.operators.birch import Birch, WardOverLeaves
 from assayer.operators.neighbours import Knn
 
 
@@ -146,6 +147,8 @@ for _m in (
     Model("kmeans_clustering", "clustering", lambda f: RestartedKMeans(), ("kmeans",)),
     Model("minibatch_kmeans_clustering", "clustering", lambda f: MiniBatchKMeans(), ("minibatch_kmeans",)),
     Model("bisecting_kmeans_clustering", "clustering", lambda f: K.BisectingKMeans(k=8, seed=42)),
+    Model("birch_clustering", "clustering", lambda f: Birch(), ("birch",)),
+    Model("agglomerative_clustering", "clustering", lambda f: WardOverLeaves(), ("agglomerative", "hierarchical")),
 ):
     register(_m)
 

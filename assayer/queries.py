@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from assayer import core
 from assayer.functions import stats
-from assayer.operators import charts, datetimes, evaluate, frequency, neighbours, prepare, profile, quality, target
+from assayer.operators import birch, charts, datetimes, evaluate, frequency, neighbours, prepare, profile, quality, spanning, target
 from assayer.plans import audit, models
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -540,6 +540,50 @@ add(
        l AS (SELECT k, min(m) AS m FROM r GROUP BY k)
        SELECT t.k AS s_suppkey, coalesce((SELECT m FROM l WHERE l.k = t.k), (SELECT min(l.m) FROM p JOIN l ON l.k = p.b WHERE p.a = t.k), -1) AS cluster FROM t""",
 )
+
+
+def balances(s: SparkSession, d: str) -> DataFrame:
+    """Suppliers as points: balance in thousands and nation."""
+    return table(s, d, "supplier").select("s_suppkey", (F.col("s_acctbal") / 1000).alias("x"), F.col("s_nationkey").cast("double").alias("y"))
+
+
+POINTS = "t AS (SELECT s_suppkey AS k, s_acctbal / 1000 AS x, s_nationkey::DOUBLE AS y FROM supplier), q AS (SELECT a.k AS a, b.k AS b, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS d FROM t a JOIN t b ON true)"
+add(
+    "m23_single_linkage",
+    lambda s, d: spanning.single_linkage(balances(s, d), "s_suppkey", ["x", "y"], k=None, height=1.05),
+    f"""WITH RECURSIVE {POINTS}, r(k, m) AS (SELECT k, k FROM t UNION SELECT q.b, r.m FROM r JOIN q ON q.a = r.k AND q.d <= 1.05)
+       SELECT k AS s_suppkey, min(m) AS cluster FROM r GROUP BY k""",
+)
+add("m23_ward", lambda s, d: birch.agglomerative(balances(s, d), "s_suppkey", ["x", "y"], 5))
+
+
+def density_order(s: SparkSession, d: str) -> DataFrame:
+    """DBSCAN's dense rows and noise, cut from the density order of suppliers; the core distance of each."""
+    order = spanning.optics(balances(s, d), "s_suppkey", ["x", "y"], 4)
+    cut = spanning.density_cut(order, "s_suppkey", 1.1)
+    joined = order.select("s_suppkey", "core").join(cut, "s_suppkey")
+    dense = F.col("core") <= 1.1
+    return rounded(joined.select("s_suppkey", "core", F.when(dense, F.col("cluster")).alias("cluster"), (F.col("cluster") == -1).alias("noise")))
+
+
+add(
+    "m22_optics_cut",
+    density_order,
+    f"""WITH RECURSIVE {POINTS}, n AS (SELECT a, b, d, row_number() OVER (PARTITION BY a ORDER BY d, b) AS i FROM q),
+       c AS (SELECT a AS k, d AS core FROM n WHERE i = 4), e AS (SELECT k FROM c WHERE core <= 1.1),
+       r(k, m) AS (SELECT k, k FROM e UNION SELECT q.b, r.m FROM r JOIN q ON q.a = r.k AND q.d <= 1.1 JOIN e ON e.k = q.b),
+       l AS (SELECT k, min(m) AS m FROM r GROUP BY k)
+       SELECT t.k AS s_suppkey, round(coalesce(c.core, 'inf'::DOUBLE), 6) AS core, l.m AS cluster,
+         NOT EXISTS (SELECT 1 FROM q JOIN e ON e.k = q.b WHERE q.a = t.k AND q.d <= 1.1) AS noise
+       FROM t LEFT JOIN c USING (k) LEFT JOIN l USING (k)""",
+)
+add(
+    "m24_birch_sums",
+    lambda s, d: birch.feature_sums(table(s, d, "customer"), ["c_acctbal", "c_nationkey"], 500.0).select("column", "n", F.round("total", 2).alias("total")),
+    """SELECT 'c_acctbal' AS "column", count(c_acctbal) AS n, round(sum(c_acctbal), 2) AS total FROM customer
+       UNION ALL SELECT 'c_nationkey', count(c_nationkey), round(sum(c_nationkey)::DOUBLE, 2) FROM customer""",
+)
+add("m24_birch", lambda s, d: models.cluster(table(s, d, "customer").select("c_custkey", "c_acctbal", "c_nationkey"), "c_custkey", "birch", 3))
 add("e8_model_comparison", model_comparison)
 add("e20_clustering", clustering)
 
