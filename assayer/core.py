@@ -35,6 +35,20 @@ class DomainError(AssayError):
 class IngestionError(AssayError): ...
 
 
+class MalformedInputError(IngestionError):
+    """Text that is no table; ``line`` is where, counted from 1, or the number of a record."""
+
+    def __init__(self, message: str, line: int | None = None) -> None:
+        super().__init__(message)
+        self.line = line
+
+
+class EncodingError(IngestionError): ...
+
+
+class DuplicateHeadersError(IngestionError, SchemaError): ...
+
+
 class LimitExceededError(IngestionError):
     def __init__(self, limit: str, configured: int, observed: int) -> None:
         super().__init__(f"{limit} is {configured}, found {observed}")

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assayer import core
+from assayer.sources import structure
 
 FORMATS = {
     "csv": "csv", "tsv": "tsv", "json": "json", "jsonl": "jsonl", "ndjson": "jsonl", "parquet": "parquet", "orc": "orc",
@@ -41,6 +42,7 @@ class Limits:
     max_field_length: int | None = None
     max_records: int | None = 1_000_000
     max_keys_per_record: int | None = 1_000
+    max_record_chars: int | None = None
 
 
 #: The bounds of a single local file, as an interactive audit uses them.
@@ -107,22 +109,20 @@ def choose_delimiter(spark: SparkSession, path: str, encoding: str) -> str:
 
 
 def read_delimited(spark: SparkSession, path: str, options: Options, default: str | None = None) -> Loaded:
-    """All columns as text first; a row of another width than the header is refused."""
+    """All columns as text first, after a scan that refuses what is no table; see ``structure.check_delimited``.
+
+    Files whose records are single lines are read by Spark's own reader; others are read
+    split by split, so a quoted line feed costs no parallelism.
+    """
     encoding = ENCODINGS[options.encoding]
     delimiter = options.delimiter or default or choose_delimiter(spark, path, encoding)
-    reader = spark.read.options(sep=delimiter, encoding=encoding, header=options.header, multiLine=True, quote='"', escape='"', nullValue="")
-    shape = reader.csv(path)
-    names = [n.lstrip("﻿") for n in shape.columns]
-    if len({n.lower() for n in names}) < len(names):
-        raise core.SchemaError("header names repeat")
-    broken = "__broken"
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, broken]])
-    raw = reader.options(mode="PERMISSIVE", columnNameOfCorruptRecord=broken, enforceSchema=True).schema(schema).csv(path)
-    kept = raw.persist()  # Spark refuses to read the broken column by itself from a file
-    bad = kept.agg(F.count(broken)).first()[0]
-    if bad:
-        raise core.IngestionError(f"{bad} rows differ in width from the header")
-    return Loaded(type_text(kept.drop(broken)), "csv" if delimiter == "," else "tsv", {"delimiter": delimiter})
+    shape = structure.check_delimited(spark, path, delimiter, options.encoding, options.header)
+    if shape.spans or (options.encoding == "utf-8-sig" and not options.header):
+        raw = structure.records_of(spark, path, delimiter, options.encoding, options.header, shape)
+    else:
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in shape.names])
+        raw = spark.read.options(sep=delimiter, encoding=encoding, header=options.header, quote='"', escape='"', nullValue="", enforceSchema=True).schema(schema).csv(path)
+    return Loaded(type_text(raw), "csv" if delimiter == "," else "tsv", {"delimiter": delimiter, "rows": shape.records})
 
 
 def token_kinds(c: Column) -> Column:
@@ -160,13 +160,23 @@ def type_text(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-def read_json(spark: SparkSession, path: str, options: Options, lines: bool) -> Loaded:
-    """Flat objects; broken text and nested values are refused."""
-    df = spark.read.options(multiLine=not lines, mode="FAILFAST", encoding=ENCODINGS[options.encoding]).json(path)
-    for f in df.schema.fields:
-        if isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType)):
-            raise core.SchemaError(f"{f.name} is nested")
-    return Loaded(df, "jsonl" if lines else "json")
+JSON_KINDS = {
+    frozenset({"boolean"}): T.BooleanType(), frozenset({"long"}): T.LongType(), frozenset({"double"}): T.DoubleType(), frozenset({"long", "double"}): T.DoubleType(),
+    frozenset({"wide"}): T.DecimalType(38, 0), frozenset({"long", "wide"}): T.DecimalType(38, 0), frozenset({"wide", "double"}): T.DoubleType(), frozenset({"long", "wide", "double"}): T.DoubleType(),
+}
+
+
+def read_json(spark: SparkSession, path: str, options: Options, lines: bool, limits: Limits = Limits()) -> Loaded:
+    """Flat objects. Broken text, repeated keys, NaN and Infinity, and nested values are refused by their line.
+
+    The strict scan also says what each key holds, so Spark's reader needs no pass of its own
+    for the types. Lines are scanned in splits; a document is one task.
+    """
+    check = structure.check_json_lines if lines else structure.check_json_documents
+    keys = check(spark, path, options.encoding, structure.RecordLimits(limits.max_keys_per_record, limits.max_record_chars))
+    schema = T.StructType([T.StructField(k, JSON_KINDS.get(frozenset(kinds), T.StringType())) for k, kinds in keys.items()])
+    settings = {"lineSep": "\n"} if lines else {"multiLine": True}
+    return Loaded(spark.read.options(mode="FAILFAST", encoding=ENCODINGS[options.encoding], **settings).schema(schema).json(path), "jsonl" if lines else "json")
 
 
 def read_arrow(spark: SparkSession, path: str) -> Loaded:
@@ -259,7 +269,7 @@ def load_table(spark: SparkSession, source: Any, options: Options = Options(), l
         if kind in ("csv", "tsv"):
             loaded = read_delimited(spark, source, options, "\t" if kind == "tsv" else None)
         elif kind in ("json", "jsonl"):
-            loaded = read_json(spark, source, options, kind == "jsonl")
+            loaded = read_json(spark, source, options, kind == "jsonl", limits)
         elif kind in ("parquet", "orc"):
             loaded = Loaded(spark.read.format(kind).load(source), kind)
         elif kind == "arrow":
