@@ -43,6 +43,9 @@ class MalformedInputError(IngestionError):
         self.line = line
 
 
+class NestedValueError(MalformedInputError, SchemaError): ...
+
+
 class EncodingError(IngestionError): ...
 
 
@@ -131,9 +134,11 @@ def columns_of(df: DataFrame, *wanted: str) -> list[str]:
 
 
 def normalize(df: DataFrame) -> DataFrame:
-    """NaN becomes NULL in every floating column, so one value means missing."""
-    floats = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))}
-    return df.select(*[F.nanvl(F.col(f"`{c}`"), F.lit(None)).alias(c) if c in floats else F.col(f"`{c}`") for c in df.columns])
+    """NaN becomes NULL in every floating column, so one value means missing, and -0.0 becomes 0.0."""
+    floats = {f.name: f.dataType for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))}
+    named = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    plain = lambda c: (F.nanvl(named(c), F.lit(None)) + F.lit(0.0).cast(floats[c])).alias(c)
+    return df.select(*[plain(c) if c in floats else named(c) for c in df.columns])
 
 
 def finite(c: Column) -> Column:

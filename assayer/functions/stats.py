@@ -7,6 +7,7 @@ aggregated unless their text says otherwise.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -118,9 +119,35 @@ def covariance(x: Column, y: Column, ddof: int = 1) -> Column:
 
 
 def pearson(x: Column, y: Column) -> Column:
-    """NULL if either side is constant or fewer than two pairs are complete."""
+    """NULL if either side is constant, fewer than two pairs are complete or a value is infinite.
+
+    A correlation has no unit, so where squares leave the doubles a side is measured in a larger or a smaller one.
+    """
+    a, b = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    plain = lambda u, v: within_doubles(F.covar_pop(u, v) / F.nullif(F.stddev_pop(u) * F.stddev_pop(v), F.lit(0.0)))
+    big, small = F.lit(2.0**550), F.lit(2.0**-550)
+    return F.coalesce(*[plain(a / u if u is not None else a, b / v if v is not None else b) for u in (None, big, small) for v in (None, big, small)])
+
+
+def correlated(x: Column, y: Column) -> Column:
+    """``pearson`` of columns that ``measured`` has put near 1: one unit serves."""
     a, b = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
-    return F.covar_pop(a, b) / F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))
+    return within_doubles(F.covar_pop(a, b) / F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0)))
+
+
+def measured(df: DataFrame, columns: dict[str, Column]) -> dict[str, Column]:
+    """The columns in units of their largest magnitude where squares of that would leave the doubles; one aggregate of maxima decides.
+
+    Units are powers of two, so no digit changes.
+    """
+    if not columns:
+        return {}
+    tops = df.agg(*[F.max(F.abs(c)).alias(f"t{i}") for i, c in enumerate(columns.values())]).first()
+    out = {}
+    for (name, c), top in zip(columns.items(), tops, strict=True):
+        e = math.frexp(top)[1] if top and math.isfinite(top) else 0
+        out[name] = c / F.lit(2.0 ** (e // 2)) / F.lit(2.0 ** (e - e // 2)) if abs(e) > 300 else c
+    return out
 
 
 def describe(x: Column) -> list[Column]:
@@ -262,7 +289,7 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
         both.join(rx.select(F.col("value").alias("x"), F.col("rank").alias("a")), "x")
         .join(ry.select(F.col("value").alias("y"), F.col("rank").alias("b")), "y")
     )
-    return joined.agg(pearson(F.col("a"), F.col("b")).alias("spearman"))
+    return joined.agg(correlated(F.col("a"), F.col("b")).alias("spearman"))
 
 
 def kendall(df: DataFrame, x: str, y: str) -> DataFrame:

@@ -21,11 +21,15 @@ def histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
     x = core.finite(quoted(column))
     values = df.select(x.alias("x")).where("x IS NOT NULL")
     ends = values.agg(F.min("x").alias("a"), F.max("x").alias("b"))
-    wide = (F.col("b") - F.col("a")) / bins
-    place = F.when(F.col("b") > F.col("a"), F.least(F.lit(bins - 1), F.floor((F.col("x") - F.col("a")) / F.nullif(wide, F.lit(0.0))))).otherwise(0)
+    wide = F.col("b") / bins - F.col("a") / bins  # the whole range may be no double
+    near = F.col("b") - F.col("a") < float("inf")
+    wide = F.when(near, (F.col("b") - F.col("a")) / bins).otherwise(wide)
+    reached = F.when(near, (F.col("x") - F.col("a")) / F.nullif(wide, F.lit(0.0))).otherwise((F.col("x") / 2 - F.col("a") / 2) / F.nullif(wide / 2, F.lit(0.0)))
+    place = F.when(F.col("b") > F.col("a"), F.least(F.lit(bins - 1), F.floor(reached))).otherwise(0)
     binned = values.join(F.broadcast(ends)).withColumn("bin", place.cast("int"))
+    edge = lambda k: F.when(near, F.col("a") + k * wide).otherwise(F.col("a") * ((bins - k) / bins) + F.col("b") * (k / bins))
     return binned.groupBy("bin").agg(F.count("*").alias("count"), F.first("a").alias("a"), F.first("b").alias("b")).select(
-        "bin", (F.col("a") + F.col("bin") * wide).alias("low"), (F.col("a") + (F.col("bin") + 1) * wide).alias("high"), "count"
+        "bin", edge(F.col("bin")).alias("low"), edge(F.col("bin") + 1).alias("high"), "count"
     )
 
 
@@ -50,9 +54,9 @@ def missing_view(df: DataFrame) -> DataFrame:
 
 def heatmap(df: DataFrame, columns: list[str]) -> DataFrame:
     """Correlations of all pairs of columns from one aggregate, both ways round and 1 on the diagonal."""
-    x = {c: core.finite(quoted(c)) for c in columns}
+    x = stats.measured(df, {c: core.finite(quoted(c)) for c in columns})
     parts = [
-        F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), (F.lit(1.0) if a == b else stats.pearson(x[a], x[b])).alias("r"))
+        F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), (F.lit(1.0) if a == b else stats.correlated(x[a], x[b])).alias("r"))
         for i, a in enumerate(columns)
         for b in columns[i:]
     ]
@@ -81,8 +85,8 @@ def scatter(df: DataFrame, x: str, y: str, key: str, n: int = 2_000) -> DataFram
 
 
 def target_associations(df: DataFrame, target: str, columns: list[str]) -> DataFrame:
-    t = core.finite(quoted(target))
-    parts = [F.struct(F.lit(c).alias("column"), F.abs(stats.pearson(core.finite(quoted(c)), t)).alias("r")) for c in columns]
+    x = stats.measured(df, {c: core.finite(quoted(c)) for c in {*columns, target}})
+    parts = [F.struct(F.lit(c).alias("column"), F.abs(stats.correlated(x[c], x[target])).alias("r")) for c in columns]
     return df.agg(F.array(*parts).alias("a")).select(F.inline("a")).orderBy(F.desc_nulls_last("r"), "column")
 
 

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assayer import core
+from assayer.operators.profile import quoted
+
 
 def split_rows(df: DataFrame, key: str, share: float = 0.2, seed: int = 42, stratify: str | None = None) -> DataFrame:
     """Add ``split``: ``evaluation`` for the rows of least hash, of each class if stratified.
@@ -18,6 +25,109 @@ def split_rows(df: DataFrame, key: str, share: float = 0.2, seed: int = 42, stra
     return df.withColumn("split", F.when(u < share, "evaluation").otherwise("train"))
 
 
+@dataclass(frozen=True)
+class Split:
+    """Rows with ``split``, and what was done: sizes by class, whether every class is on both sides, and why."""
+
+    rows: DataFrame
+    sizes: dict[str | None, tuple[int, int]]  # class: train, evaluation
+    stratified: bool
+    note: str
+
+
+HASH_RANGES = 4096  # of a class, whose sizes tell which one holds the cut
+
+
+def allocate(counts: dict[str | None, int], share: float) -> dict[str | None, int]:
+    """Evaluation rows of each class: ``ceil(share * rows)`` in all.
+
+    Training rows are dealt in proportion, the last ones by largest remainder, ties to the lesser class.
+    """
+    total = sum(counts.values())
+    train = total - math.ceil(share * total - 1e-9)
+    exact = {c: Fraction(n * train, total) for c, n in counts.items()}
+    out = {c: int(x) for c, x in exact.items()}
+    order = sorted(counts, key=lambda c: (out[c] - exact[c], c or ""))
+    for c in order[: train - sum(out.values())]:
+        out[c] += 1
+    return {c: n - out[c] for c, n in counts.items()}
+
+
+def split_exact(df: DataFrame, key: str, share: float = 0.2, seed: int = 42, stratify: str | None = None) -> Split:
+    """Split whose sizes are exact: the rows of least hash of key and seed are for evaluation, in each class if stratified.
+
+    No side is sorted as a whole. Counts of hash ranges say which range of a class holds the cut, and
+    only that range's rows are ranked. The split depends on keys and seed, not on partitions. A class of one
+    row, or more classes than a side has rows, is split without strata, as the note says. Refused are
+    fewer than two rows, missing classes, and sides that would be empty.
+    """
+    if not 0 < share < 1:
+        raise core.ConfigurationError("the share lies between 0 and 1")
+    named = quoted(stratify).cast("string") if stratify else F.lit(None).cast("string")
+    counts = {r["c"]: r["n"] for r in df.groupBy(named.alias("c")).agg(F.count("*").alias("n")).collect()}  # a row a class
+    total = sum(counts.values())
+    if total < 2:
+        raise core.EmptyDataError(f"a split needs two rows, the table has {total}")
+    if stratify and None in counts:
+        raise core.DomainError(f"the target is missing in {counts[None]} rows")
+    evaluation = math.ceil(share * total - 1e-9)
+    if not 0 < evaluation < total:
+        raise core.DomainError("one side of the split would be empty")
+    note = "rows divided by hash without strata"
+    if stratify:
+        rarest = min(counts, key=lambda c: (counts[c], c))
+        asked = round(total * share)
+        if counts[rarest] < 2:
+            stratify, note = None, f"not stratified: the class {rarest} has one row, and each side needs one"
+        elif asked < len(counts) or total - asked < len(counts):
+            stratify, note = None, f"not stratified: {len(counts)} classes do not fit into {min(asked, total - asked)} rows"
+        else:
+            note = f"the shares of {len(counts)} classes are kept"
+    if stratify is None:
+        named, counts = F.lit(None).cast("string"), {None: total}
+    want = allocate(counts, share)
+    spark = df.sparkSession
+    hashed = df.withColumns({"__class": named, "__h": F.xxhash64(F.lit(seed), quoted(key))})
+    hashed = hashed.withColumn("__range", F.shiftright("__h", 52))  # -2048 to 2047, in the order of hashes
+    order = Window.partitionBy("__class").orderBy("__range")
+    ranges = hashed.groupBy("__class", "__range").agg(F.count("*").alias("n"))
+    seen = ranges.withColumn("upto", F.sum("n").over(order))
+    asked_of = spark.createDataFrame([(c, n) for c, n in want.items()], "c string, want long")
+    cuts = seen.join(F.broadcast(asked_of), F.col("__class").eqNullSafe(F.col("c"))).where((F.col("upto") >= F.col("want")) & (F.col("upto") - F.col("n") < F.col("want")))
+    cuts = cuts.select(F.col("c").alias("__c"), F.col("__range").alias("__cut"), (F.col("want") - F.col("upto") + F.col("n")).alias("__want"))
+    placed = hashed.join(F.broadcast(cuts), F.col("__class").eqNullSafe(F.col("__c")), "left")
+    clear = placed.where(F.col("__cut").isNull() | (F.col("__range") != F.col("__cut")))
+    clear = clear.withColumn("split", F.when(F.col("__range") < F.col("__cut"), "evaluation").otherwise("train"))
+    ties = F.xxhash64(*[quoted(c) for c in df.columns])
+    rank = F.row_number().over(Window.partitionBy("__class").orderBy("__h", quoted(key), ties))
+    edge = placed.where(F.col("__range") == F.col("__cut")).withColumn("split", F.when(rank <= F.col("__want"), "evaluation").otherwise("train"))
+    rows = clear.unionByName(edge).select(*[quoted(c) for c in df.columns], "split")
+    sizes = {c: (counts[c] - want[c], want[c]) for c in counts}
+    return Split(rows, sizes, stratify is not None and all(a and b for a, b in sizes.values()), note)
+
+
+def overlap(train: DataFrame, test: DataFrame) -> DataFrame:
+    """``test_rows``, ``shared_rows`` (test rows equal to some training row, on the columns both have) and ``shared_ratio``.
+
+    Missing equals missing. Rows that repeat are counted before they are joined, so a
+    hot row is one row on either side; the join is by a digest and then by the values.
+    """
+    shared = [c for c in train.columns if c in test.columns]
+    if not shared:
+        raise core.SchemaError("the tables have no column in common")
+    side = lambda df: core.normalize(df.select(*[quoted(c) for c in shared])).toDF(*[f"c{i}" for i in range(len(shared))])
+    names = [f"c{i}" for i in range(len(shared))]
+    mine = side(test).groupBy(*names).agg(F.count("*").alias("n")).withColumn("h", F.xxhash64(*names))
+    seen = side(train).distinct().withColumn("h", F.xxhash64(*names)).toDF(*[f"{c}_" for c in names], "h_")
+    same = F.col("h") == F.col("h_")
+    for c in names:
+        same = same & F.col(c).eqNullSafe(F.col(f"{c}_"))
+    met = mine.join(seen.withColumn("met", F.lit(True)), same, "left")
+    both = F.coalesce(F.sum(F.when(F.col("met"), F.col("n"))), F.lit(0))
+    rows = F.coalesce(F.sum("n"), F.lit(0))
+    return met.agg(rows.alias("test_rows"), both.alias("shared_rows"), (both / F.nullif(rows, F.lit(0))).alias("shared_ratio"))
+
+
 def split_digest(df: DataFrame, key: str) -> DataFrame:
     """Order-free digest of each side."""
     return df.groupBy("split").agg(F.count("*").alias("rows"), F.bit_xor(F.xxhash64(key)).alias("digest"))
@@ -111,7 +221,7 @@ def silhouette(df: DataFrame, key: str, label: str, columns: list[str]) -> DataF
     rows = df.where(F.col(label) >= 0).select(F.col(key).alias("k"), F.col(label).alias("l"), *columns)
     size = rows.limit(SILHOUETTE_ROWS + 1).count()
     if size > SILHOUETTE_ROWS:
-        raise ValueError(f"more than {SILHOUETTE_ROWS} rows: not computed, and never sampled")
+        raise core.LimitExceededError("silhouette rows", SILHOUETTE_ROWS, size)
     other = rows.toDF("k2", "l2", *[f"o_{c}" for c in columns])
     d = distance([F.col(c) for c in columns], [F.col(f"o_{c}") for c in columns])
     sums = rows.join(F.broadcast(other), F.col("k") != F.col("k2")).groupBy("k", "l", "l2").agg(F.avg(d).alias("m"))

@@ -5,23 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assayer import core
 from assayer.functions import stats
+from assayer.operators.profile import quoted
 
 
 def value_counts(df: DataFrame, column: str, order: str, dropna: bool = True) -> DataFrame:
-    """``value``, ``count`` and ``first`` (least ``order`` among its rows): ties go to the earliest."""
-    kept = df.where(F.col(column).isNotNull()) if dropna else df
-    return kept.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("count"), F.min(order).alias("first"))
+    """``value``, ``count`` and ``first`` (least ``order`` among its rows): ties go to the earliest. NaN is missing."""
+    rows = core.normalize(df.select(quoted(column).alias("value"), quoted(order).alias("__order")))
+    kept = rows.where(F.col("value").isNotNull()) if dropna else rows
+    return kept.groupBy("value").agg(F.count("*").alias("count"), F.min("__order").alias("first"))
 
 
 def frequency_table(df: DataFrame, column: str, missing: str = "omit") -> DataFrame:
     """value, count, relative, percentage, cumulative and cumulative_relative, by value.
 
-    ``missing`` is ``omit`` or ``include`` (NULL is then a value, sorted first). The
+    ``missing`` is ``omit`` or ``include`` (NULL is then a value, sorted first); NaN is missing. The
     table has a row a distinct value; its running sums are taken over ranges of values.
     """
-    kept = df if missing == "include" else df.where(F.col(column).isNotNull())
-    counts = kept.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("count"))
+    rows = core.normalize(df.select(quoted(column).alias("value")))
+    kept = rows if missing == "include" else rows.where(F.col("value").isNotNull())
+    counts = kept.groupBy("value").agg(F.count("*").alias("count"))
     total = counts.agg(F.sum("count").alias("total"))
     return (
         stats.running(counts, ["value"], "count")
@@ -39,12 +43,14 @@ def frequency_table(df: DataFrame, column: str, missing: str = "omit") -> DataFr
 
 
 def grouped_tally(df: DataFrame, feature: str, target: str) -> DataFrame:
-    return df.groupBy(feature, target).agg(F.count("*").alias("count"))
+    both = core.normalize(df.select(quoted(feature).alias(feature), quoted(target).alias(target)))
+    return both.groupBy(quoted(feature), quoted(target)).agg(F.count("*").alias("count"))
 
 
 def top_k_other(df: DataFrame, column: str, k: int, other: str = "Other") -> DataFrame:
     """The k commonest values (ties by value) and the rest as one; its name avoids the values."""
-    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("label")).agg(F.count("*").alias("count"))
+    rows = core.normalize(df.select(quoted(column).alias("value"))).where(F.col("value").isNotNull())
+    counts = rows.groupBy(F.col("value").cast("string").alias("label")).agg(F.count("*").alias("count"))
     top = counts.orderBy(F.desc("count"), "label").limit(k)
     taken = {r["label"] for r in top.collect()}  # k rows
     while other in taken:

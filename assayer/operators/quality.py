@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayer import core
@@ -18,7 +18,21 @@ FINDING = "code string, severity string, column string, value double, requires_r
 NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 #: A check of one's own: the table and the name of its key, to findings.
 Check = Callable[[DataFrame, str], DataFrame]
-AFTER_OUTCOME = r"(?i)(reason|outcome|result|status_after|closed|churned|cancell?ed|resolved|final)"
+# Words of a name that say a column is known only after the outcome, and endings of the time of an event.
+AFTER_OUTCOME = (
+    "outcome", "result", "resolution", "final", "closed", "cancel", "cancelled", "cancellation", "churn", "churned", "converted", "conversion",
+    "repaid", "refund", "refunded", "settled", "label", "target", "groundtruth", "ground_truth", "probability", "prediction", "predicted",
+)
+EVENT_TIME = ("_at", "_date", "_time", "_timestamp", "_ts")
+
+
+def name_signal(column: Column, target: str) -> Column:
+    """What a column's name alone says against it: that it holds the target's name, or a word for what comes after the outcome; else NULL."""
+    low = F.lower(column)
+    after = column.rlike(rf"(?i)(^|[^a-z])({'|'.join(AFTER_OUTCOME)})([^a-z]|$)")
+    timed = low.rlike(rf"({'|'.join(EVENT_TIME)})$")
+    holds = (low != target.lower()) & low.contains(target.lower())
+    return F.when(holds, "name_contains_target").when(after & timed, "post_outcome_timestamp_name").when(after, "post_outcome_name")
 
 
 def from_profile(profile: DataFrame, target: str | None = None, config: core.Config = core.Config()) -> DataFrame:
@@ -125,12 +139,13 @@ def leakage(df: DataFrame, target: str, config: core.Config = core.Config()) ->
     features = [c for c in df.columns if c != target]
     t = quoted(target)
     numeric = (core.NUMERIC, core.BOOLEAN)
-    r = lambda c: stats.pearson(core.finite(quoted(c)) if kinds[c] == core.NUMERIC else quoted(c).cast("double"), core.finite(t) if kinds[target] == core.NUMERIC else t.cast("double"))
+    as_number = {c: core.finite(quoted(c)) if kinds[c] == core.NUMERIC else quoted(c).cast("double") for c in df.columns if kinds[c] in numeric}
+    x = stats.measured(df, as_number) if target in as_number else {}
     one = [
         F.struct(
             F.lit(c).alias("column"),
             F.coalesce(F.bool_and(quoted(c).cast("string").eqNullSafe(t.cast("string")) & t.isNotNull()), F.lit(False)).alias("copy"),
-            (r(c) if kinds[c] in numeric and kinds[target] in numeric else F.lit(None).cast("double")).alias("correlation"),
+            (stats.correlated(x[c], x[target]) if c in x else F.lit(None).cast("double")).alias("correlation"),
         )
         for c in features
     ]
@@ -143,11 +158,11 @@ def leakage(df: DataFrame, target: str, config: core.Config = core.Config()) ->
         cells.groupBy("column", "v").agg(F.min("t").alias("a"), F.max("t").alias("b"), F.count("*").alias("n"))
         .groupBy("column").agg(F.bool_and(F.col("a") == F.col("b")).alias("maps"), F.count("*").alias("unique"), F.sum("n").alias("rows"))
     )
-    name = F.lower("column").contains(target.lower()) | F.col("column").rlike(AFTER_OUTCOME)
+    signal = name_signal(F.col("column"), target)
     return sides.join(mapped, "column", "left").select(
         "column", "copy",
         (F.coalesce("maps", F.lit(False)) & F.col("unique").between(F.lit(2), F.greatest(F.lit(2), F.floor(F.col("rows") / 2)))).alias("deterministic"),
-        (F.coalesce(F.abs("correlation"), F.lit(0.0)) >= config.leakage_correlation).alias("extreme"), name.alias("suspicious_name"), "correlation",
+        (F.coalesce(F.abs("correlation"), F.lit(0.0)) >= config.leakage_correlation).alias("extreme"), signal.isNotNull().alias("suspicious_name"), "correlation",
     )
 
 
@@ -180,7 +195,7 @@ def inspect(df: DataFrame, order: str, target: str | None = None, config: core.C
     if target is not None:
         hints = leakage(df, target, config)
         found.append(hints.where("copy").select(*make("target_leakage_exact_duplicate", F.lit("ERROR"), F.lit(1.0))))
-        found.append(hints.where("NOT copy AND (deterministic OR extreme)").select(*make("possible_target_leakage", F.lit("WARNING"), F.coalesce("correlation", F.lit(1.0)), True)))
+        found.append(hints.where("NOT copy AND (deterministic OR extreme OR suspicious_name)").select(*make("possible_target_leakage", F.lit("WARNING"), F.coalesce("correlation", F.lit(1.0)), True)))
         unequal = imbalance(df, target, config).where("imbalanced").withColumn("column", F.lit(target))
         found.append(unequal.select(*make("class_imbalance", F.lit("WARNING"), F.col("minority"))))
     names = [part.split()[0] for part in FINDING.split(", ")]

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer import core
+from assayer.functions import stats
+from assayer.operators.profile import quoted
 
 
 @dataclass(frozen=True)
@@ -17,6 +19,7 @@ class TargetProfile:
     positive: str | None
     minority_ratio: float | None
     imbalance: float | None
+    numeric: dict[str, float | None] | None = None  # of a regression target: minimum, maximum, mean, std, quartiles and iqr
 
 
 def facts(df: DataFrame, target: str) -> DataFrame:
@@ -56,7 +59,12 @@ def detect(df: DataFrame, target: str, hint: str | None = None, config: core.Con
     if task == "ambiguous":
         raise core.AmbiguousTaskError("name the task of this target")
     if task == "regression":
-        return TargetProfile(task, None, None, None, None)
+        x = core.finite(quoted(target))
+        quarters = stats.quantiles_of(df, {target: x}, [0.25, 0.5, 0.75])[target]
+        side = df.agg(F.min(x).alias("minimum"), F.max(x).alias("maximum"), stats.mean(x).alias("mean"), F.when(F.count(x) > 1, stats.std(x)).alias("std")).first().asDict()
+        wide = None if quarters[0] is None else quarters[2] - quarters[0]
+        numeric = side | dict(zip(("q25", "median", "q75", "iqr"), (*quarters, wide), strict=True))
+        return TargetProfile(task, None, None, None, None, numeric)
     counts = class_counts(df, target)
     side = counts.agg(F.count("*").alias("n"), F.min("count").alias("a"), F.max("count").alias("b"), F.sum("count").alias("s")).first()
     positive = None

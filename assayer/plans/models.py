@@ -184,7 +184,7 @@ def train(df: DataFrame, key: str, goal: str, names: list[str], task: str | None
     models = [resolve(n, task) for n in names]
     labels = target.fit_labels(df, goal) if task == "classification" else None
     rows = target.encode(df, goal, labels) if labels is not None else df.withColumn("code", F.col(goal).cast("double"))
-    rows = evaluate.split_rows(rows, key, config.validation_size, config.random_state, goal if labels is not None else None)
+    rows = evaluate.split_exact(rows, key, config.validation_size, config.random_state, goal if labels is not None else None).rows
     rows = rows.withColumnRenamed("code", "label").withColumn("label", F.col("label").cast("double"))
     side = lambda s: rows.where(F.col("split") == s)
     features = [c for c in df.columns if c not in (key, goal)]

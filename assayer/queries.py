@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from assayer import core
 from assayer.functions import stats
-from assayer.operators import birch, charts, datetimes, evaluate, frequency, neighbours, prepare, profile, quality, spanning, target
+from assayer.operators import birch, charts, datetimes, evaluate, frequency, neighbours, pairs, prepare, profile, quality, spanning, target
 from assayer.plans import audit, models
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -584,6 +584,88 @@ add(
        UNION ALL SELECT 'c_nationkey', count(c_nationkey), round(sum(c_nationkey)::DOUBLE, 2) FROM customer""",
 )
 add("m24_birch", lambda s, d: models.cluster(table(s, d, "customer").select("c_custkey", "c_acctbal", "c_nationkey"), "c_custkey", "birch", 3))
+
+
+def split_sizes(s: SparkSession, d: str) -> DataFrame:
+    """Rows of each status on each side of an exact stratified split of orders."""
+    rows = evaluate.split_exact(table(s, d, "orders"), "o_orderkey", 0.3, 7, "o_orderstatus").rows
+    return rows.groupBy("o_orderstatus", "split").agg(F.count("*").alias("n"), F.count_distinct("o_orderkey").alias("keys"))
+
+
+add(
+    "e1_exact_split",
+    split_sizes,
+    """WITH c AS (SELECT o_orderstatus AS s, count(*) AS n FROM orders GROUP BY 1), t AS (SELECT sum(n) AS total, sum(n) - ceil(0.3 * sum(n) - 1e-9) AS train FROM c),
+       e AS (SELECT s, n, train, (n * train) // total AS low, (n * train) % total AS rest FROM c, t),
+       k AS (SELECT *, low + CASE WHEN row_number() OVER (ORDER BY rest DESC, s) <= train - sum(low) OVER () THEN 1 ELSE 0 END AS kept FROM e)
+       SELECT s AS o_orderstatus, 'train' AS split, kept::BIGINT AS n, kept::BIGINT AS keys FROM k
+       UNION ALL SELECT s, 'evaluation', (n - kept)::BIGINT, (n - kept)::BIGINT FROM k""",
+)
+SHARED = ["l_quantity", "l_discount", "l_returnflag", "l_linestatus"]
+
+
+def shared_rows(s: SparkSession, d: str) -> DataFrame:
+    """Rows of every fifth order that some other order's rows repeat, on four columns, one of them with gaps."""
+    t = table(s, d, "lineitem").withColumn("l_discount", F.when(F.col("l_discount") != 0.05, F.col("l_discount"))).select("l_orderkey", *SHARED)
+    fifth = F.col("l_orderkey") % 5 == 0
+    return rounded(evaluate.overlap(t.where(~fifth & (F.col("l_quantity") != 17)).drop("l_orderkey"), t.where(fifth).drop("l_orderkey")))
+
+
+add(
+    "j1_train_test_overlap",
+    shared_rows,
+    """WITH t AS (SELECT l_orderkey % 5 = 0 AS test, l_quantity AS q, CASE WHEN l_discount <> 0.05 THEN l_discount END AS d, l_returnflag AS r, l_linestatus AS s FROM lineitem),
+       a AS (SELECT DISTINCT q, d, r, s FROM t WHERE NOT test AND q <> 17)
+       SELECT count(*) AS test_rows, count(a.q) AS shared_rows, round(count(a.q) / count(*), 6) AS shared_ratio
+       FROM t LEFT JOIN a ON t.q = a.q AND t.d IS NOT DISTINCT FROM a.d AND t.r = a.r AND t.s = a.s WHERE test""",
+)
+MEASURES = ["l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+PAIRS = " UNION ALL ".join(f"SELECT '{a}' AS x, '{b}' AS y, corr({a}, {b}) AS r FROM lineitem" for i, a in enumerate(MEASURES) for b in MEASURES[i + 1 :])
+add(
+    "o4_top_pairs",
+    lambda s, d: rounded(pairs.top_pairs(table(s, d, "lineitem"), MEASURES, 5, 4)),
+    f"SELECT row_number() OVER (ORDER BY abs(r) DESC, x, y)::INTEGER AS rank, x, y, round(r, 6) AS r FROM ({PAIRS}) QUALIFY rank <= 5",
+)
+add("c6_redundant_columns", lambda s, d: pairs.without_redundant(table(s, d, "lineitem").withColumn("gross", F.col("l_extendedprice") * 1.1), [*MEASURES, "gross"], 0.9))
+add("z3_sampled_quartiles", lambda s, d: rounded(profile.sampled_quartiles(table(s, d, "lineitem").withColumn("k", F.struct("l_orderkey", "l_linenumber")), MEASURES, "k")))
+
+
+def regression_target(s: SparkSession, d: str) -> DataFrame:
+    seen = target.detect(table(s, d, "orders"), "o_totalprice", "regression").numeric or {}
+    return rounded(s.createDataFrame([tuple(seen.values())], ", ".join(f"{k} double" for k in seen)), 3)
+
+
+add(
+    "g6_regression_profile",
+    regression_target,
+    """SELECT round(min(x), 3) AS minimum, round(max(x), 3) AS maximum, round(avg(x), 3) AS mean, round(stddev_samp(x), 3) AS std, round(quantile_cont(x, 0.25), 3) AS q25,
+       round(median(x), 3) AS median, round(quantile_cont(x, 0.75), 3) AS q75, round(quantile_cont(x, 0.75) - quantile_cont(x, 0.25), 3) AS iqr
+       FROM (SELECT o_totalprice AS x FROM orders)""",
+)
+# Dirty values: magnitudes whose squares are no doubles, zeros of either sign, NaN.
+add(
+    "b2_pearson_extreme",
+    lambda s, d: rounded(table(s, d, "lineitem").agg(stats.pearson(F.col("l_quantity") * 1e200, F.col("l_extendedprice") * 1e-200).alias("value"))),
+    "SELECT round(corr(l_quantity, l_extendedprice), 6) AS value FROM lineitem",
+)
+add(
+    "a4_signed_zeros",
+    lambda s, d: profile.dominant(
+        table(s, d, "customer").select("c_custkey", F.when(F.col("c_custkey") % 3 == 0, 0.0).when(F.col("c_custkey") % 3 == 1, -0.0).otherwise(F.col("c_nationkey").cast("double")).alias("z")), "c_custkey"
+    ).where(F.col("column") == "z").select("column", "unique", "dominant_count", "dominant"),
+    """SELECT 'z' AS "column", (SELECT count(DISTINCT CASE WHEN c_custkey % 3 = 2 THEN c_nationkey ELSE 0 END) FROM customer) AS "unique",
+       count(*) AS dominant_count, '0.0' AS dominant FROM customer WHERE c_custkey % 3 <> 2 OR c_nationkey = 0""",
+)
+add(
+    "f8_nan_is_missing",
+    lambda s, d: rounded(
+        frequency.frequency_table(
+            table(s, d, "customer").select(F.when(F.col("c_nationkey") < 5, float("nan")).when(F.col("c_nationkey") < 9, F.lit(None)).otherwise(F.col("c_nationkey").cast("double")).alias("a.b")), "a.b"
+        ).select("value", "count", "relative", "cumulative")
+    ),
+    """WITH c AS (SELECT c_nationkey::DOUBLE AS value, count(*) AS count FROM customer WHERE c_nationkey >= 9 GROUP BY 1)
+       SELECT value, count, round(count / sum(count) OVER (), 6) AS relative, (sum(count) OVER (ORDER BY value))::BIGINT AS cumulative FROM c""",
+)
 add("e8_model_comparison", model_comparison)
 add("e20_clustering", clustering)
 

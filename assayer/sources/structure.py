@@ -23,6 +23,7 @@ from assayer import core
 
 CODECS = {"utf-8": "utf-8", "utf-8-sig": "utf-8", "latin-1": "latin-1", "cp1256": "cp1256"}
 NONE = -1
+NESTED = "nested"
 
 
 def lines_of(spark: SparkSession, path: str) -> DataFrame:
@@ -364,6 +365,10 @@ class _Refused(ValueError):
     pass
 
 
+class _Nested(_Refused):
+    pass
+
+
 def _pairs(pairs: list[tuple[str, Any]]) -> dict[str, Any]:
     seen: set[str] = set()
     for key, _ in pairs:
@@ -404,7 +409,7 @@ def check_record(value: Any, limits: RecordLimits) -> list[tuple[str, str | None
         raise _Refused(f"is {what}, not an object")
     for key, v in value.items():
         if isinstance(v, (dict, list)):
-            raise _Refused(f"holds {'an object' if isinstance(v, dict) else 'an array'} under {key!r}")
+            raise _Nested(f"holds {'an object' if isinstance(v, dict) else 'an array'} under {key!r}")
     if limits.keys is not None and len(value) > limits.keys:
         raise core.LimitExceededError("max_keys_per_record", limits.keys, len(value))
     if limits.chars is not None and (n := sum(len(str(v)) for v in value.values())) > limits.chars:
@@ -434,6 +439,8 @@ class Facts:
             self.bad, self.why = line, str(e)
             if isinstance(e, core.LimitExceededError):
                 self.limit = (e.limit, e.configured, e.observed)
+            elif isinstance(e, _Nested):
+                self.limit = (NESTED, None, None)
 
     def row(self, file: str, start: int) -> tuple:
         return (file, start, self.lines, self.records, self.bad, self.why, *self.limit, list(self.keys), ["+".join(sorted(k)) for k in self.keys.values()])
@@ -508,10 +515,11 @@ def _judged(rows: list[Any], path: str, unit: str) -> dict[str, set[str]]:
         before = before if r["file"] == file else 0
         file = r["file"]
         if r["bad"] != NONE:
-            if r["limit"] is not None:
+            if r["limit"] not in (None, NESTED):
                 raise core.LimitExceededError(r["limit"], r["most"], r["observed"])
             number = before + r["bad"] + 1
-            raise core.MalformedInputError(f"{file.rpartition('/')[2]}: {unit} {number} {r['why']}", number)
+            error = core.NestedValueError if r["limit"] == NESTED else core.MalformedInputError
+            raise error(f"{file.rpartition('/')[2]}: {unit} {number} {r['why']}", number)
         before, records = before + r["lines"], records + r["records"]
         for key, kinds in zip(r["keys"], r["kinds"], strict=True):
             keys.setdefault(key, set()).update(k for k in kinds.split("+") if k)
