@@ -61,12 +61,12 @@ def correlations(df: DataFrame, columns: list[str], block: int = BLOCK) -> DataF
 
     parts = [of(blocks[i], blocks[j]) for i in range(len(blocks)) for j in range(i, len(blocks))]
     sums = reduce(DataFrame.unionByName, parts).groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")])
-    n = F.col("n")
+    n = F.nullif(F.col("n"), F.lit(0))
     spread = lambda s, ss: F.col(ss) / n - (F.col(s) / n) * (F.col(s) / n)
     wide = lambda s, ss: F.when(spread(s, ss) > 1e-14 * F.greatest(F.lit(1e-300), F.col(ss) / n), spread(s, ss))
     r = (F.col("xy") / n - (F.col("x") / n) * (F.col("y") / n)) / F.sqrt(wide("x", "xx")) / F.sqrt(wide("y", "yy"))
     name = lambda c: F.element_at(F.array(*map(F.lit, columns)), F.col(c) + 1)
-    return sums.select(name("a").alias("x"), name("b").alias("y"), "n", F.when((n >= 2) & r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))).alias("r"))
+    return sums.select(name("a").alias("x"), name("b").alias("y"), F.col("n"), F.when((n >= 2) & r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))).alias("r"))
 
 
 def top_pairs(df: DataFrame, columns: list[str], k: int, block: int = BLOCK) -> DataFrame:
