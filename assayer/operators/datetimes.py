@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.core import ConfigurationError
+from assayer.operators.graph import stored
 
 DURATION = re.compile(r"P(?:(\d+)W)?(?:(\d+)D)?(?:T(?:(\d+)H)?(?:(\d+)M)?(?:(\d+)(?:\.(\d{1,6}))?S)?)?")
 
@@ -43,15 +44,17 @@ def micros(c: Column) -> Column:
 def spacings(df: DataFrame, column: str) -> DataFrame:
     """Distances between consecutive distinct timestamps: ``day``, ``at`` and ``delta`` (microseconds).
 
-    The window runs within days, and the first of a day looks back to the last of
-    the day before that has any, so no task sorts the whole column.
+    Timestamps are ranged by themselves and stored, so a day with all events is many tasks. The window runs within
+    ranges, and the first of a range looks back to the last of the range before; only a row a
+    range is ordered in one task.
     """
     stamps = df.where(F.col(column).isNotNull()).select(micros(F.col(column)).alias("at")).distinct()
-    stamps = stamps.withColumn("day", F.floor(F.col("at") / 86_400_000_000))
-    ends = stamps.groupBy("day").agg(F.max("at").alias("last"))
-    before = ends.withColumn("before", F.lag("last").over(Window.orderBy("day"))).select("day", "before")  # one row a day
-    inside = F.lag("at").over(Window.partitionBy("day").orderBy("at"))
-    return stamps.join(before, "day").withColumn("prior", F.coalesce(inside, F.col("before"))).select("day", "at", (F.col("at") - F.col("prior")).alias("delta"))
+    ranged = stored(stamps.repartitionByRange("at").withColumn("part", F.spark_partition_id()))
+    ends = ranged.groupBy("part").agg(F.max("at").alias("last"))
+    before = ends.withColumn("before", F.lag("last").over(Window.orderBy("part"))).select("part", "before")
+    prior = F.coalesce(F.lag("at").over(Window.partitionBy("part").orderBy("at")), F.col("before"))
+    day = F.floor(F.col("at") / 86_400_000_000).alias("day")
+    return ranged.join(F.broadcast(before), "part").select(day, "at", (F.col("at") - prior).alias("delta"))
 
 
 def summarize(df: DataFrame, column: str, cadence: str | None = None) -> DataFrame:

@@ -139,18 +139,51 @@ def confusion(df: DataFrame, y: str, p: str) -> DataFrame:
 
 def classification(df: DataFrame, y: str, p: str) -> DataFrame:
     """accuracy and macro precision, recall, f1 over the classes of y; 0 for 0/0."""
-    c = confusion(df, y, p).persist()
-    total = c.agg((F.sum(F.when(F.col("y") == F.col("p"), F.col("n")).otherwise(0)) / F.sum("n")).alias("accuracy"))
-    right = c.where("y = p").select(F.col("y").alias("k"), F.col("n").alias("tp"))
-    actual = c.groupBy(F.col("y").alias("k")).agg(F.sum("n").alias("actual"))
-    said = c.groupBy(F.col("p").alias("k")).agg(F.sum("n").alias("said"))
-    each = actual.join(said, "k", "left").join(right, "k", "left").fillna(0, ["said", "tp"])
-    zero = lambda a, b: F.coalesce(a / F.nullif(b, F.lit(0)), F.lit(0.0))
-    macro = each.agg(
-        F.avg(zero(F.col("tp"), F.col("said"))).alias("precision"), F.avg(zero(F.col("tp"), F.col("actual"))).alias("recall"),
-        F.avg(zero(2 * F.col("tp"), F.col("said") + F.col("actual"))).alias("f1"),
+    n, same = F.col("n"), F.col("y").eqNullSafe(F.col("p"))
+    zero = F.lit(0).cast("long")
+    sides = F.array(
+        F.struct(F.col("y").alias("k"), n.alias("actual"), zero.alias("said"), F.when(same, n).otherwise(zero).alias("tp")),
+        F.struct(F.col("p").alias("k"), zero.alias("actual"), n.alias("said"), zero.alias("tp")),
+    )
+    each = confusion(df, y, p).select(F.inline(sides)).groupBy("k").agg(*[F.sum(v).alias(v) for v in ("actual", "said", "tp")])
+    own = F.col("actual") > 0
+    ratio = lambda u, v: F.coalesce(u / F.nullif(v, F.lit(0)), F.lit(0.0))
+    mean = lambda v: F.avg(F.when(own, v))
+    return each.agg(
+        (F.sum("tp") / F.nullif(F.sum("actual"), F.lit(0))).alias("accuracy"), mean(ratio(F.col("tp"), F.col("said"))).alias("precision"),
+        mean(ratio(F.col("tp"), F.col("actual"))).alias("recall"), mean(ratio(2 * F.col("tp"), F.col("said") + F.col("actual"))).alias("f1"),
     )
-    return total.join(F.broadcast(macro))
+
+
+def binary(df: DataFrame, y: str, p: str, positive: Column) -> DataFrame:
+    """``metric``, ``value`` and ``degenerate`` of one class: precision, recall and f1, 0 for 0/0.
+
+    A degenerate 0 is a convention, not a measurement: no row was given the class
+    (precision), or none has it (recall, f1).
+    """
+    is_y, is_p = quoted(y).eqNullSafe(positive), quoted(p).eqNullSafe(positive)
+    counts = df.agg(F.count_if(is_y & is_p).alias("tp"), F.count_if(is_y).alias("actual"), F.count_if(is_p).alias("said"))
+    ratio = lambda u, v: F.coalesce(u / F.nullif(v, F.lit(0)), F.lit(0.0))
+    row = lambda name, value, empty: F.struct(F.lit(name).alias("metric"), value.alias("value"), empty.alias("degenerate"))
+    none, unsaid = F.col("actual") == 0, F.col("said") == 0
+    return counts.select(F.inline(F.array(
+        row("precision", ratio(F.col("tp"), F.col("said")), unsaid), row("recall", ratio(F.col("tp"), F.col("actual")), none),
+        row("f1", ratio(2 * F.col("tp"), F.col("said") + F.col("actual")), none),
+    )))
+
+
+def partition_blocker(df: DataFrame, label: str) -> str | None:
+    """Why no metric of a clustering can be computed, or None: noise alone, one cluster, or a cluster a row."""
+    clusters = df.where(quoted(label) >= 0).groupBy(quoted(label)).agg(F.count("*").alias("n")).agg(F.count("*").alias("k"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
+    noise = df.where(quoted(label) < 0).count()
+    k, rows = clusters["k"], clusters["rows"]
+    if rows == 0:
+        return f"all {noise} rows are noise, so there is no cluster to measure"
+    if k < 2:
+        return f"there is one cluster beside {noise} rows of noise, and each metric compares two or more"
+    if k >= rows:
+        return f"each of the {rows} rows is a cluster of its own, so there is no distance within clusters"
+    return None
 
 
 def roc_auc(df: DataFrame, positive: Column, score: str) -> DataFrame:

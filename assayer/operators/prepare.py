@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayer import core
+from assayer.functions import stats
 from assayer.operators.profile import quoted
 from assayer.operators.quality import NUMBER
 
@@ -78,15 +79,16 @@ def number(step: Step, df: DataFrame) -> Column:
 
 
 def fit(df: DataFrame, steps: list[Step]) -> Fitted:
-    """Learn all numeric statistics in one aggregate and all levels in one grouped pass."""
+    """Learn all numeric statistics in one aggregate, quartiles in shared passes and all levels in one grouped pass."""
     numeric = [s for s in steps if s.role in ("numeric", "numeric_text", "ordinal", "mapped")]
     words = [s for s in steps if s.role == "categorical"]
     learned: dict[str, tuple] = {}
     if numeric:
+        quarters = stats.quantiles_of(df, {s.column: number(s, df) for s in numeric}, [0.25, 0.5, 0.75])
         row = df.agg(
             *[
                 F.struct(
-                    F.count(x := number(s, df)), F.percentile(x, [0.25, 0.5, 0.75]), F.avg(x), F.stddev_pop(x), F.min(x), F.max(x),
+                    F.count(x := number(s, df)), F.array(*[F.lit(q).cast("double") for q in quarters[s.column]]), F.avg(x), F.stddev_pop(x), F.min(x), F.max(x),
                     F.count_if(F.abs(x) == float("inf")), F.count_if(x.isNull() & quoted(s.column).isNotNull()),
                 ).alias(f"s{i}")
                 for i, s in enumerate(numeric)

@@ -92,13 +92,11 @@ def outliers(df: DataFrame, columns: list[str], config: core.Config = core.Confi
 
 def numeric_text(df: DataFrame, columns: list[str], order: str, config: core.Config = core.Config()) -> DataFrame:
     """Share of numbers among the first 1,000 values of text columns; leading zeros exempt a column."""
-    parts = []
-    for c in columns:
-        head = df.where(quoted(c).isNotNull()).orderBy(order).select(quoted(c).alias("v")).limit(1000)
-        zero = head.agg(F.avg(F.col("v").rlike(NUMBER).cast("double")).alias("share")).select(F.lit(c).alias("column"), "share")
-        exempt = df.agg(F.coalesce(F.bool_or(quoted(c).rlike(r"^\s*[+-]?0\d")), F.lit(False)).alias("leading_zeros"))
-        parts.append(zero.join(F.broadcast(exempt)))
-    out = reduce(DataFrame.unionByName, parts)
+    head = profiles.heads(df, columns, order, 1000)
+    shares = head.groupBy("column").agg(F.avg(F.col("v").rlike(NUMBER).cast("double")).alias("share"))
+    zero = [F.struct(F.lit(c).alias("column"), F.coalesce(F.bool_or(quoted(c).rlike(r"^\s*[+-]?0\d")), F.lit(False)).alias("leading_zeros")) for c in columns]
+    exempt = df.agg(F.array(*zero).alias("a")).select(F.inline("a"))
+    out = exempt.join(shares, "column", "left").select("column", "share", "leading_zeros")
     return out.withColumn("numeric_text", ~F.col("leading_zeros") & (F.coalesce("share", F.lit(0.0)) >= config.numeric_text_ratio))
 
 

@@ -453,6 +453,11 @@ def optics(df: DataFrame, key: str, columns: list[str], least: int = 5, block: i
     return rows.select(F.col("k").alias(key), "place", "reachability", "core", "attach", "attached")
 
 
+def dbscan(df: DataFrame, key: str, columns: list[str], eps: float, least: int = 5, block: int = BLOCK) -> DataFrame:
+    """DBSCAN through the density order: for any number of columns and for dense data, as no table of neighbours is made."""
+    return density_cut(optics(df, key, columns, least, block), key, eps)
+
+
 def density_cut(ordered: DataFrame, key: str, eps: float) -> DataFrame:
     """DBSCAN clusters of radius ``eps`` from a density order: ``key`` and ``cluster`` (the least key of its dense rows, -1 for noise).
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from assayer import core
 from assayer.functions import stats
 from assayer.operators import birch, charts, datetimes, evaluate, frequency, neighbours, pairs, prepare, profile, quality, spanning, target
-from assayer.plans import audit, models
+from assayer.operators.graph import shared_folder
+from assayer.plans import audit, models, publication
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -642,6 +644,25 @@ add(
        round(median(x), 3) AS median, round(quantile_cont(x, 0.75), 3) AS q75, round(quantile_cont(x, 0.75) - quantile_cont(x, 0.25), 3) AS iqr
        FROM (SELECT o_totalprice AS x FROM orders)""",
 )
+
+
+def published(s: SparkSession, d: str) -> DataFrame:
+    """Orders by status, published as the current run of a folder and read back verified."""
+    folder = f"{shared_folder(s)}/published-{uuid.uuid4().hex}"
+    sizes = table(s, d, "orders").groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first_key"))
+    publication.publish(s, folder, {"sizes": sizes}, {"policy": {"share": 0.2}}, fit={"policy": "sizes"})
+    return publication.read_current(s, folder).table(s, "sizes")
+
+
+add("k5_published_run", published, "SELECT o_orderstatus, count(*) AS n, min(o_orderkey) AS first_key FROM orders GROUP BY 1")
+add(
+    "e12_degenerate_metrics",
+    lambda s, d: rounded(
+        evaluate.binary(table(s, d, "orders").select(F.col("o_orderstatus").alias("y"), F.when(F.col("o_orderkey") % 3 == 0, "F").otherwise("O").alias("p")), "y", "p", F.lit("P"))
+    ),
+    """WITH c AS (SELECT count(*) FILTER (WHERE o_orderstatus = 'P') AS actual FROM orders)
+       SELECT unnest(['precision', 'recall', 'f1']) AS metric, 0.0::DOUBLE AS value, unnest([true, actual = 0, actual = 0]) AS degenerate FROM c""",
+)
 # Dirty values: magnitudes whose squares are no doubles, zeros of either sign, NaN.
 add(
     "b2_pearson_extreme",

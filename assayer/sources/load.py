@@ -190,12 +190,17 @@ def read_arrow(spark: SparkSession, path: str) -> Loaded:
             for raw in batch.column("content"):
                 yield from pa.ipc.open_file(pa.py_buffer(raw.as_py())).read_all().to_batches()
 
-    first = files.select("content").limit(1).collect()
+    def schemas(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [pa.ipc.open_file(pa.py_buffer(raw.as_py())).schema.serialize().to_pybytes() for raw in batch.column("content")]
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["schema"])
+
+    first = files.select("content").limit(1).mapInArrow(schemas, "schema binary").collect()  # a schema, not the file
     if not first:
         raise core.EmptyDataError(path)
     from pyspark.sql.pandas.types import from_arrow_schema
 
-    schema = from_arrow_schema(pa.ipc.open_file(pa.py_buffer(first[0][0])).schema)
+    schema = from_arrow_schema(pa.ipc.read_schema(pa.py_buffer(bytes(first[0][0]))))
     return Loaded(files.select("content").mapInArrow(tables, schema), "arrow")
 
 

@@ -219,3 +219,41 @@ def test_profile_of_a_regression_target(spark):
     df = spark.createDataFrame([(float(i),) for i in range(40)] + [(NAN,), (None,)], "y double")
     seen = target.detect(df, "y", "regression").numeric
     assert (seen["minimum"], seen["maximum"], seen["mean"], seen["median"], seen["iqr"]) == (0.0, 39.0, 19.5, 19.5, 19.5)
+
+
+# ---- metrics ----
+
+
+def test_degenerate_metrics_and_blocked_partitions(spark):
+    df = spark.createDataFrame([("a", "a"), ("a", "b"), ("b", "a"), ("c", None)], "y string, p string")
+    got = {c: {r["metric"]: (r["value"], r["degenerate"]) for r in evaluate.binary(df, "y", "p", F.lit(c)).collect()} for c in ("a", "c", "z")}
+    assert got["a"] == {"precision": (0.5, False), "recall": (0.5, False), "f1": (0.5, False)}
+    assert got["c"] == {"precision": (0.0, True), "recall": (0.0, False), "f1": (0.0, False)}
+    assert got["z"] == {"precision": (0.0, True), "recall": (0.0, True), "f1": (0.0, True)}
+    row = evaluate.classification(df, "y", "p").first()
+    assert math.isclose(row["accuracy"], 0.25)
+    assert math.isclose(row["precision"], 0.5 / 3)
+    label = lambda *v: evaluate.partition_blocker(spark.createDataFrame([(x,) for x in v], "l int"), "l")
+    assert label(0, 0, 1, -1) is None
+    assert "noise" in label(-1, -1)
+    assert "one cluster" in label(0, 0, -1)
+    assert "of its own" in label(0, 1, 2)
+
+
+def test_a_day_with_all_events_is_ranged(spark):
+    from assayer.operators import datetimes
+
+    df = spark.range(2_000).select(F.timestamp_micros(F.col("id") * F.col("id") * 1000).alias("t"))
+    rows = sorted((r["at"], r["delta"]) for r in datetimes.spacings(df.union(df), "t").collect())
+    assert rows[0] == (0, None)
+    assert all(b - a == d for (a, _), (b, d) in zip(rows, rows[1:], strict=False))
+    assert len(rows) == 2_000
+
+
+def test_first_values_of_text_columns_take_one_scan(spark):
+    df = spark.createDataFrame([(i, f"AB-{i:04d}", "007" if i % 2 else None, "x") for i in range(500)], "k long, code string, zero string, word string")
+    shapes = {r["column"]: r["id_shape"] for r in profile.id_values(df, ["code", "zero", "word"], "k").collect()}
+    assert shapes == {"code": True, "zero": False, "word": False}
+    numeric = {r["column"]: (r["share"], r["numeric_text"]) for r in quality.numeric_text(df, ["code", "zero", "word"], "k").collect()}
+    assert numeric == {"code": (0.0, False), "zero": (1.0, False), "word": (0.0, False)}
+    assert profile.id_values(df, [], "k") is None
