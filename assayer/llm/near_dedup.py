@@ -47,9 +47,18 @@ FLOOR = 4  # the first region of the weights [0, 1) has the ranks [0, 1/16)
 SLOTS = 1 << 18  # counters of the shingle frequencies that order shingles
 
 
-@lru_cache(maxsize=100_000)
-def word_hash(word: str) -> int:
-    return int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+class Words(dict[str, bytes]):
+    """64-bit hashes of words; at most ``WORDS`` are remembered at once."""
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= WORDS:
+            self.clear()
+        made = self[word] = hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest()
+        return made
+
+
+WORDS = 100_000
+KNOWN = Words()
 
 
 def hashed(text: str, size: int, weighted: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -57,7 +66,7 @@ def hashed(text: str, size: int, weighted: bool) -> tuple[np.ndarray, np.ndarray
 
     A text of fewer words is one shingle. Weights are counts, or 1 if not ``weighted``.
     """
-    words = np.array([word_hash(w) for w in WORD.findall(text.lower())], U64)
+    words = np.frombuffer(b"".join([KNOWN[w] for w in WORD.findall(text.lower())]), "<u8")
     n = min(size, len(words))
     h = np.full(len(words) - n + 1 if n else 0, U64(n))
     for i in range(n):
