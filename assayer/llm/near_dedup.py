@@ -75,10 +75,20 @@ def hashed(text: str, size: int, weighted: bool) -> tuple[np.ndarray, np.ndarray
     return h, counts.astype(np.float64) if weighted else np.ones(len(h))
 
 
+S30, S27, S31 = U64(30), U64(27), U64(31)
+M1, M2 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U64(27))) * U64(0x94D049BB133111EB)
-    return x ^ (x >> U64(31))
+    y = x >> S30
+    y ^= x
+    y *= M1
+    z = y >> S27
+    y ^= z
+    y *= M2
+    np.right_shift(y, S31, out=z)
+    y ^= z
+    return y
 
 
 def uniform(x: np.ndarray) -> np.ndarray:
@@ -157,12 +167,12 @@ def signature(elements: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
         goal *= 2
 
 
-def band_keys(value: np.ndarray, bands: int, rows: int) -> list[int]:
-    """One bucket a band; the band's number is part of it."""
-    h = mix(np.arange(1, bands + 1, dtype=U64))
+def band_keys(values: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """One bucket a band of each signature (a row of ``values``); the band's number is part of it."""
+    h = np.repeat(mix(np.arange(1, bands + 1, dtype=U64))[None, :], len(values), axis=0)
     for i in range(rows):
-        h = mix(h + value[i * bands : (i + 1) * bands] + U64(0x9E3779B97F4A7C15))
-    return h.view(np.int64).tolist()
+        h = mix(h + values[:, i * bands : (i + 1) * bands] + U64(0x9E3779B97F4A7C15))
+    return h.view(np.int64)
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -183,15 +193,17 @@ def sketched(df: DataFrame, id_col: str, text_col: str, size: int, bands: int, r
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_state(__name__)
         for batch in bounded(batches, 1):
-            ids, same, keys = [], [], []
+            ids, same, values = [], [], []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 h, w = hashed(text.as_py() or "", size, weighted)
                 if len(h):
                     ids.append(i)
                     same.append(set_key(h, w))
-                    keys.append(band_keys(signature(h, w, bands * rows), bands, rows))
+                    values.append(signature(h, w, bands * rows))
+            keys = band_keys(np.array(values, U64).reshape(len(values), bands * rows), bands, rows)
+            ends = pa.array(np.arange(len(values) + 1, dtype=np.int32) * bands)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, batch.schema.field(0).type), pa.array(same, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                [pa.array(ids, batch.schema.field(0).type), pa.array(same, pa.binary()), pa.ListArray.from_arrays(ends, pa.array(keys.ravel()))],
                 names=["id", "same", "keys"],
             )
 
