@@ -44,6 +44,7 @@ ROWS = 7  # at similarity 0.8 a pair shares no band with probability (1 - 0.8**7
 WORD = re.compile(r"\w+")
 U64 = np.uint64
 FLOOR = 4  # the first region of the weights [0, 1) has the ranks [0, 1/16)
+HELD = 1_000_000  # ids of candidates that are broadcast, at most; more are joined by shuffling the texts
 SLOTS = 1 << 18  # counters of the shingle frequencies that order shingles
 
 
@@ -369,8 +370,10 @@ def near_duplicates(
     full = tables.put(keys.join(shared, "bucket").select("bucket", "rep", "n"))
     member = tables.put(sketches.select("id", "same").join(heads.select("same", "rep"), "same").select("id", "rep"))
     classes = heads.select("rep", F.col("rep").alias("class")).distinct()
+    wanted = tables.put(full.select(F.col("rep").alias("id")).distinct())
+    few = wanted.limit(HELD + 1).count() <= HELD  # then no text is shuffled to find the candidates
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(
-        full.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"
+        F.broadcast(wanted) if few else wanted, "id", "left_semi"
     )
     repeated = bool(sketches.groupBy("id").count().where("count > 1").limit(1).count())
     if repeated:
