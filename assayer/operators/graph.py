@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,6 +60,36 @@ def components(links: DataFrame) -> DataFrame:
     return state
 
 
+LINKS_AT_ONCE = 200_000  # links whose classes one task settles
+
+
+def linked(links: DataFrame, at_once: int = LINKS_AT_ONCE) -> DataFrame:
+    """``components`` of links between whole numbers; as many as a task can hold, by count, are settled in one, without rounds."""
+    links = stored(links.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL").distinct())
+    if links.limit(at_once + 1).count() > at_once:
+        return components(links)
+
+    def settle(t: pa.Table) -> pa.Table:
+        up: dict[int, int] = {}
+
+        def find(v: int) -> int:
+            root = v
+            while up.setdefault(root, root) != root:
+                root = up[root]
+            while up[v] != root:
+                up[v], v = root, up[v]
+            return root
+
+        for a, b in zip(t.column("a").to_pylist(), t.column("b").to_pylist(), strict=True):
+            low, high = sorted((find(a), find(b)))
+            up[high] = low
+        ids = list(up)
+        return pa.table({"id": pa.array(ids, pa.int64()), "class": pa.array([find(v) for v in ids], pa.int64())})
+
+    whole = links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), F.lit(0).alias("one"))
+    return stored(whole.groupBy("one").applyInArrow(settle, "id long, class long"))
+
+
 def roots(edges: DataFrame) -> DataFrame:
     """Root of the tree of picks of each end of ``edges`` (a, b): ``id``, ``root``."""
     pick = fresh(edges.union(edges.select("b", "a")).groupBy(F.col("a").alias("id")).agg(F.min("b").alias("root")))

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from assayer import core
 from assayer.functions import stats
-from assayer.operators.graph import components, stored
+from assayer.operators.graph import components, linked, stored
 
 BLOCK = 1024  # points in a block; more, where a table would have over
 MOST_BLOCKS = 1024  # blocks (and one more a partition): their boxes are known to the driver
@@ -312,15 +312,15 @@ def spanning_tree(c: Cloud, cores: DataFrame | None = None) -> DataFrame:
             break
         edges = picks.select("lo", "hi", "w").distinct()
         tree = edges if tree is None else tree.union(edges)
-        root = components(picks.select(F.col("class").alias("a"), F.col("other").alias("b"))).select(F.col("id").alias("class"), F.col("class").alias("root"))
+        root = linked(picks.select(F.col("class").alias("a"), F.col("other").alias("b"))).select(F.col("id").alias("class"), F.col("class").alias("root"))
         state = stored(state.join(root, "class", "left").select("p", "block", F.coalesce("root", "class").alias("class")))
     return stored(tree) if tree is not None else c.points.select(F.col("p").alias("lo"), F.col("p").alias("hi"), F.lit(0.0).alias("w")).limit(0)
 
 
 def classes_of(c: Cloud, edges: DataFrame) -> DataFrame:
     """``k`` and ``cluster``, the least key among the rows that edges (lo, hi) connect."""
-    linked = components(edges.select(F.col("lo").alias("a"), F.col("hi").alias("b"))).select(F.col("id").alias("p"), "class")
-    rows = stored(c.rows.join(linked, "p", "left").select("k", F.coalesce("class", "p").alias("class")))
+    joined = linked(edges.select(F.col("lo").alias("a"), F.col("hi").alias("b"))).select(F.col("id").alias("p"), "class")
+    rows = stored(c.rows.join(joined, "p", "left").select("k", F.coalesce("class", "p").alias("class")))
     named = rows.groupBy("class").agg(F.min("k").alias("cluster"))
     return rows.join(named, "class").select("k", "cluster")
 
@@ -364,11 +364,11 @@ def merges(tree: DataFrame, at_once: int = TREE_AT_ONCE) -> DataFrame:
         big = edges.join(F.broadcast(parts.where(F.col("n") > at_once)), "part").withColumn("light", F.col("rank") * 2 <= F.col("first") + F.col("last"))
         light, heavy = big.where("light"), big.where("NOT light")
         at = lambda v: F.struct("part", F.col(v).alias("v"))
-        linked = components(light.select(at("a").alias("a"), at("b").alias("b"))).select("id.part", "id.v", F.col("class.v").alias("c"))
+        met = components(light.select(at("a").alias("a"), at("b").alias("b"))).select("id.part", "id.v", F.col("class.v").alias("c"))
         ends = light.select("part", F.col("a").alias("v"), F.col("asize").alias("size"), "rank").union(light.select("part", "b", "bsize", "rank"))
-        each = ends.groupBy("part", "v").agg(F.first("size").alias("size"), F.max("rank").alias("rank")).join(linked, ["part", "v"])
+        each = ends.groupBy("part", "v").agg(F.first("size").alias("size"), F.max("rank").alias("rank")).join(met, ["part", "v"])
         whole = each.groupBy("part", "c").agg(F.sum("size").alias("csize"), (-1 - F.max("rank")).alias("cn"))
-        seen = stored(linked.join(whole, ["part", "c"]))
+        seen = stored(met.join(whole, ["part", "c"]))
         for s in ("a", "b"):
             heavy = heavy.join(seen.withColumnRenamed("v", s), ["part", s], "left").withColumns(
                 {s: F.coalesce("c", s), f"{s}n": F.coalesce("cn", f"{s}n"), f"{s}size": F.coalesce("csize", f"{s}size")}

@@ -55,9 +55,9 @@ def test_single_linkage_against_all_pairs(spark, scattered, k):
     assert [got[i] for i in range(len(scattered))] == plain_single(scattered, k)[0]
 
 
-@pytest.mark.parametrize("at_once", [7, 1000])
+@pytest.mark.parametrize("at_once", [40, 1000])
 def test_merges_have_the_heights_of_a_plain_loop(spark, scattered, at_once):
-    x = np.unique(scattered, axis=0)[:120]
+    x = np.unique(scattered, axis=0)[:100]
     c = spanning.cloud(points(spark, x), "k", ["a", "b"], block=50)
     rows = sorted(spanning.merges(spanning.spanning_tree(c), at_once).collect(), key=lambda r: r["rank"])
     assert np.allclose([r["w"] for r in rows], plain_single(x, 1)[1])
@@ -75,7 +75,7 @@ def test_merges_have_the_heights_of_a_plain_loop(spark, scattered, at_once):
 
 def test_density_order_cuts_to_dbscan(spark, scattered):
     df = points(spark, scattered)
-    order = spanning.optics(df, "k", ["a", "b"], 5, block=64, at_once=50).persist()
+    order = spanning.optics(df, "k", ["a", "b"], 5, block=64, at_once=200).persist()
     rows = {r["k"]: r for r in order.collect()}
     d = far(scattered)
     cores = np.sort(d, axis=1)[:, 4]
@@ -177,3 +177,13 @@ def test_registered_hierarchical_models_separate_groups(spark):
         assert named([got[i] for i in range(100)]) == [0] * 50 + [50] * 50
     with pytest.raises(ConfigurationError):
         birch.Birch(threshold=-1.0).fit(points(spark, x).select(F.array("a", "b").alias("features")))
+
+
+@pytest.mark.parametrize("at_once", [0, 1000])
+def test_linked_equals_components(spark, at_once):
+    from assayer.operators import graph
+
+    r = np.random.default_rng(4)
+    links = spark.createDataFrame([(int(a), int(b)) for a, b in r.integers(0, 150, (90, 2))] + [(7, None)], "a long, b long")
+    want = {(x["id"], x["class"]) for x in graph.components(links).collect()}
+    assert {(x["id"], x["class"]) for x in graph.linked(links, at_once).collect()} == want
