@@ -35,7 +35,7 @@ class Split:
     note: str
 
 
-HASH_RANGES = 4096  # of a class, whose sizes tell which one holds the cut
+MOST_CLASSES = 10_000
 
 
 def allocate(counts: dict[str | None, int], share: float) -> dict[str | None, int]:
@@ -59,12 +59,15 @@ def split_exact(df: DataFrame, key: str, share: float = 0.2, seed: int = 42, str
     No side is sorted as a whole. Counts of hash ranges say which range of a class holds the cut, and
     only that range's rows are ranked. The split depends on keys and seed, not on partitions. A class of one
     row, or more classes than a side has rows, is split without strata, as the note says. Refused are
-    fewer than two rows, missing classes, and sides that would be empty.
+    fewer than two rows, missing classes, over ``MOST_CLASSES`` of them, and sides that would be empty.
     """
     if not 0 < share < 1:
         raise core.ConfigurationError("the share lies between 0 and 1")
     named = quoted(stratify).cast("string") if stratify else F.lit(None).cast("string")
-    counts = {r["c"]: r["n"] for r in df.groupBy(named.alias("c")).agg(F.count("*").alias("n")).collect()}  # a row a class
+    classes = df.groupBy(named.alias("c")).agg(F.count("*").alias("n")).limit(MOST_CLASSES + 1).collect()
+    if len(classes) > MOST_CLASSES:
+        raise core.DomainError(f"more than {MOST_CLASSES} classes: no target to stratify by")
+    counts = {r["c"]: r["n"] for r in classes}
     total = sum(counts.values())
     if total < 2:
         raise core.EmptyDataError(f"a split needs two rows, the table has {total}")
@@ -88,7 +91,7 @@ def split_exact(df: DataFrame, key: str, share: float = 0.2, seed: int = 42, str
     want = allocate(counts, share)
     spark = df.sparkSession
     hashed = df.withColumns({"__class": named, "__h": F.xxhash64(F.lit(seed), quoted(key))})
-    hashed = hashed.withColumn("__range", F.shiftright("__h", 52))  # -2048 to 2047, in the order of hashes
+    hashed = hashed.withColumn("__range", F.shiftright("__h", 52))  # 4,096 ranges, -2048 to 2047, in the order of hashes
     order = Window.partitionBy("__class").orderBy("__range")
     ranges = hashed.groupBy("__class", "__range").agg(F.count("*").alias("n"))
     seen = ranges.withColumn("upto", F.sum("n").over(order))

@@ -257,3 +257,9 @@ def test_first_values_of_text_columns_take_one_scan(spark):
     numeric = {r["column"]: (r["share"], r["numeric_text"]) for r in quality.numeric_text(df, ["code", "zero", "word"], "k").collect()}
     assert numeric == {"code": (0.0, False), "zero": (1.0, False), "word": (0.0, False)}
     assert profile.id_values(df, [], "k") is None
+
+
+def test_a_continuous_target_is_no_stratum(spark, monkeypatch):
+    monkeypatch.setattr(evaluate, "MOST_CLASSES", 5)
+    with pytest.raises(core.DomainError, match="classes"):
+        evaluate.split_exact(spark.range(20), "id", 0.5, 1, "id")
