@@ -357,7 +357,9 @@ def test_signature_estimates_similarity():
         assert abs(np.mean(got) - np.mean(want)) < 0.03
 
 
-def test_near_duplicate_classes_against_all_pairs(spark):
+@pytest.mark.parametrize("held", [0, 1_000_000])
+def test_near_duplicate_classes_against_all_pairs(spark, monkeypatch, held):
+    monkeypatch.setattr(near_dedup, "HELD", held)  # candidates' ids joined by a shuffle, and broadcast
     draw = random.Random(6)
     words = ["".join(draw.choice("abcdefgh") for _ in range(5)) for _ in range(4000)]
     rows = []
@@ -610,3 +612,12 @@ def test_query_equals_sql(name, spark, duck):
     assert sorted((tuple(r[c] for c in columns) for r in df.collect()), key=repr) == sorted(
         (tuple(r) for r in relation.select(", ".join(f'"{c}"' for c in columns)).fetchall()), key=repr
     )
+
+
+def test_band_keys_of_a_batch_are_those_of_each_signature():
+    draw = np.random.default_rng(3)
+    values = draw.integers(0, 2**63, (5, 14)).astype(np.uint64)
+    whole = near_dedup.band_keys(values, 2, 7)
+    assert whole.shape == (5, 2)
+    assert all((near_dedup.band_keys(values[i : i + 1], 2, 7)[0] == whole[i]).all() for i in range(5))
+    assert near_dedup.band_keys(values[:0], 2, 7).shape == (0, 2)
