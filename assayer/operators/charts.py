@@ -88,18 +88,3 @@ def target_associations(df: DataFrame, target: str, columns: list[str]) -> DataF
     x = stats.measured(df, {c: core.finite(quoted(c)) for c in {*columns, target}})
     parts = [F.struct(F.lit(c).alias("column"), F.abs(stats.correlated(x[c], x[target])).alias("r")) for c in columns]
     return df.agg(F.array(*parts).alias("a")).select(F.inline("a")).orderBy(F.desc_nulls_last("r"), "column")
-
-
-def candidates(profile: DataFrame) -> DataFrame:
-    """Charts worth drawing, by score: base priority, evidence of missing values and of spread."""
-    usable = ~F.col("constant") & ~F.col("id_like") & (F.col("count") >= 10)
-    charts = F.array(
-        F.when(F.col("kind") == "numeric", F.struct(F.lit("histogram").alias("chart"), F.lit(0.6).alias("base"))),
-        F.when(F.col("kind") == "numeric", F.struct(F.lit("box").alias("chart"), F.lit(0.5).alias("base"))),
-        F.when(F.col("kind").isin("categorical", "boolean"), F.struct(F.lit("bar").alias("chart"), F.lit(0.55).alias("base"))),
-    )
-    score = F.round(F.col("c.base") + 0.2 * F.col("missing_ratio") - 0.1 * F.col("high_cardinality").cast("int"), 6)
-    return (
-        profile.where(usable).select("column", "missing_ratio", "high_cardinality", F.explode(F.filter(charts, lambda c: c.isNotNull())).alias("c"))
-        .select("column", "c.chart", score.alias("score")).orderBy(F.desc("score"), "column", "chart")
-    )

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayer import core
 from assayer.functions import stats
 from assayer.operators import profile as profiles
+from assayer.operators import target as targets
 from assayer.operators.profile import quoted
 
 FINDING = "code string, severity string, column string, value double, requires_review boolean"
@@ -103,20 +105,54 @@ def numeric_text(df: DataFrame, columns: list[str], order: str, config: core.Con
 def vif(df: DataFrame, columns: list[str]) -> DataFrame:
     """Variance inflation of each column from one Gram matrix of the complete, centred rows.
 
-    The aggregate has a sum a pair of columns; what reaches the driver is one row.
-    At most 50 columns are assessed.
+    A task multiplies its batches as matrices and emits one sum a pair of columns; what reaches the
+    driver is these sums. At most 50 columns are assessed. A constant column, and every column of a
+    table without complete rows, has NULL.
     """
     if len(columns) > 50:
         raise core.DomainError("more than 50 columns are not assessed")
-    whole = core.normalize(df).select(*[core.finite(quoted(c)).alias(f"x{i}") for i, c in enumerate(columns)]).dropna()
-    k = range(len(columns))
-    middle = whole.agg(*[F.avg(f"x{i}").alias(f"m{i}") for i in k], *[F.max(F.abs(f"x{i}")).alias(f"t{i}") for i in k])
-    z = [(F.col(f"x{i}") - F.col(f"m{i}")) / F.nullif(F.col(f"t{i}"), F.lit(0.0)) for i in k]
-    row = whole.join(F.broadcast(middle)).agg(*[F.sum(z[i] * z[j]).alias(f"g{i}_{j}") for i in k for j in k if i <= j]).first()
-    gram = np.array([[row[f"g{min(i, j)}_{max(i, j)}"] or 0.0 for j in k] for i in k])
+    k = len(columns)
+    x = core.normalize(df).select(*[core.finite(quoted(c)).alias(f"x{i}") for i, c in enumerate(columns)])
+
+    def whole(batch: pa.RecordBatch) -> np.ndarray:
+        a = np.array([c.to_numpy(zero_copy_only=False) for c in batch.columns], float).reshape(k, batch.num_rows)
+        return a[:, np.isfinite(a).all(axis=0)]
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, low, high, total = 0, np.full(k, np.inf), np.full(k, -np.inf), np.zeros(k)
+        for a in map(whole, batches):
+            if a.shape[1]:
+                n, low, high = n + a.shape[1], np.minimum(low, a.min(axis=1)), np.maximum(high, a.max(axis=1))
+                with np.errstate(over="ignore", invalid="ignore"):  # such a sum is no number, and its column is centred otherwise
+                    total += a.sum(axis=1)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(k)), pa.array(np.full(k, n)), *map(pa.array, (low, high, total))], names=["i", "n", "low", "high", "total"])
+
+    sides = x.mapInArrow(ends, "i long, n long, low double, high double, total double")
+    facts = sides.groupBy("i").agg(F.sum("n"), F.min("low"), F.max("high"), F.sum("total")).orderBy("i").collect()
+    middle, size = np.zeros(k), np.ones(k)
+    for i, n, low, high, total in facts:
+        mean = total / n if np.isfinite(total) else low / 2 + high / 2
+        middle[i], size[i] = (low, 1.0) if low == high else (mean, max(high / 2 - mean / 2, mean / 2 - low / 2))
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((k + 1, k + 1))  # the last place holds ones, so the first powers are summed too
+        for a in map(whole, batches):
+            z = np.vstack([(a / 2 - middle[:, None] / 2) / size[:, None], np.ones(a.shape[1])])
+            sums += z @ z.T
+        i, j = np.triu_indices(k + 1)
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(sums[i, j])], names=["i", "j", "g"])
+
+    gram = np.zeros((k + 1, k + 1))
+    if facts:
+        for i, j, g in x.mapInArrow(products, "i long, j long, g double").groupBy("i", "j").agg(F.sum("g")).collect():
+            gram[i, j] = gram[j, i] = g
+        gram = gram[:k, :k] - np.outer(gram[k, :k], gram[k, :k]) / gram[k, k]
+        spread = np.sqrt(np.where(np.diag(gram) > 0, np.diag(gram), 1.0))
+        gram /= np.outer(spread, spread)
     out = []
     for i, c in enumerate(columns):
-        rest = [j for j in k if j != i and gram[j, j] > 0]
+        rest = [j for j in range(k) if j != i and gram[j, j] > 0]
         if gram[i, i] <= 0 or not rest:
             out.append((c, None))
             continue
@@ -165,10 +201,17 @@ def leakage(df: DataFrame, target: str, config: core.Config = core.Config()) ->
 
 
 def imbalance(df: DataFrame, target: str, config: core.Config = core.Config()) -> DataFrame:
-    counts = df.where(quoted(target).isNotNull()).groupBy(quoted(target).alias("t")).count()
-    return counts.agg(F.count("*").alias("classes"), (F.min("count") / F.sum("count")).alias("minority")).withColumn(
-        "imbalanced", (F.col("classes") > 1) & (F.col("minority") < config.imbalance)
-    )
+    """``classes``, ``minority`` (share of the rarest) and ``imbalanced``, which only a target of a classification can be."""
+    t = quoted(target)
+    numeric = core.kind_of(df.select(t).schema[0].dataType) == core.NUMERIC
+    counts = core.normalize(df.select(t.alias("t"))).where("t IS NOT NULL").groupBy("t").count()
+    x = core.finite(F.col("t")) if numeric else F.lit(None).cast("double")
+    sides = counts.agg(
+        F.count("*").alias("classes"), (F.min("count") / F.sum("count")).alias("minority"), F.count("*").alias("distinct"), F.sum("count").alias("valid"),
+        F.coalesce(F.bool_and(x == F.floor(x)), F.lit(False)).alias("integral"), F.lit(numeric).alias("numeric"),
+    )
+    named = targets.task_rule(config) == "classification"
+    return sides.select("classes", "minority", (named & (F.col("classes") > 1) & (F.col("minority") < config.imbalance)).alias("imbalanced"))
 
 
 def inspect(df: DataFrame, order: str, target: str | None = None, config: core.Config = core.Config(), checks: Sequence[Check] = ()) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer import core, sources
-from assayer.operators import charts, evaluate, profile, quality, target
+from assayer.operators import advisor, evaluate, profile, quality, target
 from assayer.plans import audit, models
 
 
@@ -47,7 +47,14 @@ class Session:
         return self.cached("verdict", lambda: quality.verdict(self.check_quality()))
 
     def charts(self) -> DataFrame:
-        return charts.candidates(self.profile())
+        """The plan of charts; ``chart_data`` gives the data of one of its rows."""
+        df, key, goal = self.need("df"), self.need("key"), self.need("goal")
+        return self.cached("charts", lambda: advisor.recommend(df, key, goal, key, self.config, profile=self.profile(), findings=self.check_quality()))
+
+    def chart_data(self, chart: str, columns: list[str]) -> DataFrame:
+        df, goal = self.need("df"), self.need("goal")
+        task = target.detect(df, goal, config=self.config).task if chart == "target_distribution" and columns == [goal] else None
+        return advisor.data_of(df, self.need("key"), chart, columns, task)
 
     def compare_models(self, names: list[str]) -> DataFrame:
         """Refused on blocked data and after the final evaluation."""

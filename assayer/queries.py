@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from assayer import core
 from assayer.functions import stats
-from assayer.operators import birch, charts, datetimes, evaluate, frequency, neighbours, pairs, prepare, profile, quality, spanning, target
+from assayer.operators import advisor, birch, charts, datetimes, evaluate, frequency, neighbours, pairs, prepare, profile, quality, spanning, target
 from assayer.operators.graph import shared_folder
 from assayer.plans import audit, models, publication
 
@@ -494,7 +494,55 @@ add(
 )
 add("c13_scatter", lambda s, d: charts.scatter(table(s, d, "lineitem").withColumn("k", F.col("l_orderkey") * 8 + F.col("l_linenumber")), "l_quantity", "l_extendedprice", "k"))
 add("c17_stratified_sample", lambda s, d: charts.stratified_sample(table(s, d, "orders"), "o_orderkey", "o_orderstatus", 100))
-add("c1_chart_candidates", lambda s, d: charts.candidates(profile.profile(table(s, d, "orders"), "o_orderkey")))
+def chart_plan(s: SparkSession, d: str, name: str, key: str, target: str | None) -> DataFrame:
+    plan = advisor.recommend(dirty(s, d) if name == "dirty" else table(s, d, name), key, target)
+    return plan.select("rank", "chart", F.concat_ws(",", "columns").alias("columns"), "code", F.round("score", 4).alias("score"), "requires_review")
+
+
+add("c1_chart_candidates", lambda s, d: chart_plan(s, d, "orders", "o_orderkey", None))
+add(
+    "c5_chart_plan",
+    lambda s, d: chart_plan(s, d, "dirty", "o_orderkey", "target"),
+    f"""WITH f AS (SELECT 1 - count(gappy) / count(*) AS gaps, abs(corr(gappy, target::INT)) AS r_gappy, abs(corr(wild, target::INT)) AS r_wild,
+          abs(corr(gappy, wild)) AS r_pair, count(DISTINCT status) AS labels, count(*) AS n,
+          quantile_cont(gappy, 0.25) AS g1, quantile_cont(gappy, 0.75) AS g3, quantile_cont(wild, 0.25) AS w1, quantile_cont(wild, 0.75) AS w3,
+          least(avg(target::INT), 1 - avg(target::INT)) < 0.2 AS imbalanced FROM {DIRTY}),
+        o AS (SELECT coalesce(bool_or(gappy < g1 - 1.5 * (g3 - g1) OR gappy > g3 + 1.5 * (g3 - g1)), false) AS gappy,
+          coalesce(bool_or(wild < w1 - 1.5 * (w3 - w1) OR wild > w3 + 1.5 * (w3 - w1)), false) AS wild FROM {DIRTY}, f),
+        c(chart, columns, code, score, requires_review) AS (
+          SELECT 'missing_values', 'gappy', 'dataset_has_missing_values', 0.75 + 0.2, false
+          UNION ALL SELECT 'target_distribution', 'target', 'target_distribution', 0.9 + 0.3 + CASE WHEN imbalanced THEN 0.2 ELSE 0 END, false FROM f
+          UNION ALL SELECT 'histogram', 'gappy', 'numeric_distribution', 0.5 - 0.2 * gaps, false FROM f
+          UNION ALL SELECT 'histogram', 'wild', 'numeric_distribution', 0.5, false
+          UNION ALL SELECT 'box_plot', 'gappy', CASE WHEN o.gappy THEN 'flagged_outlier_candidates' ELSE 'numeric_spread' END,
+            0.4 - 0.2 * gaps + CASE WHEN o.gappy THEN 0.2 ELSE 0 END, o.gappy FROM f, o
+          UNION ALL SELECT 'box_plot', 'wild', CASE WHEN o.wild THEN 'flagged_outlier_candidates' ELSE 'numeric_spread' END,
+            0.4 + CASE WHEN o.wild THEN 0.2 ELSE 0 END, o.wild FROM o
+          UNION ALL SELECT 'bar', 'status', 'categorical_frequency', 0.45, false
+          UNION ALL SELECT 'grouped_box', 'gappy,target', 'numeric_against_target', 0.6 + 0.3 + 0.25 * r_gappy - 0.2 * gaps, false FROM f
+          UNION ALL SELECT 'grouped_box', 'wild,target', 'numeric_against_target', 0.6 + 0.3 + 0.25 * r_wild, false FROM f
+          UNION ALL SELECT 'grouped_bar', 'status,target', 'possible_target_leakage_review', 0.6 + 0.3 + 0.15, true
+          UNION ALL SELECT 'scatter', 'gappy,wild', 'numeric_pair_association', 0.55 + 0.25 * r_pair - 0.2 * gaps, false FROM f),
+        k AS (SELECT *, row_number() OVER (ORDER BY round(score, 6) DESC, chart, columns) AS place FROM c WHERE code <> 'numeric_spread')
+        SELECT CASE WHEN place <= 10 THEN place END::INT AS rank, chart, columns, CASE WHEN place <= 10 THEN code ELSE 'over_max_charts' END AS code,
+          round(score::DOUBLE, 4) AS score, requires_review FROM k
+        UNION ALL SELECT NULL, chart, columns, 'redundant_distribution_view', round(score::DOUBLE, 4), requires_review FROM c WHERE code = 'numeric_spread'
+        UNION ALL SELECT NULL, 'correlation_heatmap', 'gappy,wild', 'too_few_numeric_columns', NULL, false
+        UNION ALL SELECT NULL, 'histogram', 'o_orderkey', 'possible_id_like', NULL, false
+        UNION ALL SELECT NULL, 'bar', 'constant', 'constant_column', NULL, false""",
+)
+add(
+    "c12_target_distribution",
+    lambda s, d: advisor.data_of(table(s, d, "orders"), "o_orderkey", "target_distribution", ["o_orderpriority"], "classification"),
+    "SELECT o_orderpriority AS label, count(*) AS count FROM orders WHERE o_orderpriority IS NOT NULL GROUP BY 1",
+)
+add(
+    "c14_grouped_box_of_largest",
+    lambda s, d: rounded(advisor.data_of(table(s, d, "part"), "p_partkey", "grouped_box", ["p_brand", "p_retailprice"], budget=advisor.Budget(categories=5))),
+    """SELECT p_brand AS "group", count(p_retailprice) AS count, min(p_retailprice) AS low, round(quantile_cont(p_retailprice, 0.25), 6) AS q1,
+       round(quantile_cont(p_retailprice, 0.5), 6) AS median, round(quantile_cont(p_retailprice, 0.75), 6) AS q3, max(p_retailprice) AS high
+       FROM part WHERE p_brand IN (SELECT p_brand FROM part GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 5) GROUP BY 1""",
+)
 
 # ---- evidence, models ----
 

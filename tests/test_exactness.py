@@ -263,3 +263,25 @@ def test_a_continuous_target_is_no_stratum(spark, monkeypatch):
     monkeypatch.setattr(evaluate, "MOST_CLASSES", 5)
     with pytest.raises(core.DomainError, match="classes"):
         evaluate.split_exact(spark.range(20), "id", 0.5, 1, "id")
+
+
+def test_inflation_of_many_columns_equals_the_inverse_correlation(spark):
+    import numpy as np
+
+    from assayer.operators import quality
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 24)) @ np.diag(np.logspace(-3, 6, 24)) + 1e5
+    x[:, 3] = x[:, 1] * 2 + rng.normal(size=300) * 1e-4
+    x[:, 7] = 4.5
+    rows = [tuple(None if rng.random() < 0.002 else float(v) for v in r) for r in x]
+    df = spark.createDataFrame(rows, ", ".join(f"c{i} double" for i in range(24))).repartition(5)
+    kept = np.array([r for r in rows if None not in r])
+    free = [i for i in range(24) if i != 7]
+    want = np.diag(np.linalg.inv(np.corrcoef(kept[:, free].T)))
+    said = {r["column"]: r["vif"] for r in quality.vif(df, [f"c{i}" for i in range(24)]).collect()}
+    assert said["c7"] is None and len(kept) < 300
+    np.testing.assert_allclose([said[f"c{i}"] for i in free], want, rtol=1e-6)
+    copied = {r["column"]: r["vif"] for r in quality.vif(df.select("c0", F.col("c0").alias("again"), "c2"), ["c0", "again", "c2"]).collect()}
+    assert copied["c0"] == copied["again"] == float("inf") and copied["c2"] < 1.2
+    assert all(r["vif"] is None for r in quality.vif(df.limit(0), ["c0", "c1"]).collect())
