@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from assayer import core
 from assayer.functions import stats
-from assayer.operators.graph import components, linked, stored
+from assayer.operators.graph import components, fresh, linked
 
 BLOCK = 1024  # points in a block; more, where a table would have over
 MOST_BLOCKS = 1024  # blocks (and one more a partition): their boxes are known to the driver
@@ -67,13 +67,13 @@ def cloud(df: DataFrame, key: str, columns: list[str], block: int = BLOCK) -> Cl
     """Blocks of the different points of ``columns``; rows with a null or non-finite coordinate, or a null key, are left out."""
     x = [core.finite(F.col(f"`{c}`")) + 0.0 for c in columns]  # -0.0 is 0.0
     rows = df.select(F.col(f"`{key}`").alias("k"), F.array(*x).alias("x")).where(F.col("k").isNotNull() & ~F.exists("x", lambda v: v.isNull()))
-    different = stored(rows.groupBy("x").agg(F.count("*").alias("copies")))
+    different = fresh(rows.groupBy("x").agg(F.count("*").alias("copies")))
     dim = len(columns)
     facts = different.agg(F.count("*").alias("n"), *[f(F.col("x")[i]).alias(f"{f.__name__}{i}") for i in range(dim) for f in (F.min, F.max)]).first()
     n = facts["n"]
     low, high = ([facts[f"{f}{i}"] for i in range(dim)] for f in ("min", "max"))
     placed = different.withColumn("z", z_order(F.col("x"), low, high) if n else F.lit(0))
-    ranged = stored(placed.repartitionByRange("z", "x").sortWithinPartitions("z", "x").select(F.spark_partition_id().alias("part"), "x", "copies"))
+    ranged = fresh(placed.repartitionByRange("z", "x").sortWithinPartitions("z", "x").select(F.spark_partition_id().alias("part"), "x", "copies"))
     most = max(block, -(-n // MOST_BLOCKS))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,7 +98,7 @@ def cloud(df: DataFrame, key: str, columns: list[str], block: int = BLOCK) -> Cl
         if held:
             yield put(*(np.concatenate(v) for v in zip(*waiting, strict=True)))
 
-    blocks = stored(ranged.mapInArrow(pack, "block long, ids binary, xs binary, copies binary, low array<double>, high array<double>, first array<double>"))
+    blocks = fresh(ranged.mapInArrow(pack, "block long, ids binary, xs binary, copies binary, low array<double>, high array<double>, first array<double>"))
     boxes = blocks.select("block", "low", "high", "first").orderBy("block").collect()  # MOST_BLOCKS and one a partition
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,11 +250,11 @@ def core_distances(c: Cloud, least: int) -> DataFrame:
         total = found.groupBy("p").agg(F.aggregate(seen, start, step).alias("s"))
         return total.select("p", F.when(F.col("s.n") >= least, F.col("s.d")).otherwise(float("inf")).alias("core"))
 
-    near = stored(c.blocks.mapInArrow(inside, "p long, d double, n long"))
+    near = fresh(c.blocks.mapInArrow(inside, "p long, d double, n long"))
     where = c.points.select("p", "block")
     reach = {r["block"]: r["r"] for r in kth(near).join(where, "p").groupBy("block").agg(F.max("core").alias("r")).collect()}
     pairs = pairs_within(c, np.array([reach[b] for b in c.names]), [None] * len(c.names))
-    return stored(kth(near.union(meet(pairs, c.blocks, across, "p long, d double, n long"))).join(where, "p").select("p", "block", "core"))
+    return fresh(kth(near.union(meet(pairs, c.blocks, across, "p long, d double, n long"))).join(where, "p").select("p", "block", "core"))
 
 
 def least_outgoing(c: Cloud, blocks: DataFrame, state: DataFrame, attach: bool) -> DataFrame:
@@ -289,11 +289,11 @@ def least_outgoing(c: Cloud, blocks: DataFrame, state: DataFrame, attach: bool)
         return edge_table([least_edges(a, b, attach, one["reach"]), least_edges(b, a, attach, one["reach"])])
 
     least = lambda edges: edges.groupBy("class").agg(F.min(F.struct("w", "lo", "hi", "other")).alias("e")).select("class", "e.*")
-    bound = stored(least(blocks.join(F.broadcast(after), "block", "left").mapInArrow(inside, EDGE)))
+    bound = fresh(least(blocks.join(F.broadcast(after), "block", "left").mapInArrow(inside, EDGE)))
     reach = {r["block"]: r["r"] for r in state.join(bound, "class", "left").groupBy("block").agg(F.max(F.coalesce("w", F.lit(float("inf")))).alias("r")).collect()}
     single = [r["lo"] if (r := known[b])["lo"] == r["hi"] else None for b in c.names]
     pairs = pairs_within(c, np.array([reach[b] for b in c.names]), single)
-    return stored(least(bound.union(meet(pairs, blocks, across, EDGE))))
+    return fresh(least(bound.union(meet(pairs, blocks, across, EDGE))))
 
 
 def spanning_tree(c: Cloud, cores: DataFrame | None = None) -> DataFrame:
@@ -302,25 +302,25 @@ def spanning_tree(c: Cloud, cores: DataFrame | None = None) -> DataFrame:
     Equal weights are ordered by the ids of their ends, so the tree is one. Points that no finite edge
     reaches stay apart.
     """
-    state = stored(c.points.select("p", "block", F.col("p").alias("class")))
-    held = c.blocks if cores is None else stored(c.blocks.join(by_block(cores, "core", "core"), "block"))
+    state = fresh(c.points.select("p", "block", F.col("p").alias("class")))
+    held = c.blocks if cores is None else fresh(c.blocks.join(by_block(cores, "core", "core"), "block"))
     tree = None
     while state.select("class").distinct().limit(2).count() > 1:
-        blocks = stored(held.join(by_block(state, "class", "classes"), "block"))
+        blocks = fresh(held.join(by_block(state, "class", "classes"), "block"))
         picks = least_outgoing(c, blocks, state, False)
         if not picks.limit(1).count():
             break
         edges = picks.select("lo", "hi", "w").distinct()
         tree = edges if tree is None else tree.union(edges)
         root = linked(picks.select(F.col("class").alias("a"), F.col("other").alias("b"))).select(F.col("id").alias("class"), F.col("class").alias("root"))
-        state = stored(state.join(root, "class", "left").select("p", "block", F.coalesce("root", "class").alias("class")))
-    return stored(tree) if tree is not None else c.points.select(F.col("p").alias("lo"), F.col("p").alias("hi"), F.lit(0.0).alias("w")).limit(0)
+        state = fresh(state.join(root, "class", "left").select("p", "block", F.coalesce("root", "class").alias("class")))
+    return fresh(tree) if tree is not None else c.points.select(F.col("p").alias("lo"), F.col("p").alias("hi"), F.lit(0.0).alias("w")).limit(0)
 
 
 def classes_of(c: Cloud, edges: DataFrame) -> DataFrame:
     """``k`` and ``cluster``, the least key among the rows that edges (lo, hi) connect."""
     joined = linked(edges.select(F.col("lo").alias("a"), F.col("hi").alias("b"))).select(F.col("id").alias("p"), "class")
-    rows = stored(c.rows.join(joined, "p", "left").select("k", F.coalesce("class", "p").alias("class")))
+    rows = fresh(c.rows.join(joined, "p", "left").select("k", F.coalesce("class", "p").alias("class")))
     named = rows.groupBy("class").agg(F.min("k").alias("cluster"))
     return rows.join(named, "class").select("k", "cluster")
 
@@ -352,7 +352,7 @@ def merges(tree: DataFrame, at_once: int = TREE_AT_ONCE) -> DataFrame:
     """
     ranked = stats.running(tree.withColumn("one", F.lit(1).cast("long")), ["w", "lo", "hi"], "one")
     one = F.lit(1).cast("long")
-    edges = stored(ranked.select(
+    edges = fresh(ranked.select(
         F.lit(1).cast("long").alias("part"), (F.col("upto_one") - 1).alias("rank"), "w", F.col("lo").alias("a"), F.col("hi").alias("b"),
         F.col("lo").alias("an"), F.col("hi").alias("bn"), one.alias("asize"), one.alias("bsize"),
     ))
@@ -368,14 +368,14 @@ def merges(tree: DataFrame, at_once: int = TREE_AT_ONCE) -> DataFrame:
         ends = light.select("part", F.col("a").alias("v"), F.col("asize").alias("size"), "rank").union(light.select("part", "b", "bsize", "rank"))
         each = ends.groupBy("part", "v").agg(F.first("size").alias("size"), F.max("rank").alias("rank")).join(met, ["part", "v"])
         whole = each.groupBy("part", "c").agg(F.sum("size").alias("csize"), (-1 - F.max("rank")).alias("cn"))
-        seen = stored(met.join(whole, ["part", "c"]))
+        seen = fresh(met.join(whole, ["part", "c"]))
         for s in ("a", "b"):
             heavy = heavy.join(seen.withColumnRenamed("v", s), ["part", s], "left").withColumns(
                 {s: F.coalesce("c", s), f"{s}n": F.coalesce("cn", f"{s}n"), f"{s}size": F.coalesce("csize", f"{s}size")}
             ).drop("c", "cn", "csize")
         rest = edges.join(F.broadcast(parts.where(F.col("n") > at_once)), "part", "left_anti")
         names = edges.columns
-        edges = stored(rest.union(light.withColumn("part", F.col("part") * 2).select(*names)).union(heavy.withColumn("part", F.col("part") * 2 + 1).select(*names)))
+        edges = fresh(rest.union(light.withColumn("part", F.col("part") * 2).select(*names)).union(heavy.withColumn("part", F.col("part") * 2 + 1).select(*names)))
 
     def settle(t: pa.Table) -> pa.Table:
         t = t.sort_by("rank")
@@ -414,18 +414,18 @@ def leaf_order(c: Cloud, tree: DataFrame, at_once: int = TREE_AT_ONCE) -> DataFr
     if not tree.limit(1).count():
         only = stats.running(c.points.select("p", F.lit(1).cast("long").alias("one")), ["p"], "one")
         return only.select("p", (F.col("upto_one") - 1).alias("place"), F.lit(None).cast("double").alias("reachability"))
-    table = stored(merges(tree, at_once))
+    table = fresh(merges(tree, at_once))
     parent = (-1 - F.col("rank")).alias("up")
-    way = stored(table.select(F.col("left").alias("node"), parent, F.lit(0).cast("long").alias("add")).union(table.select("right", parent, F.col("left_size"))))
+    way = fresh(table.select(F.col("left").alias("node"), parent, F.lit(0).cast("long").alias("add")).union(table.select("right", parent, F.col("left_size"))))
     while True:
         over = way.select(F.col("node").alias("up"), F.col("up").alias("over"), F.col("add").alias("more"))
-        jumped = stored(way.join(over, "up", "left").select("node", F.coalesce("over", "up").alias("up"), (F.col("add") + F.coalesce("more", F.lit(0))).alias("add"), F.col("over").isNotNull().alias("moved")))
+        jumped = fresh(way.join(over, "up", "left").select("node", F.coalesce("over", "up").alias("up"), (F.col("add") + F.coalesce("more", F.lit(0))).alias("add"), F.col("over").isNotNull().alias("moved")))
         way = jumped.drop("moved")
         if not jumped.where("moved").limit(1).count():
             break
     own = table.select((-1 - F.col("rank")).alias("node"), "left_size", "w").join(way.select("node", "add"), "node", "left")
     heights = own.select((F.coalesce("add", F.lit(0)) + F.col("left_size")).alias("place"), F.col("w").alias("reachability"))
-    return stored(way.where("node >= 0").select(F.col("node").alias("p"), F.col("add").alias("place")).join(heights, "place", "left").select("p", "place", "reachability"))
+    return fresh(way.where("node >= 0").select(F.col("node").alias("p"), F.col("add").alias("place")).join(heights, "place", "left").select("p", "place", "reachability"))
 
 
 def optics(df: DataFrame, key: str, columns: list[str], least: int = 5, block: int = BLOCK, at_once: int = TREE_AT_ONCE) -> DataFrame:
@@ -442,8 +442,8 @@ def optics(df: DataFrame, key: str, columns: list[str], least: int = 5, block: i
         raise core.ConfigurationError("least must be at least 1")
     c = cloud(df, key, columns, block)
     cores = core_distances(c, least)
-    state = stored(c.points.select("p", "block", F.col("p").alias("class")))
-    blocks = stored(c.blocks.join(by_block(cores, "core", "core"), "block").join(by_block(state, "class", "classes"), "block"))
+    state = fresh(c.points.select("p", "block", F.col("p").alias("class")))
+    blocks = fresh(c.blocks.join(by_block(cores, "core", "core"), "block").join(by_block(state, "class", "classes"), "block"))
     order = leaf_order(c, spanning_tree(c, cores), at_once)
     other = F.when(F.col("lo") == F.col("class"), F.col("hi")).otherwise(F.col("lo"))
     near = least_outgoing(c, blocks, state, True).select(F.col("class").alias("p"), F.col("w").alias("attach"), other.alias("q"))
@@ -466,7 +466,7 @@ def density_cut(ordered: DataFrame, key: str, eps: float) -> DataFrame:
     place = ordered.groupBy("place").agg(F.first("reachability").alias("r"), F.first("core").alias("core"))
     starts = place.select("place", (F.col("core") <= eps).alias("dense"), F.when(F.col("r") <= eps, 0).otherwise(1).cast("long").alias("start"))
     runs = stats.running(starts, ["place"], "start").where("dense").select("place", F.col("upto_start").alias("run"))
-    named = stored(ordered.join(runs, "place").groupBy("run").agg(F.min(key).alias("cluster")).join(runs, "run").select("place", "cluster"))
+    named = fresh(ordered.join(runs, "place").groupBy("run").agg(F.min(key).alias("cluster")).join(runs, "run").select("place", "cluster"))
     border = named.select(F.col("place").alias("attached"), F.col("cluster").alias("beside"))
     joined = ordered.join(named, "place", "left").join(border, "attached", "left")
     return joined.select(key, F.coalesce("cluster", F.when(F.col("attach") <= eps, F.col("beside")), F.lit(-1)).alias("cluster"))

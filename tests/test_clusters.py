@@ -93,6 +93,12 @@ def test_density_order_cuts_to_dbscan(spark, scattered):
             assert got[i] == want[i] if dense[i] else got[i] in (reached or {-1})
 
 
+def test_size_estimates_do_not_grow_with_the_rounds_of_the_density_order(spark, scattered):
+    order = spanning.optics(points(spark, scattered[:120]), "k", ["a", "b"], 4)
+    size = order._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    assert size.bitLength() < 1_000  # each join multiplies the estimates of its sides; squared in every round they had thousands of digits
+
+
 def test_few_and_awkward_points(spark):
     nan, inf = float("nan"), float("inf")
     df = spark.createDataFrame([(1, 0.0, 1.0), (2, -0.0, 1.0), (3, nan, 1.0), (4, None, 1.0), (5, inf, 1.0), (None, 0.0, 0.0)], "k long, a double, b double")
