@@ -6,10 +6,13 @@ import math
 from dataclasses import dataclass
 from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer import core
+from assayer.operators.graph import stored
 from assayer.operators.profile import quoted
 
 
@@ -249,18 +252,56 @@ def cluster_metrics(df: DataFrame, label: str, columns: list[str]) -> DataFrame:
     return worst.agg(F.avg("r").alias("davies_bouldin")).join(F.broadcast(k))
 
 
-SILHOUETTE_ROWS = 10_000
+SILHOUETTE_BLOCK = 4096  # different rows a block, on average
+SILHOUETTE_CHUNK = 64  # rows of a block whose distances are measured at once
 
 
 def silhouette(df: DataFrame, key: str, label: str, columns: list[str]) -> DataFrame:
-    """Exact Euclidean mean silhouette; refused above SILHOUETTE_ROWS rows, as every pair is measured."""
-    rows = df.where(F.col(label) >= 0).select(F.col(key).alias("k"), F.col(label).alias("l"), *columns)
-    size = rows.limit(SILHOUETTE_ROWS + 1).count()
-    if size > SILHOUETTE_ROWS:
-        raise core.LimitExceededError("silhouette rows", SILHOUETTE_ROWS, size)
-    other = rows.toDF("k2", "l2", *[f"o_{c}" for c in columns])
-    d = distance([F.col(c) for c in columns], [F.col(f"o_{c}") for c in columns])
-    sums = rows.join(F.broadcast(other), F.col("k") != F.col("k2")).groupBy("k", "l", "l2").agg(F.avg(d).alias("m"))
-    ab = sums.groupBy("k", "l").agg(F.max(F.when(F.col("l") == F.col("l2"), F.col("m"))).alias("a"), F.min(F.when(F.col("l") != F.col("l2"), F.col("m"))).alias("b"))
+    """Exact Euclidean mean silhouette; every pair of different rows is measured.
+
+    Rows are dealt to blocks by hash, and each two blocks meet in a task of their own, which adds up
+    the distances of a row to every cluster; no table of pairs of rows exists. Equal rows
+    of a cluster are one with their number. A row with a missing coordinate counts as 0 and for no other.
+    """
+    names = [f"x{i}" for i in range(len(columns))]
+    rows = df.where((quoted(label) >= 0) & quoted(key).isNotNull()).select(quoted(label).alias("l"), *[quoted(c).cast("double").alias(x) for c, x in zip(columns, names, strict=True)])
+    each = stored(rows.groupBy("l", *names).agg(F.count("*").alias("n")))
+    whole = each.dropna(subset=names)
+    blocks = -(-max(1, whole.count()) // SILHOUETTE_BLOCK)
+    placed = stored(whole.withColumn("p", F.monotonically_increasing_id()).withColumn("at", F.pmod(F.xxhash64("l", *names), F.lit(blocks).cast("long"))))
+    meets = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    here = placed.select("p", "l", "n", *names, F.col("at").alias("block"), meets.alias("other"))
+    there = placed.select("l", "n", *names, meets.alias("block"), F.col("at").alias("other"))
+
+    def solve(a: pa.Table, b: pa.Table) -> pa.Table:
+        b = b.sort_by("l")
+        kind = a.schema.field("l").type
+        if not a.num_rows or not b.num_rows:
+            return pa.table({"p": pa.array([], pa.int64()), "l": pa.array([], kind), "n": pa.array([], pa.int64()), "l2": pa.array([], kind), "s": pa.array([], pa.float64())})
+        x, y = (np.column_stack([t.column(c).to_numpy() for c in names]) for t in (a, b))
+        labels, copies = b.column("l").to_numpy(), b.column("n").to_numpy().astype(float)
+        starts = np.flatnonzero(np.append(True, labels[1:] != labels[:-1]))
+        sums = []
+        for i in range(0, len(x), SILHOUETTE_CHUNK):
+            d = np.zeros((len(x[i : i + SILHOUETTE_CHUNK]), len(y)))
+            for j in range(len(names)):
+                apart = x[i : i + SILHOUETTE_CHUNK, j, None] - y[None, :, j]
+                apart *= apart
+                d += apart
+            np.sqrt(d, out=d)
+            d *= copies
+            sums.append(np.add.reduceat(d, starts, axis=1).ravel())
+        of = pa.array(np.repeat(np.arange(len(x)), len(starts)))
+        to = pa.array(np.tile(starts, len(x)))
+        return pa.table({"p": a.column("p").take(of), "l": a.column("l").take(of), "n": a.column("n").take(of), "l2": b.column("l").take(to), "s": np.concatenate(sums)})
+
+    kind = placed.schema["l"].dataType.simpleString()
+    met = here.groupBy("block", "other").cogroup(there.groupBy("block", "other")).applyInArrow(solve, f"p long, l {kind}, n long, l2 {kind}, s double")
+    sizes = placed.groupBy(F.col("l").alias("l2")).agg(F.sum("n").alias("size"))
+    far = met.groupBy("p", "l", "n", "l2").agg(F.sum("s").alias("s")).join(sizes, "l2")
+    own = F.col("l") == F.col("l2")
+    ab = far.groupBy("p", "n").agg(F.max(F.when(own, F.col("s") / F.nullif(F.col("size") - 1, F.lit(0)))).alias("a"), F.min(F.when(~own, F.col("s") / F.col("size"))).alias("b"))
     s = F.when(F.col("a").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.nullif(F.greatest("a", "b"), F.lit(0.0)))
-    return ab.agg(F.avg(F.coalesce(s, F.lit(0.0))).alias("silhouette"))
+    total = ab.agg(F.sum(F.coalesce(s, F.lit(0.0)) * F.col("n")).alias("total"))
+    rows_in_all = each.agg(F.sum("n").alias("n"))
+    return rows_in_all.join(F.broadcast(total)).select(F.when(F.col("n") > 1, F.coalesce("total", F.lit(0.0)) / F.col("n")).alias("silhouette"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assayer.core import ConfigurationError
-from assayer.operators import birch, neighbours, spanning
+from assayer.operators import birch, evaluate, neighbours, spanning
 from assayer.plans import models
 
 
@@ -99,6 +99,27 @@ def test_size_estimates_do_not_grow_with_the_rounds_of_the_density_order(spark,
     assert size.bit_length() < 10_000  # each join multiplies the estimates of its sides; squared in every round they had thousands of digits
 
 
+def test_silhouette_of_many_rows_with_copies_and_gaps(spark, monkeypatch):
+    monkeypatch.setattr(evaluate, "SILHOUETTE_BLOCK", 40)
+    rng = np.random.default_rng(5)
+    x, label = rng.integers(0, 12, (150, 2)).astype(float), rng.integers(0, 3, 150)
+    label[0] = 7  # alone
+    far = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    want = []
+    for i in range(150):
+        mean = {c: far[i][(label == c) & (np.arange(150) != i)].mean() for c in set(label.tolist()) if c != label[i] or (label == c).sum() > 1}
+        a, b = mean.pop(int(label[i]), None), min(mean[c] for c in mean if c != label[i])
+        want.append(0.0 if a is None else (b - a) / max(a, b))
+    rows = [(i, int(c), float(p), float(q)) for i, (c, (p, q)) in enumerate(zip(label, x, strict=True))]
+    df = spark.createDataFrame([*rows, (150, 1, None, 1.0), (151, -1, 0.0, 0.0), (152, None, 0.0, 0.0)], "k long, l long, a double, b double")
+    assert abs(evaluate.silhouette(df, "k", "l", ["a", "b"]).first()[0] - sum(want) / 151) < 1e-12
+    assert evaluate.silhouette(df.where("k = 3"), "k", "l", ["a", "b"]).first()[0] is None
+    assert evaluate.silhouette(df.where("k < 0"), "k", "l", ["a", "b"]).first()[0] is None
+    # 12,000 rows on two places: over the 10,000 that were the most
+    many = spark.range(12_000).select("id", (F.col("id") % 2).alias("l"), (F.col("id") % 2).cast("double").alias("a"))
+    assert evaluate.silhouette(many, "id", "l", ["a"]).first()[0] == 1.0
+
+
 def test_few_and_awkward_points(spark):
     nan, inf = float("nan"), float("inf")
     df = spark.createDataFrame([(1, 0.0, 1.0), (2, -0.0, 1.0), (3, nan, 1.0), (4, None, 1.0), (5, inf, 1.0), (None, 0.0, 0.0)], "k long, a double, b double")
