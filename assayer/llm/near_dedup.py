@@ -45,35 +45,92 @@ WORD = re.compile(r"\w+")
 U64 = np.uint64
 FLOOR = 4  # the first region of the weights [0, 1) has the ranks [0, 1/16)
 HELD = 1_000_000  # ids of candidates that are broadcast, at most; more are joined by shuffling the texts
+ELEMENTS = 1 << 16  # elements, or characters, that a numpy call handles
 SLOTS = 1 << 18  # counters of the shingle frequencies that order shingles
 
 
-class Words(dict[str, bytes]):
-    """64-bit hashes of words; at most ``WORDS`` are remembered at once."""
+@lru_cache(maxsize=1)
+def word_characters() -> np.ndarray:
+    """Of each code point, whether it is one of ``WORD``."""
+    out = np.zeros(0x110000, bool)
+    for m in WORD.finditer("".join(map(chr, range(len(out))))):
+        out[m.start() : m.end()] = True
+    return out
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= WORDS:
-            self.clear()
-        made = self[word] = hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest()
-        return made
 
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the lower-case words of all texts in order, and each text's number of words.
 
-WORDS = 100_000
-KNOWN = Words()
+    Words are told apart by the sums of their mixed pairs of character and place, so that a string is made
+    and hashed for each different word only.
+    """
+    lower = [t.lower() for t in texts]
+    whole = "\n".join(["", *lower, ""])
+    points = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), "<u4")
+    inside = word_characters()[points]
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    begin, end = edges[::2], edges[1::2]
+    past = np.cumsum([1 + len(t) for t in lower])  # where a text ends
+    counts = np.diff(np.searchsorted(begin, past), prepend=0)
+    sums, done = np.empty(len(begin), U64), 0
+    while done < len(begin):  # some characters at once, or one word
+        upto = max(done + 1, int(np.searchsorted(end, begin[done] + ELEMENTS, side="right")))
+        part = slice(begin[done], end[upto - 1])
+        long = end[done:upto] - begin[done:upto]
+        ahead = np.cumsum(long) - long
+        place = np.arange(1, long.sum() + 1, dtype=U64) - np.repeat(ahead, long).astype(U64)
+        sums[done:upto] = np.add.reduceat(mix((place << U64(21)) + points[part][inside[part]]), ahead)
+        done = upto
+    coded = pa.array(sums).dictionary_encode()
+    at = coded.indices.to_numpy()
+    some = np.empty(len(coded.dictionary), np.int64)
+    some[at] = np.arange(len(at))  # an occurrence of each different word
+    different = [whole[a:b].encode("utf-8", "surrogatepass") for a, b in zip(begin[some].tolist(), end[some].tolist(), strict=True)]
+    made = b"".join([hashlib.blake2b(word, digest_size=8).digest() for word in different])
+    return np.frombuffer(made, "<u8")[at], counts
+
+
+def hashed_all(texts: list[str], size: int, weighted: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The shingles of the texts, one after the other: sorted 64-bit hashes of each text, their weights, and where each text ends.
+
+    Shingles are of lower-case words; a text of fewer words is one shingle. Weights are counts, or 1 if not ``weighted``.
+    """
+    words, counts = word_hashes(texts)
+    made = np.where(counts >= size, counts - size + 1, counts > 0)
+    ends = np.cumsum(made)
+    h = np.empty(made.sum(), U64)
+    length = np.minimum(counts, size)
+    # The first word of each shingle: the text's first one and those that follow.
+    start = np.arange(len(h)) + np.repeat(np.cumsum(counts) - counts - (ends - made), made)
+    of = np.repeat(length, made)
+    for n in np.unique(of).tolist():
+        at = start[of == n]
+        part = np.full(len(at), n, U64)
+        for i in range(n):
+            part = mix(part * U64(0x9E3779B97F4A7C15) + words[at + i])
+        h[of == n] = part
+    for low, high in zip((ends - made).tolist(), ends.tolist(), strict=True):
+        h[low:high].sort()
+    new = np.ones(len(h), bool)
+    new[1:] = h[1:] != h[:-1]
+    new[(ends - made)[made > 0]] = True
+    at = np.flatnonzero(new)
+    weights = np.diff(at, append=len(h)).astype(np.float64) if weighted else np.ones(len(at))
+    return h[at], weights, np.searchsorted(at, ends)
 
 
 def hashed(text: str, size: int, weighted: bool) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles of lower-case words as sorted 64-bit hashes, and their weights.
+    """``hashed_all`` of one text: its shingles and their weights."""
+    return hashed_all([text], size, weighted)[:2]
 
-    A text of fewer words is one shingle. Weights are counts, or 1 if not ``weighted``.
-    """
-    words = np.frombuffer(b"".join([KNOWN[w] for w in WORD.findall(text.lower())]), "<u8")
-    n = min(size, len(words))
-    h = np.full(len(words) - n + 1 if n else 0, U64(n))
-    for i in range(n):
-        h = mix(h * U64(0x9E3779B97F4A7C15) + words[i : i + len(h)])
-    h, counts = np.unique(h, return_counts=True)
-    return h, counts.astype(np.float64) if weighted else np.ones(len(h))
+
+def apart(texts: list[str], size: int, weighted: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``hashed`` of each text, made together."""
+    h, w, ends = hashed_all(texts, size, weighted)
+    low = 0
+    for high in ends.tolist():
+        yield h[low:high], w[low:high]
+        low = high
 
 
 S30, S27, S31 = U64(30), U64(27), U64(31)
@@ -115,57 +172,88 @@ def rank_cell(v: int, number: int) -> tuple[float, float]:
     return (first * 2.0 ** (number - 1) if number else 0.0), first * 2.0**number
 
 
-def throw(elements: np.ndarray, weights: np.ndarray, v: int, numbers: range, k: int) -> tuple[np.ndarray, ...]:
-    """Darts under the weights in the given regions of weight cell v: rank, place and name."""
-    bottom, top = weight_cell(v)
-    if v:
-        elements, weights = elements[weights > bottom], weights[weights > bottom]
-    salt = np.array([v * 4_096 + r + 1 for r in numbers], U64) * U64(0x9E3779B97F4A7C15)
-    seed = mix(elements[None, :] + salt[:, None])
+def throw(elements: np.ndarray, weights: np.ndarray, v: np.ndarray, number: int) -> tuple[np.ndarray, ...]:
+    """Darts under the weights in region ``number`` of the elements' weight cells ``v``: of which row, rank and name."""
+    most = int(v.max(initial=0)) + 1
+    salt = (np.arange(most) * 4_096 + number + 1).astype(U64) * U64(0x9E3779B97F4A7C15)
+    low, high = np.array([rank_cell(i, number) for i in range(most)]).T
+    bottom, top = np.array([weight_cell(i) for i in range(most)]).T
+    seed = mix(elements + salt[v])
     chance = uniform(seed)
-    bounds = [rank_cell(v, r) for r in numbers]
-    wide = top - bottom
-    count = np.array(
-        [np.searchsorted(poisson_steps((high - low) * wide), c, side="right") for (low, high), c in zip(bounds, chance, strict=True)]
-    ).ravel()
-    at = np.repeat(np.arange(len(count)), count)
-    nth = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
-    dart = mix(seed.ravel()[at] + (nth + 1).astype(U64) * U64(0xD1B54A32D192ED03))
-    low, deep = np.array([[a, b - a] for a, b in bounds]).T
-    cell = at // len(elements)
-    rank = low[cell] + uniform(mix(dart + U64(1))) * deep[cell]
-    if (weights < top).any():
-        under = bottom + uniform(mix(dart + U64(2))) * wide < weights[at % len(elements)]
-        dart, rank = dart[under], rank[under]
-    return rank, (mix(dart + U64(3)) % U64(k)).astype(np.int64), dart
+    steps = poisson_steps(2.0 ** (max(number, 1) - 1 - FLOOR))  # a region is as large in every weight cell
+    hit = np.flatnonzero(chance >= steps[0])
+    count = np.searchsorted(steps, chance[hit], side="right")
+    at = np.repeat(hit, count)
+    nth = np.arange(1, len(at) + 1) - np.repeat(np.cumsum(count) - count, count)
+    dart = mix(seed[at] + nth.astype(U64) * U64(0xD1B54A32D192ED03))
+    part = np.flatnonzero((weights < top[v])[at])  # their cell is not wholly under the weight
+    if len(part):
+        row = at[part]
+        over = bottom[v[row]] + uniform(mix(dart[part] + U64(2))) * (top - bottom)[v[row]] >= weights[row]
+        kept = np.ones(len(at), bool)
+        kept[part[over]] = False
+        at, dart = at[kept], dart[kept]
+    cell = v[at]
+    rank = low[cell] + uniform(mix(dart + U64(1))) * (high - low)[cell]
+    return at, rank, dart
+
+
+def signatures(elements: np.ndarray, weights: np.ndarray, ends: np.ndarray, k: int) -> np.ndarray:
+    """The k earliest darts of each set, a row a set; ``elements`` are 64-bit hashes, ``weights`` positive.
+
+    The sets follow each other and end at ``ends``; none is empty. Small sets go together.
+    """
+    out = np.empty((len(ends), k), U64)
+    done = 0
+    while done < len(ends):
+        low = int(ends[done - 1]) if done else 0
+        upto = max(done + 1, int(np.searchsorted(ends, low + ELEMENTS, side="right")))
+        high = int(ends[upto - 1])
+        out[done:upto] = earliest(elements[low:high], weights[low:high], ends[done:upto] - low, k)
+        done = upto
+    return out
 
 
-def signature(elements: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
-    """The k earliest darts; ``elements`` are 64-bit hashes, ``weights`` positive."""
-    goal = 2.0 ** math.ceil(math.log2((k * math.log(k) + 2 * k) / float(weights.sum())))
+def earliest(elements: np.ndarray, weights: np.ndarray, ends: np.ndarray, k: int) -> np.ndarray:
+    starts = np.concatenate([[0], ends[:-1]])
+    goal = 2.0 ** np.ceil(np.log2((k * math.log(k) + 2 * k) / np.add.reduceat(weights, starts)))
+    # An element is a row in each weight cell that it reaches.
     cells = range(1 + max(0, math.ceil(math.log2(float(weights.max())))))
-    done = [0] * len(cells)  # regions of each weight cell that have been thrown
-    best, value = np.full(k, np.inf), np.zeros(k, U64)
+    reach = [np.flatnonzero(weights > weight_cell(v)[0]) if v else np.arange(len(weights)) for v in cells]
+    of = np.repeat(np.arange(len(ends)), ends - starts)
+    row, v = np.concatenate(reach), np.repeat(np.array(cells, np.int16), [len(x) for x in reach])
+    element, weight, owner = elements[row], weights[row], of[row]
+    done = np.zeros(len(row), np.int16)  # regions of each row that have been thrown
+    best, value = np.full(len(ends) * k, np.inf), np.zeros(len(ends) * k, U64)
     while True:
+        # Ranks [0, r), [r, 2r), [2r, 4r) and so on up to the goal, at least the first.
+        need = 1 + np.maximum(0, np.log2(goal)[owner] + FLOOR + np.maximum(0, v - 1)).astype(np.int16)
+        order = np.argsort(-need, kind="stable")  # then the rows that a region needs come first
+        element, weight, owner, v, done, need = (x[order] for x in (element, weight, owner, v, done, need))
         thrown = []
-        for v in cells:
-            need = done[v]
-            while not need or rank_cell(v, need)[0] < goal:
-                need += 1
-            if need > done[v]:
-                thrown.append(throw(elements, weights, v, range(done[v], need), k))
-                done[v] = need
+        for number in range(int(done.min()), int(need[0])):
+            part = slice(0, int(np.searchsorted(-need, -number, side="left")))
+            if done[part].any():
+                part = np.flatnonzero(done[part] <= number)
+            at, rank, dart = throw(element[part], weight[part], v[part], number)
+            place = (mix(dart + U64(3)) % U64(k)).astype(np.int64)
+            thrown.append((owner[part][at] * k + place, rank, dart))
         if thrown:
-            rank, place, dart = (np.concatenate(x) for x in zip(*thrown, strict=True))
-            order = np.argsort(-rank)
-            place, rank, dart = place[order], rank[order], dart[order]
-            first, mark = np.full(k, np.inf), np.zeros(k, U64)
-            first[place], mark[place] = rank, dart  # the last assignment to a place is its earliest dart
-            better = first < best
-            best[better], value[better] = first[better], mark[better]
-        if best.max() <= goal:  # all ranks up to the goal have been searched in every weight cell
-            return value
-        goal *= 2
+            place, rank, dart = (np.concatenate(x) for x in zip(*thrown, strict=True))
+            np.minimum.at(best, place, rank)
+            found = best[place] == rank
+            value[place[found]] = dart[found]
+        late = best.reshape(-1, k).max(axis=1) > goal  # else all ranks up to the goal have been searched in every weight cell
+        if not late.any():
+            return value.reshape(-1, k)
+        goal[late] *= 2
+        left = late[owner]
+        element, weight, owner, v, done = element[left], weight[left], owner[left], v[left], need[left]
+
+
+def signature(elements: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
+    """``signatures`` of one set."""
+    return signatures(elements, weights, np.array([len(elements)]), k)[0]
 
 
 def band_keys(values: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -183,6 +271,11 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(both / (a[1].sum() + b[1].sum() - both)) if both else 0.0
 
 
+def plain(column: pa.Array) -> list[str]:
+    """Texts of a column, null read as empty."""
+    return [t or "" for t in column.to_pylist()]
+
+
 def set_key(h: np.ndarray, w: np.ndarray) -> bytes:
     return hashlib.blake2b(h.tobytes() + w.tobytes(), digest_size=16).digest()
 
@@ -194,19 +287,14 @@ def sketched(df: DataFrame, id_col: str, text_col: str, size: int, bands: int, r
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_state(__name__)
         for batch in bounded(batches, 1):
-            ids, same, values = [], [], []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                h, w = hashed(text.as_py() or "", size, weighted)
-                if len(h):
-                    ids.append(i)
-                    same.append(set_key(h, w))
-                    values.append(signature(h, w, bands * rows))
-            keys = band_keys(np.array(values, U64).reshape(len(values), bands * rows), bands, rows)
-            ends = pa.array(np.arange(len(values) + 1, dtype=np.int32) * bands)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, batch.schema.field(0).type), pa.array(same, pa.binary()), pa.ListArray.from_arrays(ends, pa.array(keys.ravel()))],
-                names=["id", "same", "keys"],
-            )
+            h, w, ends = hashed_all(plain(batch.column(1)), size, weighted)
+            sizes = np.diff(ends, prepend=0)
+            some = np.flatnonzero(sizes)
+            ends = ends[some]
+            same = [set_key(h[high - n : high], w[high - n : high]) for n, high in zip(sizes[some].tolist(), ends.tolist(), strict=True)]
+            keys = band_keys(signatures(h, w, ends, bands * rows), bands, rows)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * bands), pa.array(keys.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some)), pa.array(same, pa.binary()), lists], names=["id", "same", "keys"])
 
     source = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return source.mapInArrow(run, f"id {kind}, same binary, keys array<bigint>")
@@ -224,20 +312,10 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float, size: int, we
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_state(__name__)
         for batch in bounded(batches, 2, 3):
-            held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-
-            def of(text: str) -> tuple[np.ndarray, np.ndarray]:
-                if text not in held:
-                    held[text] = hashed(text, size, weighted)
-                return held[text]
-
-            good = pa.array(
-                [
-                    similarity(of(x.as_py() or ""), of(y.as_py() or "")) >= threshold - 1e-12
-                    for x, y in zip(batch.column(2), batch.column(3), strict=True)
-                ],
-                pa.bool_(),
-            )
+            left, right = plain(batch.column(2)), plain(batch.column(3))
+            different = list(dict.fromkeys([*left, *right]))
+            held = dict(zip(different, apart(different, size, weighted), strict=True))
+            good = pa.array([similarity(held[x], held[y]) >= threshold - 1e-12 for x, y in zip(left, right, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], names=["a", "b"])
 
     return both.mapInArrow(run, f"a {kind}, b {kind}")
@@ -275,9 +353,8 @@ def slot_counts(texts: DataFrame, size: int, weighted: bool) -> np.ndarray:
         worker_state(__name__)
         counts = np.zeros(SLOTS, np.int64)
         for batch in bounded(batches, 0):
-            for text in batch.column(0):
-                h, _ = hashed(text.as_py() or "", size, weighted)
-                counts += np.bincount((h % U64(SLOTS)).astype(np.int64), minlength=SLOTS)
+            h, _, _ = hashed_all(plain(batch.column(0)), size, weighted)
+            counts += np.bincount((h % U64(SLOTS)).astype(np.int64), minlength=SLOTS)
         used = np.flatnonzero(counts)
         for at in range(0, len(used), 10_000):
             part = used[at : at + 10_000]
@@ -303,8 +380,7 @@ def early_shingles(texts: DataFrame, counts: np.ndarray, threshold: float, size:
         worker_state(__name__)
         for batch in bounded(batches, 2):
             at, tokens, rests, wholes = [], [], [], []
-            for i, text in enumerate(batch.column(2)):
-                h, w = hashed(text.as_py() or "", size, weighted)
+            for i, (h, w) in enumerate(apart(plain(batch.column(2)), size, weighted)):
                 order = np.lexsort((h, held.value[(h % U64(SLOTS)).astype(np.int64)]))
                 h, w = h[order], w[order]
                 rest = np.cumsum(w[::-1])[::-1]

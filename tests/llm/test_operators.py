@@ -10,9 +10,11 @@ import time
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField
 
 from assayer.llm import (
     bpe,
@@ -426,6 +428,48 @@ def test_weighted_classes_against_all_pairs(spark):
     assert sum(got[i] == find(i) for i in range(len(rows))) >= 0.95 * len(rows)
 
 
+class Batches:
+    """A table that hands back the function that is mapped over its batches."""
+
+    schema = {"id": StructField("id", LongType())}
+
+    def where(self, *_):
+        return self
+
+    select = where
+
+    def mapInArrow(self, run, _):  # noqa: N802
+        return run
+
+
+@pytest.mark.parametrize("weighted", [False, True])
+def test_texts_of_a_batch_are_sketched_together(spark, monkeypatch, weighted):
+    draw = random.Random(36)
+    words = ["".join(draw.choice("abcdéß字") for _ in range(draw.randint(1, 6))) for _ in range(500)]
+    texts = [" ".join(draw.choice(words) for _ in range(draw.randint(1, 60))) for _ in range(400)]
+    texts += [None, "", " \n", "İΟΔΟΣ ς_Σ", "one", "One, two", "ab " * 3000, "ab cd ef " * 70 + "x", "a" * 5000, "\U0001f600 \U00010400 ٣ ²"]
+    calls, mix = [], near_dedup.mix
+    monkeypatch.setattr(near_dedup, "mix", lambda x: calls.append(1) or mix(x))
+    run = near_dedup.sketched(Batches(), "id", "text", 5, 30, 7, weighted)
+    batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], names=["id", "text"])
+    whole = pa.Table.from_batches(run(iter([batch])))
+    assert len(calls) < len(texts)  # some calls a batch, not some a text
+    assert whole.column("id").to_pylist() == [i for i in range(len(texts)) if i not in (400, 401, 402)]
+    # The sketches are those of each text by itself, and the ones that this library always gave.
+    alone = pa.concat_tables([pa.Table.from_batches(run(iter([batch.slice(i, 1)]))) for i in range(len(texts))])
+    assert whole.to_pydict() == alone.to_pydict()
+    digest = hashlib.sha256(repr(whole.to_pydict()).encode()).hexdigest()[:16]
+    assert digest == {False: "d3d97dd98d123a1b", True: "40f53975362024de"}[weighted]
+
+
+def test_words_are_those_of_the_pattern():
+    texts = ["İΟΔΟΣ ς_Σ x", "", "٣ ² ½ é e\u0301 一二 \u200d-b", "\ud800 a\ud800b", "\U00010400 \U0001f600z", "a" * 70_000 + " b " + "c" * 70_000]
+    want = [[hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest() for w in re.findall(r"\w+", t.lower())] for t in texts]
+    made, counts = near_dedup.word_hashes(texts)
+    assert counts.tolist() == [len(w) for w in want]
+    assert made.tobytes() == b"".join(h for w in want for h in w)
+
+
 def test_a_signature_does_not_cost_its_weights():
     began = time.monotonic()
     near_dedup.signature(np.arange(3, dtype=np.uint64) << np.uint64(40), np.array([1.0, 1.0, 1e9]), 210)
