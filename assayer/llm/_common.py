@@ -34,13 +34,13 @@ def worker_state(owner: str) -> dict[str, Any]:
     return STATE
 
 
-def bounded(batches: Iterator[pa.RecordBatch], *texts: int) -> Iterator[pa.RecordBatch]:
-    """Batches cut to ``ROWS_AT_ONCE`` rows and ``BYTES_AT_ONCE`` bytes of the text columns."""
+def bounded(batches: Iterator[pa.RecordBatch], *texts: int, most: int = BYTES_AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """Batches cut to ``ROWS_AT_ONCE`` rows and ``most`` bytes of the text columns."""
     for batch in batches:
         size = sum(pc.fill_null(pc.binary_length(batch.column(i)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for i in texts)
         total, at = np.cumsum(size), 0
         while at < batch.num_rows:
-            room = int(np.searchsorted(total, (total[at - 1] if at else 0) + BYTES_AT_ONCE, side="right"))
+            room = int(np.searchsorted(total, (total[at - 1] if at else 0) + most, side="right"))
             end = min(max(room, at + 1), at + ROWS_AT_ONCE, batch.num_rows)
             yield batch.slice(at, end - at)
             at = end

@@ -46,6 +46,7 @@ U64 = np.uint64
 FLOOR = 4  # the first region of the weights [0, 1) has the ranks [0, 1/16)
 HELD = 1_000_000  # ids of candidates that are broadcast, at most; more are joined by shuffling the texts
 ELEMENTS = 1 << 16  # elements, or characters, that a numpy call handles
+TOGETHER = 1 << 20  # bytes of texts that are hashed together; some 20 times as many are held meanwhile
 SLOTS = 1 << 18  # counters of the shingle frequencies that order shingles
 
 
@@ -53,7 +54,7 @@ SLOTS = 1 << 18  # counters of the shingle frequencies that order shingles
 def word_characters() -> np.ndarray:
     """Of each code point, whether it is one of ``WORD``."""
     out = np.zeros(0x110000, bool)
-    for m in WORD.finditer("".join(map(chr, range(len(out))))):
+    for m in WORD.finditer(np.arange(len(out), dtype="<u4").tobytes().decode("utf-32-le", "surrogatepass")):
         out[m.start() : m.end()] = True
     return out
 
@@ -286,7 +287,7 @@ def sketched(df: DataFrame, id_col: str, text_col: str, size: int, bands: int, r
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_state(__name__)
-        for batch in bounded(batches, 1):
+        for batch in bounded(batches, 1, most=TOGETHER):
             h, w, ends = hashed_all(plain(batch.column(1)), size, weighted)
             sizes = np.diff(ends, prepend=0)
             some = np.flatnonzero(sizes)
@@ -311,7 +312,7 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float, size: int, we
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_state(__name__)
-        for batch in bounded(batches, 2, 3):
+        for batch in bounded(batches, 2, 3, most=TOGETHER):
             left, right = plain(batch.column(2)), plain(batch.column(3))
             different = list(dict.fromkeys([*left, *right]))
             held = dict(zip(different, apart(different, size, weighted), strict=True))
@@ -352,7 +353,7 @@ def slot_counts(texts: DataFrame, size: int, weighted: bool) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_state(__name__)
         counts = np.zeros(SLOTS, np.int64)
-        for batch in bounded(batches, 0):
+        for batch in bounded(batches, 0, most=TOGETHER):
             h, _, _ = hashed_all(plain(batch.column(0)), size, weighted)
             counts += np.bincount((h % U64(SLOTS)).astype(np.int64), minlength=SLOTS)
         used = np.flatnonzero(counts)
@@ -378,7 +379,7 @@ def early_shingles(texts: DataFrame, counts: np.ndarray, threshold: float, size:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_state(__name__)
-        for batch in bounded(batches, 2):
+        for batch in bounded(batches, 2, most=TOGETHER):
             at, tokens, rests, wholes = [], [], [], []
             for i, (h, w) in enumerate(apart(plain(batch.column(2)), size, weighted)):
                 order = np.lexsort((h, held.value[(h % U64(SLOTS)).astype(np.int64)]))
