@@ -224,6 +224,67 @@ def test_appends_and_edits_equal_a_fresh_encoding():
         assert edited.ids() == bpe.PrefixEncoder(v, bytes(fresh.data) + b"ation").ids()
 
 
+def test_new_pieces_of_a_batch_are_encoded_together(monkeypatch, spark, reference):
+    texts = [r[0] for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
+    calls, one = [], bpe.extend
+    monkeypatch.setattr(bpe, "extend", lambda *a: calls.append(1) or one(*a))
+    encoder = bpe.Encoder(PATH, public_tokenizers.PATTERN)
+    got = encoder.encode_batch(texts)
+    assert got == [np.array(reference.encode_ordinary(t), "<u4").tobytes() for t in texts]
+    batches = -(-len(texts) // 256)
+    assert len(encoder.known) > 1000 and len(calls) <= 8 * batches, (len(encoder.known), len(calls))
+
+
+@pytest.mark.parametrize("bits", [1, 20])
+def test_pieces_of_all_lengths_and_small_memories_equal_the_library(monkeypatch, reference, bits):
+    monkeypatch.setattr(bpe, "PAIR_BITS", bits)
+    draw = random.Random(bits)
+    parts = ["a", "the", "ing", "é", "ation", "12", "th", "ß", "日本", "\U0001f600", "  ", "\n", "\x00", "=", "----", "un"]
+    texts = ["".join(draw.choice(parts) for _ in range(draw.choice([0, 1, 2, 9, 60, 400]))) for _ in range(600)]
+    texts += ["".join(draw.choice("aeinrst") for _ in range(n)) for n in (3000, 5000)] + [" " * 700, "é" * 900, "", "x"]
+    expected = [np.array(reference.encode_ordinary(t), "<u4").tobytes() for t in texts]
+    for remember, step in ((2, 7), (500, 300), (200_000, 1)):
+        encoder = bpe.Encoder(PATH, public_tokenizers.PATTERN, remember)
+        assert [x for i in range(0, len(texts), step) for x in encoder.encode_batch(texts[i : i + step])] == expected
+        assert remember > 500 or len(encoder.known) + len(encoder.older) < 6_000
+    monkeypatch.setattr(bpe, "TOGETHER", 10)
+    assert bpe.Encoder(PATH, r"\p{L}*|\P{L}").encode_batch(["", "the cat", "é"]) == [
+        np.array(reference.encode_ordinary(t), "<u4").tobytes() if t != "the cat" else
+        np.array([i for x in ("the", " ", "cat") for i in reference.encode_ordinary(x)], "<u4").tobytes()
+        for t in ("", "the cat", "é")
+    ]
+
+
+def test_often_met_pieces_stay_known():
+    encoder, often = bpe.Encoder(PATH, public_tokenizers.PATTERN, 40), "theationing"
+    learned = []
+    learn = encoder.learn
+    encoder.learn = lambda pieces: learned.extend(pieces) or learn(pieces)
+    for i in range(100):
+        encoder.encode_batch([f"{often} " + " ".join(f"zq{chr(97 + i % 26)}{chr(97 + i // 26)}{c}" for c in "abcdefgh")])
+    assert learned.count(often) == 1
+
+
+def test_ids_of_any_numbers_decode_and_unknown_ones_are_refused():
+    dense, sparse = bpe.vocabulary(PATH), bpe.Vocabulary({b"a": 7, b"b": 4_000_000_000, b"ab": 4_000_000_001})
+    rows = [[7, 4_000_000_001], None, [], [4_000_000_000]]
+    packed = pa.array([None if r is None else np.array(r, "<u4").tobytes() for r in rows], pa.binary())
+    assert bpe.bytes_of(sparse, packed).to_pylist() == [b"aab", b"", b"", b"b"]
+    assert bpe.bytes_of(sparse, packed.slice(1, 2)).to_pylist() == [b"", b""]
+    assert bpe.bytes_of(sparse, packed.slice(3)).to_pylist() == [b"b"]
+    assert bpe.bytes_of(dense, packed.slice(4)).to_pylist() == []
+    for v in (dense, sparse):
+        with pytest.raises(KeyError):
+            bpe.bytes_of(v, pa.array([np.array([3_999_999_999], "<u4").tobytes()], pa.binary()))
+        with pytest.raises(ValueError):
+            bpe.bytes_of(v, pa.array([b"abc"], pa.binary()))
+    assert bpe.Automaton(sparse).encode([b"ab", b"aab", b"", b"ba"] * 9) == [
+        np.array(x, "<u4").tobytes() for x in ([4_000_000_001], [7, 4_000_000_001], [], [4_000_000_000, 7])
+    ] * 9
+    with pytest.raises(ValueError):
+        bpe.Automaton(sparse).encode([b"ac"] * 9)
+
+
 # ---- personal data ----
 
 
